@@ -177,15 +177,15 @@ def reachable(steps: DataFrame, low: int, high: int | None, sources: DataFrame |
         return steps.select(F.col("here").alias("source"), F.col("there").alias("target")).filter("false")
     steps = checkpointed(steps)
     first = steps if sources is None else steps.join(sources.select(F.col("packet_id").alias("here")), "here", "left_semi")
-    layers = [checkpointed(first.select(F.col("here").alias("source"), F.col("there").alias("target")).distinct())]
+    first = first.select(F.col("here").alias("source"), F.col("there").alias("target"))
+    loops = checkpointed(first.filter("source = target"))  # such a node comes back at every number of hops
+    layers = [checkpointed(first.filter("source != target").distinct())]
     seen = layers[0]
     while (high is None or len(layers) < high) and not layers[-1].isEmpty():
-        grown = layers[-1].filter("source != target").join(steps, F.col("target") == F.col("here")).select("source", F.col("there").alias("target")).distinct()
+        grown = layers[-1].join(steps, F.col("target") == F.col("here")).select("source", F.col("there").alias("target")).filter("source != target").distinct()
         layers.append(checkpointed(grown.join(seen, ["source", "target"], "left_anti")))
         seen = seen.unionByName(layers[-1])
-    hit = union_all([f.withColumn("d", F.lit(k + 1)) for k, f in enumerate(layers)])
-    keep = F.col("d") >= low
-    if low > 1:
-        # A node with a link to itself comes back at every number of hops.
-        keep = keep | ((F.col("source") == F.col("target")) & (F.col("d") == 1))
-    return hit.filter(keep).select("source", "target")
+    far = union_all([f.withColumn("d", F.lit(k + 1)) for k, f in enumerate(layers)])
+    back = far.join(steps, (F.col("target") == F.col("here")) & (F.col("source") == F.col("there"))).select("source", F.col("source").alias("target"), (F.col("d") + 1).alias("d"))
+    within = (F.col("d") >= low) & (F.lit(True) if high is None else F.col("d") <= high)
+    return far.unionByName(back).filter(within).select("source", "target").unionByName(loops).distinct()
