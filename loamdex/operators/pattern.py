@@ -18,6 +18,10 @@ if TYPE_CHECKING:
     from loamdex.workspace import Workspace
 
 
+def _var(name: str) -> str:
+    return f"_of_{name}"
+
+
 def bindings(ws: Workspace, p: Pattern, resolver: Resolver | None = None) -> DataFrame:
     """One column for each variable, one row for each way to match."""
     out = ws.packets.select(F.col("packet_id").alias(p.nodes[0]))
@@ -45,11 +49,11 @@ class PatternQuery:
         if p.where:
             used |= _vars(p.where)
         df = bindings(self.ws, p, self.resolver)
+        df = df.select(*[F.col(f"`{v}`").alias(_var(v)) for v in df.columns])
         alias = {}
         for v in sorted(used):
             alias[v] = f"_{v}"
-            side = self.ws.packets.alias(alias[v])
-            df = df.alias("_b").join(side, F.col(f"_b.`{v}`") == F.col(f"{alias[v]}.packet_id")) if not alias or len(alias) == 1 else df.join(side, F.col(f"`{v}`") == F.col(f"{alias[v]}.packet_id"))
+            df = df.join(self.ws.packets.alias(alias[v]), F.col(_var(v)) == F.col(f"{alias[v]}.packet_id"))
         if p.where:
             df = df.filter(expr.columns(p.where, lambda q: self.ws.field(q.field, alias[q.var])))
         return df, alias
@@ -70,7 +74,7 @@ class PatternQuery:
         if p.order:
             bind = lambda f: self.ws.field(f.split(".", 1)[1], alias[f.split(".")[0]]) if "." in f else _Id(f)
             keys = [replace(k) for k in p.order]
-            sort = sort_columns(keys, bind, F.concat_ws("\x01", *[F.col(f"`{v}`") for v in dict.fromkeys(p.nodes)]))
+            sort = sort_columns(keys, bind, F.concat_ws("\x01", *[F.col(_var(v)) for v in dict.fromkeys(p.nodes)]))
             placed = df.select(*columns, F.row_number().over(Window.orderBy(*sort)).alias("_at"))
             group = [F.col(c) if not self._dynamic(i) else F.col(c)["j"] for c, i in zip(raw, p.items)]
             first = placed.withColumn("_first", F.row_number().over(Window.partitionBy(*group).orderBy("_at"))).filter("_first = 1")
@@ -89,7 +93,7 @@ class PatternQuery:
         return self.ws.dynamic and i.field is not None
 
     def _item(self, i: Item, alias: dict[str, str]):
-        return self.ws.field(i.field, alias[i.var]).scalar() if i.field else F.col(f"`{i.var}`")
+        return self.ws.field(i.field, alias[i.var]).scalar() if i.field else F.col(_var(i.var))
 
     def ids(self) -> DataFrame:
         """(packet_id) of the one variable that is returned."""
@@ -97,14 +101,14 @@ class PatternQuery:
 
         if len(self.pattern.items) != 1 or self.pattern.items[0].field or self.is_scalar:
             raise PatternError("a pattern used as a filter returns one variable")
-        return self._matched()[0].select(F.col(f"`{self.pattern.items[0].var}`").alias("packet_id")).distinct()
+        return self._matched()[0].select(F.col(_var(self.pattern.items[0].var)).alias("packet_id")).distinct()
 
 
 class _Id(expr.StaticField):
     def __init__(self, var: str):
         from pyspark.sql import types as T
 
-        super().__init__(var, F.col(f"`{var}`"), T.StringType())
+        super().__init__(var, F.col(_var(var)), T.StringType())
 
 
 def _vars(e: expr.Expr) -> set[str]:

@@ -130,21 +130,21 @@ class Query:
 
     # ---- edits
 
-    def _edit(self, op: str, *args, **kwargs):
+    def _edit(self, op: str, /, *args, **kwargs):
         from loamdex.operators import edits
 
         return getattr(edits, f"plan_{op}")(self.ws, self.ids(), *args, **kwargs)
 
-    def set(self, **values):
+    def set(self, /, **values):
         return self._edit("set", **values)
 
     def remove(self, *fields):
         return self._edit("remove", *fields)
 
-    def rename(self, **names):
+    def rename(self, /, **names):
         return self._edit("rename", **names)
 
-    def append(self, **values):
+    def append(self, /, **values):
         return self._edit("append", **values)
 
     def toggle(self, *fields):
