@@ -89,23 +89,25 @@ loading please wait …
 bitte aktivieren sie javascript um diesen artikel zu lesen
 interner fehler beim aufbau der seite
 bitte später erneut versuchen
+zeitüberschreitung die seite konnte nicht geladen werden
 diese seite gibt es nicht mehr
 zurück zur startseite
 bitte warten sie einen moment
 veuillez activer les scripts de votre navigateur pour afficher cet article
 erreur interne le contenu n a pas pu être chargé
 cette page n existe pas
-page introuvable
+la page demandée est introuvable
+le contenu n a pas pu être chargé
 para ver este artículo active los scripts en su navegador
 se produjo un fallo del servidor vuelva a intentarlo más tarde
-página no encontrada
-włącz obsługę skryptów aby zobaczyć ten artykuł
+no se encontró la página solicitada
+włącz obsługę skryptów aby zobaczyć tę stronę
 błąd serwera
 spróbuj ponownie za chwilę
 nie znaleziono strony
-включите javascript чтобы прочитать эту статью
+чтобы увидеть статью включите скрипты в браузере
 включите поддержку скриптов в браузере
-ошибка сервера
+ошибка сервера текст статьи временно недоступен
 попробуйте ещё раз позже
 страница не найдена
 your text goes here
@@ -127,7 +129,7 @@ lorem ipsum dolor sit amet
 """.strip().split("\n")
 
 # Character texts without spaces between words, found as they stand.
-SOLID = ["ここに本文が入ります", "ここに本文", "本文が入ります", "サーバーエラー", "サーバエラー", "ページが見つかりません", "javascriptを有効に", "スクリプトを有効に", "しばらくしてから", "正文待补充", "页面不存在", "服务器错误", "此处填写"]
+SOLID = ["ここに本文", "本文を入力", "本文が入ります", "サーバーエラー", "サーバエラー", "ページは見つかりません", "ページが見つかりません", "javascriptを有効に", "スクリプトを有効に", "しばらくしてから", "正文待补充", "页面不存在", "服务器错误", "此处填写"]
 
 # Words of filler prose.
 FILLER = """lorem ipsum dolor amet consectetur adipiscing eiusmod tempor incididunt labore dolore magna aliqua
