@@ -7,8 +7,8 @@ values are replayed into new typed columns and leave the rescue column.
 
 The drift report compares, of each two scans in a row, the observed fields, their majority
 types and, to tell a rename from a removal and an addition, the distributions of what the values consist
-of. All counts are partial aggregates; one group of the final matching holds the fields that
-began and ended in one scan.
+of. All counts are partial aggregates, taken in batches first; one group of the final comparison
+holds the counts of one workspace, not its packets.
 
 Defined results: unreadable, null and empty frontmatter has no field (such packets still count
 for the existence of their scan); of two types that are equally frequent the first by name
@@ -18,18 +18,21 @@ count once; a text that isn't a JSON object is unreadable.
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 import math
 import re
+from collections import Counter, defaultdict
+from functools import lru_cache
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# The stable core of the project's heads; all else is rescued until it is promoted.
+TARGET = {"uuid": "str", "title": "str", "type": "str", "owner": "str", "in_sprint": "str"}
 SAME_CONTENT = 0.2
-TYPES = ("bool", "date", "datetime", "float", "int", "list", "map", "null", "str")
 _DATE = re.compile(r"\d{4}-\d\d-\d\d")
 _DATETIME = re.compile(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d")
-_OBSERVED = "map<string,struct<type:string,json:string,parts:array<string>>>"
 
 
 def type_of(v) -> str:
@@ -66,23 +69,11 @@ def parts_of(v) -> list[str]:
     return [x.strip()[:12] for x in re.split("[,;]", re.sub(r"\d+", "9", v.lower()))]
 
 
-def observe(df: DataFrame, json_column: str, *, into: str = "observed") -> DataFrame:
-    """The table with a map field -> (type, json, parts) of a JSON column; null where it is unreadable."""
-
-    @F.pandas_udf(_OBSERVED)
-    def read(col):
-        import pandas as pd
-
-        out = []
-        for t in col:
-            try:
-                v = json.loads(t) if t else None
-            except ValueError:
-                v = None
-            out.append({k: {"type": type_of(x), "json": json.dumps(x, ensure_ascii=False), "parts": sorted(set(parts_of(x)))} for k, x in v.items()} if isinstance(v, dict) else None)
-        return pd.Series(out, dtype=object)
-
-    return df.withColumn(into, read(F.col(json_column)))
+@lru_cache(1 << 16)
+def _content(text: str) -> tuple[str, tuple[str, ...]]:
+    """Type and distinct parts of a value given as JSON; most values come again and again."""
+    v = json.loads(text)
+    return type_of(v), tuple(set(parts_of(v)))
 
 
 # Target type -> (Spark type, observed types that can be cast to it).
@@ -98,29 +89,70 @@ _CASTS = {
 }
 
 
-def _typed(entry, kind: str):
-    spark_type, fits = _CASTS[kind]
-    text = entry["json"]
-    if kind in ("list", "map"):
-        value = F.from_json(text, spark_type)
-    elif kind in ("str", "date", "datetime"):
-        value = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), "v string")["v"].try_cast(spark_type)
-    else:
-        value = text.try_cast(spark_type)
-    return F.when(entry["type"].isin(*fits), value)
+def cast(v, kind: str):
+    """A JSON value as a target type, None where it can't be."""
+    if type_of(v) not in _CASTS[kind][1]:
+        return None
+    text = lambda x: x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
+    try:
+        if kind == "int":
+            return v if -(2**63) <= v < 2**63 else None
+        if kind == "float":
+            return float(v)
+        if kind == "date":
+            return dt.date.fromisoformat(v)
+        if kind == "datetime":
+            return dt.datetime.fromisoformat(v)
+    except (ValueError, OverflowError):
+        return None
+    if kind == "list":
+        return [text(x) for x in v]
+    return {k: text(x) for k, x in v.items()} if kind == "map" else v
+
+
+def parse(text: str | None) -> dict | None:
+    try:
+        v = json.loads(text) if text else None
+    except (ValueError, RecursionError):
+        return None
+    return v if isinstance(v, dict) else None
 
 
 def ingest(df: DataFrame, json_column: str, schema: dict[str, str], *, prefix: str = "") -> DataFrame:
     """Typed columns of the target ``schema`` (field -> type name) and ``_rescued``: field -> JSON of all that is unknown or can't be cast.
 
-    ``prefix`` keeps the new columns apart from columns of the table with the same names.
+    A null under a known field is rescued too, so that it stays apart from a missing one; ``_rescued`` is
+    null where the column is unreadable. ``prefix`` keeps the new columns apart from columns with the same names.
     """
-    d = observe(df, json_column, into="_observed")
-    for field, kind in schema.items():
-        d = d.withColumn(f"{prefix}{field}", _typed(F.col("_observed").getItem(field), kind))
-    lost = lambda k, v: F.when(k.isin(*schema), F.coalesce(*[F.when(k == f, F.col(f"{prefix}{f}").isNull() & (v["type"] != "null")) for f in schema])).otherwise(True) if schema else F.lit(True)
-    rescued = F.transform_values(F.map_filter("_observed", lambda k, v: lost(k, v)), lambda _, v: v["json"])
-    return d.withColumn("_rescued", F.coalesce(rescued, F.create_map().cast("map<string,string>"))).drop("_observed")
+    names = [f"c{k}" for k in range(len(schema))]
+
+    @F.pandas_udf(", ".join([*(f"{n} {_CASTS[t][0]}" for n, t in zip(names, schema.values())), "rescued map<string,string>"]))
+    def read(col):
+        import pandas as pd
+
+        out: dict[str, list] = {n: [] for n in (*names, "rescued")}
+        for t in col:
+            v = parse(t)
+            for n, (field, kind) in zip(names, schema.items()):
+                x = cast(v[field], kind) if v is not None and field in v else None
+                out[n].append(x)
+                if x is not None:
+                    del v[field]
+            out["rescued"].append(None if v is None else {k: json.dumps(x, ensure_ascii=False) for k, x in v.items()})
+        return pd.DataFrame({n: pd.Series(x, dtype=object) for n, x in out.items()})
+
+    d = df.withColumn("_x", read(F.col(json_column)))
+    return d.withColumns({f"{prefix}{f}": F.col(f"_x.{n}") for f, n in zip(schema, names)} | {"_rescued": F.col("_x.rescued")}).drop("_x")
+
+
+def _replayed(text, kind: str):
+    @F.pandas_udf(_CASTS[kind][0])
+    def run(col):
+        import pandas as pd
+
+        return pd.Series([None if t is None else cast(json.loads(t), kind) for t in col], dtype=object)
+
+    return run(text)
 
 
 def promote(ingested: DataFrame, fields: dict[str, tuple[str, list[str]]], *, prefix: str = "") -> DataFrame:
@@ -129,53 +161,102 @@ def promote(ingested: DataFrame, fields: dict[str, tuple[str, list[str]]], *, pr
     for name, (kind, earlier) in fields.items():
         names = [name, *earlier]
         have = [F.col(f"{prefix}{name}")] if f"{prefix}{name}" in d.columns else []
-        kinds = F.udf(lambda t: None if t is None else type_of(json.loads(t)), "string")
-        values = {n: _typed(F.struct(kinds(F.col("_rescued")[n]).alias("type"), F.col("_rescued")[n].alias("json")), kind) for n in names}
-        d = d.withColumns({f"_v{k}": v for k, v in enumerate(values.values())})
+        d = d.withColumns({f"_v{k}": _replayed(F.col("_rescued")[n], kind) for k, n in enumerate(names)})
         taken = F.filter(F.array(*[F.when(F.col(f"_v{k}").isNotNull(), F.lit(n)) for k, n in enumerate(names)]), lambda x: x.isNotNull())
         d = d.withColumn("_taken", taken).withColumn(f"{prefix}{name}", F.coalesce(*have, *[F.col(f"_v{k}") for k in range(len(names))]))
         d = d.withColumn("_rescued", F.map_filter("_rescued", lambda k, v: ~F.array_contains("_taken", k))).drop("_taken", *[f"_v{k}" for k in range(len(names))])
     return d
 
 
-def _match(pdf):
-    """One-to-one renames of one scan: the most alike pair first."""
-    import pandas as pd
-
-    used, rows = set(), []
-    for r in pdf.sort_values(["alike", "old", "new"], ascending=[False, True, True]).itertuples():
-        if ("o", r.old) not in used and ("n", r.new) not in used:
-            used |= {("o", r.old), ("n", r.new)}
-            rows.append((r.workspace, r.scan_no, r.old, r.new))
-    return pd.DataFrame(rows, columns=["workspace", "scan_no", "old", "new"])
-
-
-def drift(packets: DataFrame, *, same_content: float = SAME_CONTENT) -> DataFrame:
-    """(workspace, scan_no, field, change_kind, became) of each change from a scan of a workspace to the next."""
-    p = packets.select("workspace", F.col("scan_no").cast("int").alias("scan_no"), "packet_id", "frontmatter").filter("workspace is not null and scan_no is not null").distinct()
-    order = Window.partitionBy("workspace").orderBy("scan_no")
-    scans = p.select("workspace", "scan_no").distinct().withColumn("later", F.lead("scan_no").over(order))
-    seen = observe(p.filter("length(frontmatter) > 0"), "frontmatter").select("workspace", "scan_no", F.explode("observed").alias("field", "x"))
-    kinds = seen.groupBy("workspace", "scan_no", "field", F.col("x.type").alias("type")).count()
-    rank = F.struct(F.when(F.col("type") == "null", -1).otherwise(F.col("count")).alias("n"), (-F.array_position(F.array(*map(F.lit, TYPES)), F.col("type"))).alias("first"), "type")
-    fields = kinds.groupBy("workspace", "scan_no", "field").agg(F.max(rank)["type"].alias("type"))
-    before = fields.join(scans.filter("later is not null"), ["workspace", "scan_no"]).select("workspace", F.col("later").alias("scan_no"), "field", F.col("type").alias("was"), F.lit(True).alias("old"))
-    first = scans.groupBy("workspace").agg(F.min("scan_no").alias("first"))
-    after = fields.join(first, "workspace").filter("scan_no > first").select("workspace", "scan_no", "field", "type", F.lit(True).alias("new"))
-    both = before.join(after, ["workspace", "scan_no", "field"], "full")
-    retyped = both.filter("old and new and was != type and was != 'null' and type != 'null'").select("workspace", "scan_no", "field", F.lit("retyped").alias("change_kind"), F.col("type").alias("became"))
-    ended = both.filter("new is null").select("workspace", "scan_no", F.col("field").alias("old"), F.col("was").alias("type"))
-    begun = both.filter("old is null").select("workspace", "scan_no", F.col("field").alias("new"), "type")
-    # What the values of fields that ended or began consist of, as shares of all parts.
-    parts = seen.select("workspace", "scan_no", "field", F.explode("x.parts").alias("part")).groupBy("workspace", "scan_no", "field", "part").count()
-    total = parts.groupBy("workspace", "scan_no", "field").agg(F.sum("count").alias("total"))
-    share = parts.join(total, ["workspace", "scan_no", "field"]).select("workspace", "scan_no", "field", "part", (F.col("count") / F.col("total")).alias("share"))
-    old = share.join(scans, ["workspace", "scan_no"]).select("workspace", F.col("later").alias("scan_no"), F.col("field").alias("old"), "part", F.col("share").alias("a")).join(ended, ["workspace", "scan_no", "old"])
-    new = share.select("workspace", "scan_no", F.col("field").alias("new"), "part", F.col("share").alias("b")).join(begun, ["workspace", "scan_no", "new"])
-    alike = old.join(new, ["workspace", "scan_no", "type", "part"]).groupBy("workspace", "scan_no", "old", "new").agg(F.sum(F.least("a", "b")).alias("alike")).filter(F.col("alike") >= same_content)
-    schema = f"workspace {dict(packets.dtypes)['workspace']}, scan_no int, old string, new string"
-    pairs = alike.groupBy("workspace", "scan_no").applyInPandas(_match, schema)
-    renamed = pairs.select("workspace", "scan_no", F.col("old").alias("field"), F.lit("renamed").alias("change_kind"), F.col("new").alias("became"))
-    removed = ended.join(pairs, ["workspace", "scan_no", "old"], "left_anti").select("workspace", "scan_no", F.col("old").alias("field"), F.lit("removed").alias("change_kind"), F.lit("").alias("became"))
-    added = begun.join(pairs, ["workspace", "scan_no", "new"], "left_anti").select("workspace", "scan_no", F.col("new").alias("field"), F.lit("added").alias("change_kind"), F.lit("").alias("became"))
-    return retyped.unionByName(renamed).unionByName(removed).unionByName(added)
+def _type(kinds: dict[str, int]) -> str | None:
+    """The most frequent type but null; of equals the first by name."""
+    own = {k: n for k, n in kinds.items() if k != "null"}
+    return min(own, key=lambda k: (-own[k], k)) if own else None
+
+
+def renames(ended: dict[str, tuple], begun: dict[str, tuple], same_content: float) -> dict[str, str]:
+    """One-to-one renames among fields (type, parts): of one type and like content, the most alike pair first."""
+    pairs = []
+    for old, (kind, a) in ended.items():
+        for new, (other, b) in begun.items():
+            if kind is not None and kind == other:
+                x, y = sum(a.values()) or 1, sum(b.values()) or 1
+                alike = sum(min(a[p] / x, b[p] / y) for p in a.keys() & b.keys())
+                if alike >= same_content:
+                    pairs.append((-alike, old, new))
+    out: dict[str, str] = {}
+    for _, old, new in sorted(pairs):
+        if old not in out and new not in out.values():
+            out[old] = new
+    return out
+
+
+def _changes(same_content: float):
+    def run(pdf):
+        import pandas as pd
+
+        kinds: dict = defaultdict(lambda: defaultdict(dict))
+        parts: dict = defaultdict(lambda: defaultdict(Counter))
+        scans = set()
+        for s, f, mark, v, n in zip(pdf.scan_no, pdf.field, pdf["mark"], pdf.value, pdf.n):
+            if mark == "s":
+                scans.add(s)
+            elif mark == "t":
+                kinds[s][f][v] = n
+            else:
+                parts[s][f][v] = n
+        rows = []
+        for was, now in zip(sorted(scans), sorted(scans)[1:]):
+            before, after = ({f: (_type(k), parts[s][f]) for f, k in kinds[s].items()} for s in (was, now))
+            ended, begun = ({f: x[f] for f in x if f not in y} for x, y in ((before, after), (after, before)))
+            named = renames(ended, begun, same_content)
+            rows += [(now, f, "retyped", after[f][0]) for f in before.keys() & after.keys() if before[f][0] and after[f][0] and before[f][0] != after[f][0]]
+            rows += [(now, f, "renamed", named[f]) if f in named else (now, f, "removed", "") for f in ended]
+            rows += [(now, f, "added", "") for f in begun if f not in named.values()]
+        out = pd.DataFrame(rows, columns=["scan_no", "field", "change_kind", "became"])
+        return out.astype(dict.fromkeys(["field", "change_kind", "became"], object)).assign(workspace=pd.Series([pdf.workspace.iloc[0]] * len(out), dtype=object))
+
+    return run
+
+
+def field_counts(ingested: DataFrame, schema: dict[str, str], *, prefix: str = "") -> DataFrame:
+    """(workspace, scan_no, field, mark, value, n): how often a field has a type (mark t) and holds a part (mark p); counted within batches first."""
+    import pyarrow as pa
+
+    cols = [F.col("workspace").cast("string"), F.col("scan_no").cast("int").alias("scan_no"), "_rescued", *[F.col(f"{prefix}{f}").alias(f"c{k}") for k, f in enumerate(schema)]]
+    src = ingested.filter("_rescued is not null").select(*cols)
+    out = pa.schema([("workspace", pa.string()), ("scan_no", pa.int32()), ("field", pa.string()), ("mark", pa.string()), ("value", pa.string()), ("n", pa.int64())])
+
+    def run(batches):
+        count: Counter = Counter()
+        for batch in batches:
+            rows = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
+            for w, s, rescued, *typed in zip(*rows):
+                # A date in a text column is still a date as the project's types go.
+                seen = [(f, t, *_content(t)) for f, t in rescued]
+                for f, kind, v in zip(schema, schema.values(), typed):
+                    if v is not None:
+                        t = v.isoformat() if isinstance(v, dt.date) else v
+                        own = _content(json.dumps(t))
+                        seen.append((f, t, own[0] if kind == "str" else kind, own[1]))
+                for f, _, kind, parts in seen:
+                    count[w, s, f, "t", kind] += 1
+                    for p in parts:
+                        count[w, s, f, "p", p] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*(k + (n,) for k, n in count.items())) if count else [[]] * 6, out.types)], schema=out)
+
+    return src.mapInArrow(run, "workspace string, scan_no int, field string, mark string, value string, n long").groupBy("workspace", "scan_no", "field", "mark", "value").agg(F.sum("n").alias("n"))
+
+
+def drift(packets: DataFrame, *, schema: dict[str, str] = TARGET, same_content: float = SAME_CONTENT) -> DataFrame:
+    """(workspace, scan_no, field, change_kind, became) of each change from a scan of a workspace to the next.
+
+    The table is ingested under ``schema``; typed and rescued values together are what a scan holds.
+    """
+    p = packets.select(F.col("workspace").cast("string").alias("workspace"), F.col("scan_no").cast("int").alias("scan_no"), "packet_id", "frontmatter").filter("workspace is not null and scan_no is not null").distinct()
+    counts = field_counts(ingest(p, "frontmatter", schema, prefix="is_"), schema, prefix="is_")
+    scans = packets.select(F.col("workspace").cast("string").alias("workspace"), F.col("scan_no").cast("int").alias("scan_no")).filter("workspace is not null and scan_no is not null").distinct()
+    scans = scans.select("workspace", "scan_no", F.lit(None).cast("string").alias("field"), F.lit("s").alias("mark"), F.lit(None).cast("string").alias("value"), F.lit(1).cast("long").alias("n"))
+    # What is left of a workspace are counts: one row for each scan, field and type or part, however many packets it has.
+    out = counts.unionByName(scans).groupBy("workspace").applyInPandas(_changes(same_content), "workspace string, scan_no int, field string, change_kind string, became string")
+    return out.select("workspace", "scan_no", "field", "change_kind", "became")

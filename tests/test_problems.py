@@ -113,11 +113,11 @@ def test_rescue_and_replay(spark):
     got = drift.ingest(df, "head", {"n": "int", "s": "str", "d": "date"})
     r = {x.id: x for x in got.collect()}
     assert (r["1"].n, r["1"].s, r["1"].d, r["1"]["_rescued"]) == (3, "x", dt.date(2026, 1, 2), {"old": "true", "more": '{"k": [1]}'})
-    assert (r["2"].n, r["2"].s, r["2"]["_rescued"]) == (None, None, {"n": '"three"', "s": "5"})
-    assert r["3"]["_rescued"] == {} and r["4"]["_rescued"] == {} and r["5"]["_rescued"]["n"] == "12345678901234567890"
+    assert (r["2"].n, r["2"].s, r["2"]["_rescued"]) == (None, None, {"n": '"three"', "s": "5", "d": "null"})
+    assert r["3"]["_rescued"] is None and r["4"]["_rescued"] is None and r["5"]["_rescued"]["n"] == "12345678901234567890"
     p = {x.id: x for x in drift.promote(got, {"flag": ("bool", ["old"]), "s": ("str", [])}).collect()}
     assert (p["1"].flag, p["1"]["_rescued"]) == (True, {"more": '{"k": [1]}'})
-    assert (p["5"].flag, p["5"]["_rescued"]["flag"]) == (False, '"no"') and p["2"]["_rescued"] == {"n": '"three"', "s": "5"}
+    assert (p["5"].flag, p["5"]["_rescued"]["flag"]) == (False, '"no"') and p["2"]["_rescued"] == {"n": '"three"', "s": "5", "d": "null"}
 
 
 # ------------------------------------------------------------------ increments
