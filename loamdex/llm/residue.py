@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 COVERAGE = 0.8
+SHORT = 4
 SLOT = "\x00slot"
 
 # Labelled exemplars, "_" standing for a word that varies.
@@ -209,6 +210,8 @@ class Exemplars:
     def __init__(self, phrases: list[str] = PHRASES, filler: list[str] = FILLER, coverage: float = COVERAGE):
         self.coverage = coverage
         split = [[x for x in p.split()] for p in phrases]
+        # Short phrases are ordinary words in another order, so all of them must be there, in order.
+        self.part = [1.0 if len(t) <= SHORT else coverage for t in split]
         self.grams = [frozenset(g for g in _grams(t) if "_" not in g) for t in split]
         self.filler = frozenset(filler)
         self.vocab = frozenset(w for g in self.grams for x in g for w in x.split()) | self.filler
@@ -220,13 +223,13 @@ class Exemplars:
         self.total = [sum(self.weight[g] for g in s) for s in self.grams]
         self.index = defaultdict(list)
         for k, s in enumerate(self.grams):
-            spare = (1 - self.coverage) * self.total[k]
+            spare = (1 - self.part[k]) * self.total[k]
             # By falling weight of words, until what is not indexed can't make up the coverage: all grams of a word go with it.
             left = set(s)
             for w in sorted({w for g in s for w in g.split()}, key=lambda w: (-idf(w), w)):
                 self.index[w].append(k)
                 left = {g for g in left if w not in g.split()}
-                if sum(self.weight[g] for g in s - left) > spare:
+                if sum(self.weight[g] for g in s - left) > spare + 1e-6:
                     break
         self.anchors = frozenset(self.index) | self.filler
         return self
@@ -240,7 +243,7 @@ class Exemplars:
         words = set(t)
         for k in {k for w in words for k in self.index.get(w, ())}:
             grams = _grams(t)
-            if sum(self.weight[g] for g in self.grams[k] & grams) >= self.coverage * self.total[k]:
+            if sum(self.weight[g] for g in self.grams[k] & grams) >= self.part[k] * self.total[k] - 1e-9:
                 return True
         if words & self.filler and len(words & self.filler) >= 4 and len(t) >= 5:
             inside = sum(self.weight[w] for w in t if w in self.filler)
