@@ -140,31 +140,24 @@ def filter_dynamic(spark, sf):
 
 def _dynamic(spark, sf) -> Workspace:
     """The packets table as a workspace of documents with heads of mixed types."""
-    from loamdex.operators.drift import type_of
-    from loamdex.values import TAGGED, tagged
-
-    @F.pandas_udf(f"map<string,{TAGGED}>")
-    def read(col):
-        import json
-
-        import pandas as pd
-
-        out = []
-        for t in col:
-            try:
-                v = json.loads(t) if t else None
-            except ValueError:
-                v = None
-            out.append({k: tagged(_date(x) if isinstance(x, str) else x) for k, x in v.items()} if isinstance(v, dict) else {})
-        return pd.Series(out, dtype=object)
-
-    def _date(x: str):
-        kind = type_of(x)
+    import pyarrow as pa
+
+    from loamdex.operators.drift import parse, type_of
+    from loamdex.values import TAGGED, head_array
+
+    def value(x):
+        kind = type_of(x) if isinstance(x, str) else ""
         return dt.date.fromisoformat(x) if kind == "date" else dt.datetime.fromisoformat(x) if kind == "datetime" else x
 
+    def read(batches):
+        for batch in batches:
+            heads = [{k: value(x) for k, x in (parse(t) or {}).items()} for t in batch.column(1).to_pylist()]
+            has = pa.array([t is not None for t in batch.column(1).to_pylist()], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), has, head_array(heads), batch.column(2)], names=["packet_id", "has_frontmatter", "fm", "body"])
+
     ensure_checkpoint(spark)
     p = table(spark, sf, "packets").select("packet_id", "frontmatter", "body").distinct()
-    return Workspace(p.select("packet_id", F.col("frontmatter").isNotNull().alias("has_frontmatter"), read("frontmatter").alias("fm"), "body"), dynamic=True, default_resolver=graph.FieldResolver("uuid"))
+    return Workspace(p.mapInArrow(read, f"packet_id string, has_frontmatter boolean, fm map<string,{TAGGED}>, body string"), dynamic=True, default_resolver=graph.FieldResolver("uuid"))
 
 
 # ------------------------------------------------------------------ order

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamdex.errors import ParseError
-from loamdex.values import TAGGED, arrow_type, tagged
+from loamdex.values import TAGGED, head_array
 
 _HEAD = re.compile(r"---[ \t]*(\r\n|\n)(.*?)(?:(?<=\n)|\A)---[ \t]*(?:\r\n|\n|\Z)", re.S)
 BOM = "\ufeff"
@@ -108,23 +108,28 @@ _PACKET = f"packet_id string, abspath string, has_frontmatter boolean, fm map<st
 
 
 def _record(pid: str, path: str, data: bytes) -> dict:
-    row = {"packet_id": pid, "abspath": path, "has_frontmatter": False, "fm": [], "keys": [], "body": None, "raw": None, "error": None}
+    row = {"packet_id": pid, "abspath": path, "has_frontmatter": False, "fm": {}, "keys": [], "body": None, "raw": None, "error": None}
     try:
         text = data.decode("utf-8")
         d = split(text)
-        return row | {"has_frontmatter": d.has_head, "fm": [(str(k), tagged(v)) for k, v in d.fields.items()], "keys": [str(k) for k in d.fields], "body": d.body, "raw": text}
+        return row | {"has_frontmatter": d.has_head, "fm": d.fields, "keys": [str(k) for k in d.fields], "body": d.body, "raw": text}
     except (ParseError, UnicodeDecodeError) as e:
         return row | {"error": str(e)}
 
 
-def scan(spark: SparkSession, root: str, glob: Iterable[str] = ("**/*.md",)) -> DataFrame:
-    """Packets of a folder; ids are paths relative to it. A file that several patterns match is read once."""
+def _batch(rows: list[dict]):
     import pyarrow as pa
 
+    kinds = {"has_frontmatter": pa.bool_(), "keys": pa.list_(pa.string())}
+    names = ["packet_id", "abspath", "has_frontmatter", "fm", "keys", "body", "raw", "error"]
+    return pa.RecordBatch.from_arrays([head_array([r["fm"] for r in rows]) if n == "fm" else pa.array([r[n] for r in rows], kinds.get(n, pa.string())) for n in names], names=names)
+
+
+def scan(spark: SparkSession, root: str, glob: Iterable[str] = ("**/*.md",)) -> DataFrame:
+    """Packets of a folder; ids are paths relative to it. A file that several patterns match is read once."""
     root = os.path.realpath(root)
     if not os.path.isdir(root):
         raise FileNotFoundError(root)
-    schema = pa.schema([("packet_id", pa.string()), ("abspath", pa.string()), ("has_frontmatter", pa.bool_()), ("fm", pa.map_(pa.string(), arrow_type())), ("keys", pa.list_(pa.string())), ("body", pa.string()), ("raw", pa.string()), ("error", pa.string())])
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"file://{root}").select("path", "content")
     wanted = "|".join(f"(?:{_glob_pattern(g)})" for g in glob)
     path = F.regexp_replace("path", "^file:/+", "/")
@@ -133,8 +138,7 @@ def scan(spark: SparkSession, root: str, glob: Iterable[str] = ("**/*.md",)) ->
 
     def read(batches):
         for batch in batches:
-            rows = [_record(*r) for r in zip(*(batch.column(k).to_pylist() for k in range(3)))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], f.type) for f in schema], schema=schema)
+            yield _batch([_record(*r) for r in zip(*(batch.column(k).to_pylist() for k in range(3)))])
 
     return files.mapInArrow(read, _PACKET)
 
@@ -156,8 +160,5 @@ def from_records(spark: SparkSession, records: dict[str, tuple[dict, str]]) -> D
     """Packets of a mapping id -> (fields, body), for tests and small inputs."""
     import pyarrow as pa
 
-    rows = [{"packet_id": k, "abspath": None, "has_frontmatter": bool(f), "fm": [(str(n), tagged(v)) for n, v in f.items()], "keys": [str(n) for n in f], "body": b, "raw": None, "error": None} for k, (f, b) in records.items()]
-    schema = pa.schema([("packet_id", pa.string()), ("abspath", pa.string()), ("has_frontmatter", pa.bool_()), ("fm", pa.map_(pa.string(), arrow_type())), ("keys", pa.list_(pa.string())), ("body", pa.string()), ("raw", pa.string()), ("error", pa.string())])
-    return spark.createDataFrame(pa.Table.from_pylist(rows, schema=schema), schema=_PACKET)
-
-
+    rows = [{"packet_id": k, "abspath": None, "has_frontmatter": bool(f), "fm": f, "keys": [str(n) for n in f], "body": b, "raw": None, "error": None} for k, (f, b) in records.items()]
+    return spark.createDataFrame(pa.Table.from_batches([_batch(rows)]), schema=_PACKET)

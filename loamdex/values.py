@@ -57,21 +57,54 @@ def canonical(v) -> str:
     return json.dumps(norm(v), sort_keys=True, ensure_ascii=False, separators=(",", ":"))
 
 
-def tagged(v, nested: bool = False) -> dict:
-    t = type_name(v)
-    out = dict.fromkeys(("b", "i", "f", "s", "d", "ts", "tn"))
-    out |= {"t": t, "j": canonical(v)}
-    if t == "int" and not -(2**63) <= v < 2**63:
-        out |= {"t": "float", "f": float(v)}
-    elif t in ("bool", "int", "float", "str"):
-        out[t[0]] = v
-    elif t == "date":
-        out["d"] = v
-    elif t == "datetime":
-        out["ts" if v.tzinfo else "tn"] = v
+_NAMES = {type(None): "null", bool: "bool", int: "int", float: "float", str: "str", dt.datetime: "datetime", dt.date: "date", list: "list", tuple: "list", dict: "map"}
+_PARTS = ("t", "b", "i", "f", "s", "d", "ts", "tn", "j")
+
+
+def tagged_array(values: list, nested: bool = False):
+    """Tagged values of a batch as one Arrow array, built member by member."""
+    import pyarrow as pa
+
+    n = len(values)
+    cols: dict[str, list] = {p: [None] * n for p in _PARTS}
+    t, j = cols["t"], cols["j"]
+    inner: list = []
+    offsets, not_list = [0], [True] * n
+    for k, v in enumerate(values):
+        name = _NAMES.get(type(v)) or type_name(v)
+        if name == "int" and not -(2**63) <= v < 2**63:
+            name, v = "float", float(v)
+        t[k] = name
+        if name == "str":
+            cols["s"][k], j[k] = v, json.dumps(v, ensure_ascii=False)
+        elif name in ("bool", "int", "float"):
+            cols[name[0]][k], j[k] = v, canonical(v)
+        elif name == "date":
+            cols["d"][k], j[k] = v, canonical(v)
+        elif name == "datetime":
+            cols["ts" if v.tzinfo else "tn"][k], j[k] = v, canonical(v)
+        else:
+            j[k] = "null" if name == "null" else canonical(v)
+            if name == "list":
+                inner += v
+                not_list[k] = False
+        offsets.append(len(inner))
+    kind = arrow_type(nested)
+    arrays = [pa.array(cols[p], kind.field(p).type) for p in _PARTS]
     if not nested:
-        out["l"] = [tagged(x, True) for x in v] if t == "list" else None
-    return out
+        arrays.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), tagged_array(inner, True), mask=pa.array(not_list, pa.bool_())))
+    return pa.StructArray.from_arrays(arrays, fields=list(kind))
+
+
+def head_array(heads: list[dict]):
+    """Maps field -> tagged value of a batch of heads."""
+    import pyarrow as pa
+
+    offsets = [0]
+    for h in heads:
+        offsets.append(offsets[-1] + len(h))
+    keys = pa.array([str(k) for h in heads for k in h], pa.string())
+    return pa.MapArray.from_arrays(pa.array(offsets, pa.int32()), keys, tagged_array([v for h in heads for v in h.values()]))
 
 
 def arrow_type(nested: bool = False):
