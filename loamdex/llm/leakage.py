@@ -235,13 +235,12 @@ def longest_quote(text: list[str], item: list[str]) -> int:
         live = new
     stretches += [(len(text) - k, j - k + 1, k) for j, k in live.items() if k > 1]
     stretches.sort()
-    best, chains = 0, []
+    best = 0
+    begins: dict[tuple[int, int], int] = {}  # where the run that ends at (text, item) begins in the item
     for ti, ii, k in stretches:
-        begin = ii
-        for te, ie, b in reversed(chains[-64:]):
-            if 0 <= ti - te <= 1 and 0 <= ii - ie <= 1:
-                begin = min(begin, b)
-        chains.append((ti + k, ii + k, begin))
+        begin = min([ii, *(begins[e] for e in ((ti - x, ii - y) for x in (0, 1) for y in (0, 1)) if e in begins)])
+        end = (ti + k, ii + k)
+        begins[end] = min(begin, begins.get(end, begin))
         best = max(best, ii + k - begin)
     return best
 
