@@ -145,27 +145,35 @@ def ingest(df: DataFrame, json_column: str, schema: dict[str, str], *, prefix: s
     return d.withColumns({f"{prefix}{f}": F.col(f"_x.{n}") for f, n in zip(schema, names)} | {"_rescued": F.col("_x.rescued")}).drop("_x")
 
 
-def _replayed(text, kind: str):
-    @F.pandas_udf(_CASTS[kind][0])
-    def run(col):
-        import pandas as pd
+def promote(ingested: DataFrame, fields: dict[str, tuple[str, list[str]]], *, prefix: str = "") -> DataFrame:
+    """Replay rescued values of approved fields (name -> (type, earlier names)) into typed columns.
 
-        return pd.Series([None if t is None else cast(json.loads(t), kind) for t in col], dtype=object)
+    A value is taken from the first of the names that has one of the type, unless the column has one
+    already; only what is taken leaves ``_rescued``.
+    """
+    names = [f"c{k}" for k in range(len(fields))]
 
-    return run(text)
+    @F.pandas_udf(", ".join([*(f"{n} {_CASTS[t][0]}" for n, (t, _) in zip(names, fields.values())), "rescued map<string,string>"]))
+    def replay(rescued, *free):
+        import pandas as pd
 
+        out: dict[str, list] = {n: [] for n in (*names, "rescued")}
+        for row, *open_ in zip(rescued, *free):
+            left = None if row is None else dict(row)
+            for n, (field, (kind, earlier)), may in zip(names, fields.items(), open_):
+                value = None
+                for name in (field, *earlier) if left and may else ():
+                    if name in left and (value := cast(json.loads(left[name]), kind)) is not None:
+                        del left[name]
+                        break
+                out[n].append(value)
+            out["rescued"].append(left)
+        return pd.DataFrame({n: pd.Series(x, dtype=object) for n, x in out.items()})
 
-def promote(ingested: DataFrame, fields: dict[str, tuple[str, list[str]]], *, prefix: str = "") -> DataFrame:
-    """Replay rescued values of approved fields (name -> (type, earlier names)) into typed columns and take them out of ``_rescued``."""
-    d = ingested
-    for name, (kind, earlier) in fields.items():
-        names = [name, *earlier]
-        have = [F.col(f"{prefix}{name}")] if f"{prefix}{name}" in d.columns else []
-        d = d.withColumns({f"_v{k}": _replayed(F.col("_rescued")[n], kind) for k, n in enumerate(names)})
-        taken = F.filter(F.array(*[F.when(F.col(f"_v{k}").isNotNull(), F.lit(n)) for k, n in enumerate(names)]), lambda x: x.isNotNull())
-        d = d.withColumn("_taken", taken).withColumn(f"{prefix}{name}", F.coalesce(*have, *[F.col(f"_v{k}") for k in range(len(names))]))
-        d = d.withColumn("_rescued", F.map_filter("_rescued", lambda k, v: ~F.array_contains("_taken", k))).drop("_taken", *[f"_v{k}" for k in range(len(names))])
-    return d
+    there = {f: F.col(f"{prefix}{f}") for f in fields if f"{prefix}{f}" in ingested.columns}
+    d = ingested.withColumn("_x", replay("_rescued", *[there[f].isNull() if f in there else F.lit(True) for f in fields]))
+    typed = {f"{prefix}{f}": F.coalesce(there[f], F.col(f"_x.{n}")) if f in there else F.col(f"_x.{n}") for f, n in zip(fields, names)}
+    return d.withColumns(typed | {"_rescued": F.col("_x.rescued")}).drop("_x")
 
 
 def _type(kinds: dict[str, int]) -> str | None:

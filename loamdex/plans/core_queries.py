@@ -25,12 +25,48 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return references.found(table(spark, sf, "edges"), table(spark, sf, "packets"), table(spark, sf, "registry"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p6_found, p7_found)}
+def p1_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Path from the root, depth and root of each node."""
+    ensure_checkpoint(spark)
+    return hierarchy.hierarchy(hierarchy.links(table(spark, sf, "edges")), with_path=True)
+
+
+def p1_descendants(spark: SparkSession, sf: str) -> DataFrame:
+    """Every node under every node, with the number of links between them."""
+    return hierarchy.descendants(p1_paths(spark, sf))
+
+
+# Fields approved for the consistent table, with the other names the drift report gives them.
+APPROVED = {
+    "status": ("str", ["state", "workflow_state"]),
+    "priority": ("float", ["Priority", "prio", "importance"]),
+    "progress": ("float", ["pct_done"]),
+    "estimate": ("float", ["effort", "est_hours"]),
+    "budget": ("float", ["cost_cap"]),
+    "due": ("datetime", ["due_date", "dueDate", "deadline"]),
+    "started": ("datetime", ["opened_on", "startDate"]),
+    "tags": ("list", ["labels", "topics"]),
+    "component": ("str", ["area", "subsystem"]),
+    "channel": ("str", ["inbox"]),
+    "reviewer": ("str", ["second_reader", "checked_by"]),
+    "release": ("str", ["version_tag"]),
+    "attributes": ("map", ["extra", "metaData"]),
+    "archived": ("bool", ["isArchived"]),
+    "flagged": ("bool", ["is_flagged", "starred"]),
+}
+
+
+def p2_table(spark: SparkSession, sf: str) -> DataFrame:
+    """All packets as one consistent table: the target schema, approved fields replayed, the rest rescued."""
+    p = table(spark, sf, "packets").select("packet_id", "workspace", "scan_no", "frontmatter").distinct()
+    return drift.promote(drift.ingest(p, "frontmatter", drift.TARGET), APPROVED).withColumnRenamed("_rescued", "rescued").drop("frontmatter")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p2_found, p2_table, p6_found, p7_found)}
 
 _KEY = r"regexp_extract({0}, '(?s)^\s*(?:\./)?\s*([^#]*?)\s*(?:#.*)?$', 1)"
 
-ORACLES = {
-    "p1_found": rf"""
+_LINKS = rf"""
         with recursive e as (
             select {_KEY.format("source")} s, {_KEY.format("target")} t, lower(trim(field)) f, seen_at, loaded_at, edge_id from edges),
         l as (
@@ -45,10 +81,15 @@ ORACLES = {
             select w.node, h.up, w.d + 1 from w join h on h.node = w.pos where w.d < 200),
         deep as (select node, max(d) d from w group by node),
         looped as (select node from deep where d = 200),
-        ring as (select distinct w.node, w.pos from w join looped using (node) where w.d > 100)
+        ring as (select distinct w.node, w.pos from w join looped using (node) where w.d > 100)"""
+
+ORACLES = {
+    "p1_found": f"""{_LINKS}
         select d.node, w.pos root_node, d.d::int node_depth from deep d join w on w.node = d.node and w.d = d.d where d.d < 200
         union all
         select node, min(pos), case when bool_or(pos = node) then -1 else -2 end from ring group by node""",
+    "p1_descendants": f"""{_LINKS}
+        select w.pos node, w.node descendant, w.d distance from w anti join looped using (node) where w.d > 0""",
     "p6_found": """
         with s as (
             select packet_id, lower(content_hash) h from packet_index semi join (select run_id from index_runs where run_status = 'ok') using (run_id)
