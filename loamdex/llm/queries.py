@@ -16,6 +16,13 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return fusion.top(_table(spark, sf, "search_hits"), 3).select("query_id", "packet_id")
 
 
+def p3_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    """All packets of each query with their relative closeness to the ideal point."""
+    from loamdex.llm import fusion
+
+    return fusion.ideal_point(_table(spark, sf, "search_hits"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     from loamdex.llm import neighbours
     from loamdex.session import ensure_checkpoint
@@ -32,6 +39,15 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return markup.elements(p.unionByName(f), text="text", keys=["src_table", "packet_id"])
 
 
+def p5_clean(spark: SparkSession, sf: str) -> DataFrame:
+    """Clean text of packets and search contents, structure kept."""
+    from loamdex.llm import markup
+
+    p = _table(spark, sf, "packets").select(F.lit("packets").alias("src_table"), "packet_id", F.col("body").alias("text"))
+    f = _table(spark, sf, "packets_fts").select(F.lit("packets_fts").alias("src_table"), "packet_id", F.col("content").alias("text"))
+    return markup.clean_text(p.unionByName(f).distinct(), text="text").drop("text")
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     from loamdex.llm import tokens
 
@@ -50,5 +66,5 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return residue.residue(_table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p4_found, p5_found, p8_ids, p9_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_ranking, p4_found, p5_found, p5_clean, p8_ids, p9_found, p10_found)}
 ORACLES: dict[str, str] = {}
