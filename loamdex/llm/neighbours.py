@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 K, DIM = 5, 64
-DEGREE, EF_BUILD, EF_SEARCH = 16, 48, 48
-SHARD_ROWS, CELL_ROWS, SAMPLE_ROWS, PROBES = 12_000, 6_000, 20_000, 1
+DEGREE, EF_BUILD, EF_SEARCH = 16, 32, 32
+SHARD_ROWS, CELL_ROWS, SAMPLE_ROWS, PROBES = 12_000, 6_000, 20_000, 2
 BATCH = 1024
 
 
