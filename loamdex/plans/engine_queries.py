@@ -198,10 +198,11 @@ def order_mixed_types(spark, sf):
 # ------------------------------------------------------------------ aggregation
 
 
-@query("select o_orderstatus \"key\", count(*) n, sum(o_totalprice) total, avg(o_totalprice) mean, min(o_orderdate) first, max(o_totalprice) top from orders group by 1")
+@query("select o_orderstatus \"key\", count(*) n, round(sum(o_totalprice), 2) total, round(avg(o_totalprice), 2) mean, min(o_orderdate) first, max(o_totalprice) top from orders group by 1")
 def group_aggregates(spark, sf):
     q = Query(_ws(spark, sf, "orders", "o_orderkey"))
-    return q.group_by("o_orderstatus").aggregate(n=Count(), total=Sum("o_totalprice"), mean=Avg("o_totalprice"), first=Min("o_orderdate"), top=Max("o_totalprice"))
+    out = q.group_by("o_orderstatus").aggregate(n=Count(), total=Sum("o_totalprice"), mean=Avg("o_totalprice"), first=Min("o_orderdate"), top=Max("o_totalprice"))
+    return out.withColumns({c: F.round(c, 2) for c in ("total", "mean")})
 
 
 @query("select l_returnflag \"key\", count(*) n, round(sum(l_extendedprice), 2) total from lineitem where l_shipdate < timestamp '1998-09-02' group by 1")
@@ -219,22 +220,22 @@ def group_count_field(spark, sf):
 
 @query(
     """select json_extract_string(frontmatter, '$.type') "key", 'str' key_type, count(*)::bigint n,
-       sum(case when json_type(json_extract(frontmatter, '$.priority')) in ('UBIGINT', 'BIGINT', 'DOUBLE') then json_extract(frontmatter, '$.priority')::double else 0 end) total
+       sum(case when json_type(json_extract(frontmatter, '$.priority')) in ('UBIGINT', 'BIGINT', 'DOUBLE') then json_extract(frontmatter, '$.priority')::double else 0 end)::decimal(18, 2)::double total
     from (select distinct packet_id, frontmatter from packets where json_valid(frontmatter)) where json_type(json_extract(frontmatter, '$.type')) = 'VARCHAR' group by 1"""
 )
 def group_dynamic(spark, sf):
-    return Query(_dynamic(spark, sf)).group_by("type").aggregate(n=Count(), total=Sum("priority"))
+    return Query(_dynamic(spark, sf)).group_by("type").aggregate(n=Count(), total=Sum("priority")).withColumn("total", F.round("total", 2))
 
 
 @query(
     """select 'c_mktsegment' field, count(c_mktsegment) present_in, null::double numeric_min, null::double numeric_max, null::double numeric_avg from customer
-    union all select 'c_acctbal', count(c_acctbal), min(c_acctbal), max(c_acctbal), avg(c_acctbal) from customer
-    union all select 'c_nationkey', count(c_nationkey), min(c_nationkey), max(c_nationkey), avg(c_nationkey) from customer
-    union all select 'c_custkey', count(c_custkey), min(c_custkey), max(c_custkey), avg(c_custkey) from customer
+    union all select 'c_acctbal', count(c_acctbal), min(c_acctbal), max(c_acctbal), round(avg(c_acctbal), 4) from customer
+    union all select 'c_nationkey', count(c_nationkey), min(c_nationkey), max(c_nationkey), round(avg(c_nationkey), 4) from customer
+    union all select 'c_custkey', count(c_custkey), min(c_custkey), max(c_custkey), round(avg(c_custkey), 4) from customer
     union all select 'c_name', count(c_name), null, null, null from customer"""
 )
 def describe_profile(spark, sf):
-    return profile(_ws(spark, sf, "customer", "c_custkey")).select("field", "present_in", "numeric_min", "numeric_max", "numeric_avg")
+    return profile(_ws(spark, sf, "customer", "c_custkey")).select("field", "present_in", "numeric_min", "numeric_max", F.round("numeric_avg", 4).alias("numeric_avg"))
 
 
 @query(
