@@ -441,8 +441,8 @@ def index_diff(spark, sf):
 
 @query()
 def edit_preview(spark, sf):
-    """Heads of all packets as YAML documents, one field set and one toggled: text before and after, and the error where that can't be."""
+    """Heads of all packets as YAML documents, two fields set, one toggled and one renamed: whole text before and after, and the error where that can't be."""
     from loamdex.operators import edits
 
     p = table(spark, sf, "packets").select("packet_id", F.concat(F.lit("---\nkind: note # kept\nflag: true\npath: "), "packet_id", F.lit("\n---\n"), F.coalesce("body", F.lit(""))).alias("raw")).distinct()
-    return edits.changes(p, [edits.op("set", kind="task", rank=3), edits.op("toggle", "flag"), edits.op("rename", path="file")]).select("packet_id", F.substring("after", 1, 60).alias("head"), "error")
+    return edits.changes(p, [edits.op("set", kind="task", rank=3), edits.op("toggle", "flag"), edits.op("rename", path="file")])

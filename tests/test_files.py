@@ -8,6 +8,7 @@ import pytest
 from loamdex import cli
 from loamdex.errors import EditError, ParseError
 from loamdex.operators import edits
+from loamdex.plans.engine_queries import edit_preview
 from loamdex.plans.query import Query, compile_query
 from loamdex.sources.frontmatter import join, load_yaml, split
 from loamdex.workspace import Workspace
@@ -119,6 +120,15 @@ def test_edits_of_a_table(spark):
     assert got["1"].after == HEAD.replace("flag: true", "flag: false") and "not a bool" in got["2"].error and got["3"].after is None
 
 
+def test_edit_preview_returns_whole_texts(spark, tmp_path):
+    bodies = {"a-packet-id-of-more-than-twenty-characters": "One\r\n\n---\nkind: note\n---\n  two \t\n", "b": "z\u00e4\u2028\U0001f600" * 3000 + " ", "c": "", "d": None}
+    spark.createDataFrame(list(bodies.items()), "packet_id string, body string").write.parquet(str(tmp_path / "packets.parquet"))
+    got = {r.packet_id: r for r in edit_preview(spark, str(tmp_path)).collect()}
+    for k, body in bodies.items():
+        assert got[k].before == f"---\nkind: note # kept\nflag: true\npath: {k}\n---\n{body or ''}" and got[k].error is None
+        assert got[k].after == f"---\nkind: task # kept\nflag: false\nfile: {k}\nrank: 3\n---\n{body or ''}"
+
+
 def run(spark, *args, stdin=""):
     out, src = io.StringIO(), io.StringIO(stdin)
     return cli.main(list(args), spark=spark, stdin=src, out=out), out.getvalue()
