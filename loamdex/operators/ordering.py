@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamdex.expr import DynamicField, StaticField
+from loamdex.session import checkpointed
 
 
 @dataclass(frozen=True)
@@ -48,3 +49,18 @@ def sort_columns(keys: list[OrderKey], bind, last: Column) -> list[Column]:
         out.append(null.desc() if k.nulls_first else null.asc())
         out += [v.desc_nulls_last() if k.desc else v.asc_nulls_last() for v in values]
     return [*out, last.asc()]
+
+
+def places(ordered: DataFrame, id: str = "packet_id") -> DataFrame:
+    """(id, r): the place of every row of a sorted table, from 1: its number inside its range partition, after all rows of those before.
+
+    The numbered rows are checkpointed, so that ranges sampled again can't move a row; one count a partition is collected.
+    """
+    n = F.monotonically_increasing_id()
+    rows = checkpointed(ordered.select(id, F.shiftright(n, 33).alias("part"), n.bitwiseAND(F.lit((1 << 33) - 1)).alias("at")))
+    before, offsets = 0, []
+    for part, count in sorted(map(tuple, rows.groupBy("part").count().collect())):
+        offsets.append((part, before))
+        before += count
+    first = ordered.sparkSession.createDataFrame(offsets, "part long, first long")
+    return rows.join(F.broadcast(first), "part").select(id, (F.col("first") + F.col("at") + 1).alias("r"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loamdex.operators import graph
 from loamdex.operators.aggregate import Avg, Count, Max, Min, Sum
+from loamdex.operators.ordering import places
 from loamdex.operators.pattern import PatternQuery
 from loamdex.operators.profile import profile
 from loamdex.plans.query import Query, compile_query
@@ -165,20 +166,19 @@ def _dynamic(spark, sf) -> Workspace:
 
 @query("select packet_id, r from (select c_custkey::varchar packet_id, row_number() over (order by c_mktsegment, c_acctbal desc, c_custkey::varchar) r from customer) where r <= 50")
 def order_by_keys(spark, sf):
-    df = compile_query("* ORDER BY c_mktsegment, c_acctbal DESC", _ws(spark, sf, "customer", "c_custkey")).df().limit(50)
-    return _placed(df)
+    return order_by_keys_all(spark, sf).filter("r <= 50")
 
 
-def _placed(df: DataFrame) -> DataFrame:
-    """The place of each of a few sorted rows."""
-    rows = [(r.packet_id, k + 1) for k, r in enumerate(df.select("packet_id").collect())]
-    return df.sparkSession.createDataFrame(rows, "packet_id string, r long")
+@query("select c_custkey::varchar packet_id, row_number() over (order by c_mktsegment, c_acctbal desc, c_custkey::varchar) r from customer")
+def order_by_keys_all(spark, sf):
+    """The place of every customer."""
+    return places(compile_query("* ORDER BY c_mktsegment, c_acctbal DESC", _ws(spark, sf, "customer", "c_custkey")).df())
 
 
 @query("select packet_id, r from (select n_nationkey::varchar packet_id, row_number() over (order by nullif(n_regionkey, 2) desc nulls last, n_nationkey::varchar) r from nation)")
 def order_nulls(spark, sf):
     n = table(spark, sf, "nation").withColumn("region", F.nullif("n_regionkey", F.lit(2)))
-    return _placed(compile_query("* ORDER BY region DESC NULLS LAST", Workspace.of(n, id="n_nationkey")).df())
+    return places(compile_query("* ORDER BY region DESC NULLS LAST", Workspace.of(n, id="n_nationkey")).df())
 
 
 @query(
@@ -188,11 +188,23 @@ def order_nulls(spark, sf):
     select packet_id, r from (select packet_id, row_number() over (order by rk, n nulls last, case when rk = 4 then s end nulls last, packet_id) r from k) where r <= 100"""
 )
 def order_mixed_types(spark, sf):
+    return order_mixed_types_all(spark, sf).filter("r <= 100")
+
+
+@query(
+    """with v as (select distinct packet_id, json_extract(frontmatter, '$.priority') p from packets where json_valid(frontmatter)),
+    k as (select packet_id, json_type(p) t, case when json_type(p) = 'BOOLEAN' then p::boolean::int::double when json_type(p) in ('UBIGINT', 'BIGINT', 'DOUBLE') then p::double end n, json_extract_string(p, '$') s
+        from v where p is not null and json_type(p) not in ('NULL', 'ARRAY', 'OBJECT')),
+    c as (select *, case when t = 'BOOLEAN' then 1 when t != 'VARCHAR' then 2 when regexp_full_match(s, '\\d{4}-\\d\\d-\\d\\d(T\\d\\d:\\d\\d:\\d\\d)?') then 3 else 4 end rk from k)
+    select packet_id, row_number() over (order by rk, n nulls last, case when rk > 2 then s end nulls last, packet_id) r from c"""
+)
+def order_mixed_types_all(spark, sf):
+    """The place of every packet with a scalar priority: truth values, numbers, dates, then texts."""
     from loamdex.expr import Pred
 
     ws = _dynamic(spark, sf)
     q = Query(ws).where_expr(Pred("priority", "is_null", False)).where(priority__exists=True).where_expr(~Pred("priority", "type", "list") & ~Pred("priority", "type", "map"))
-    return _placed(q.order_by("priority").df().limit(100))
+    return places(q.order_by("priority").df())
 
 
 # ------------------------------------------------------------------ aggregation

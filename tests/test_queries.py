@@ -1,14 +1,17 @@
 """Order, groups, profile, references and patterns on small workspaces."""
 
 import datetime as dt
+import json
 
 import pytest
+from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from conftest import workspace
 from loamdex.errors import PatternError, QueryError
 from loamdex.operators import graph
 from loamdex.operators.aggregate import Avg, Count, Max, Min, Sum
-from loamdex.operators.ordering import OrderKey
+from loamdex.operators.ordering import OrderKey, places
 from loamdex.operators.pattern import PatternQuery
 from loamdex.operators.profile import report, report_json, report_text
 from loamdex.plans.query import Query, compile_query
@@ -31,6 +34,26 @@ def test_order_places_nulls_and_types(spark):
         OrderKey("k", nulls="middle")
 
 
+def test_places_of_all_rows_over_partitions(spark):
+    df = spark.range(5000).select(F.col("id").cast("string").alias("packet_id"), (F.col("id") % 7).alias("k")).repartition(5)
+    got = places(df.orderBy("k", F.col("packet_id").desc()))
+    want = sorted(((i % 7, str(i)) for i in range(5000)), key=lambda x: x[1], reverse=True)
+    want = [x for _, x in sorted(want, key=lambda x: x[0])]
+    assert sorted((r.r, r.packet_id) for r in got.collect()) == list(enumerate(want, 1))
+    assert places(df.filter("k > 7").orderBy("k")).collect() == []
+
+
+def test_registered_orders_place_every_row(spark, tmp_path):
+    heads = [*(json.dumps({"priority": i % 9}) for i in range(150)), '{"priority": "high"}', '{"priority": true}', '{"priority": "2026-01-01"}', '{"priority": null}', None]
+    rows = [(f"p{i:03}", h, "") for i, h in enumerate(heads)]
+    spark.createDataFrame(rows, "packet_id string, frontmatter string, body string").write.parquet(str(tmp_path / "packets.parquet"))
+    got = {r.packet_id: r.r for r in entry.queries()["order_mixed_types_all"](spark, str(tmp_path)).collect()}
+    assert len(got) == 153 and (got["p151"], got["p000"], got["p152"], got["p150"]) == (1, 2, 152, 153)
+    spark.createDataFrame([(i, "S", float(i)) for i in range(120)], "c_custkey long, c_mktsegment string, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
+    got = {r.packet_id: r.r for r in entry.queries()["order_by_keys_all"](spark, str(tmp_path)).collect()}
+    assert got == {str(i): 120 - i for i in range(120)}
+
+
 def test_groups(project):
     tasks = Query(project).where(type="task")
     assert tasks.group_by("status").as_dict(n=Count(), p=Sum("priority")) == {"active": {"n": 3, "p": 10}, "done": {"n": 1, "p": 1}}
