@@ -428,6 +428,19 @@ def rrf_fusion(spark, sf):
     return rank.rrf(h.filter("backend = 'bm25'"), h.filter("backend = 'dense'")).select("packet_id", F.round("score", 9).alias("score"))
 
 
+@query(
+    """with h as (select query_id, backend, packet_id, max(score) s from search_hits where score is not null group by 1, 2, 3),
+    p as (select *, row_number() over (partition by query_id, backend order by s desc, packet_id) r from h)
+    select query_id, packet_id, round(sum(1.0 / (60 + r)), 9) score from p group by 1, 2"""
+)
+def rrf_fusion_all(spark, sf):
+    """Every query's hits of all backends, fused."""
+    h = table(spark, sf, "search_hits").filter("score is not null").groupBy("query_id", "backend", "packet_id").agg(F.max("score").alias("score"))
+    backends = sorted(r.backend for r in h.filter("backend is not null").select("backend").distinct().collect())  # a handful of names
+    lists = [h.filter(F.col("backend").eqNullSafe(F.lit(b))) for b in [*backends, None]]
+    return rank.rrf(*lists, by="query_id").select("query_id", "packet_id", F.round("score", 9).alias("score"))
+
+
 @query("select doc_id::varchar packet_id, sha256('title' || chr(10) || case when trim(coalesce(title, '')) = '' then '' else trim(title) end) hash from documents")
 def document_hash(spark, sf):
     from loamdex.search.hybrid import document, document_hash as hashed
@@ -448,6 +461,25 @@ def index_diff(spark, sf):
     return record_delta(state(table(spark, sf, "packet_index").filter("run_id = 12")), state(table(spark, sf, "packets"))).withColumnRenamed("record", "packet_id")
 
 
+@query(
+    """with p as (select packet_id, max(lower(content_hash)) h from packets where packet_id is not null group by 1),
+    i as (select run_id, packet_id, max(lower(content_hash)) h from packet_index where packet_id is not null and run_id is not null group by 1, 2),
+    w as (select run_id, packet_id, p.h from (select distinct run_id from i), p)
+    select coalesce(w.run_id, i.run_id) run_id, coalesce(w.packet_id, i.packet_id) packet_id, case when i.packet_id is null then 'new' when w.packet_id is null then 'removed' else 'changed' end change_kind
+    from w full join i on w.run_id = i.run_id and w.packet_id = i.packet_id where i.packet_id is null or w.packet_id is null or w.h is distinct from i.h"""
+)
+def index_diff_all(spark, sf):
+    """What each run of the index lacks, has in excess or has in another state than the packets; every run is compared."""
+    from loamdex.operators.increment import record_delta
+
+    digest = F.max(F.lower("content_hash")).alias("digest")
+    i = table(spark, sf, "packet_index").filter("packet_id is not null and run_id is not null")
+    key = F.struct("run_id", "packet_id").alias("record")
+    stored = i.groupBy("run_id", "packet_id").agg(digest).select(key, "digest")
+    present = table(spark, sf, "packets").filter("packet_id is not null").groupBy("packet_id").agg(digest).crossJoin(F.broadcast(i.select("run_id").distinct())).select(key, "digest")
+    return record_delta(stored, present).select("record.run_id", "record.packet_id", "change_kind")
+
+
 # ------------------------------------------------------------------ edits
 
 

@@ -56,19 +56,21 @@ def nearest(vectors: DataFrame, query: list[float], k: int, *, id: str = "packet
     return d.orderBy(F.col("score").desc(), "packet_id").limit(k)
 
 
-def rrf(*ranked: DataFrame, k_rrf: int = K_RRF) -> DataFrame:
-    """(packet_id, score) of several short ranked lists (packet_id, score): sum of 1 / (k + rank); ties keep the earlier list's order.
+def rrf(*ranked: DataFrame, k_rrf: int = K_RRF, by: str | None = None) -> DataFrame:
+    """(packet_id, score) of several ranked lists (packet_id, score): sum of 1 / (k + rank); ties keep the earlier list's order.
 
-    The lists are top-k results, so that one window over each is bounded by k.
+    With ``by`` each value of that column is a query of its own, ranked and fused apart in its own window partition. Without it
+    the lists are top-k results, so that one window over each is bounded by k.
     """
+    keys = [by] if by else []
     parts = []
     for n, r in enumerate(ranked):
-        place = F.row_number().over(Window.orderBy(F.col("score").desc(), "packet_id"))
-        parts.append(r.select("packet_id", place.alias("r"), F.lit(n).alias("list")))
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("score").desc(), "packet_id"))
+        parts.append(r.select(*keys, "packet_id", place.alias("r"), F.lit(n).alias("list")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.groupBy("packet_id").agg(F.sum(1 / (F.lit(k_rrf) + F.col("r"))).alias("score"), F.min(F.struct("list", "r")).alias("first"))
+    return out.groupBy(*keys, "packet_id").agg(F.sum(1 / (F.lit(k_rrf) + F.col("r"))).alias("score"), F.min(F.struct("list", "r")).alias("first"))
 
 
 def ranked(hits: DataFrame, k: int | None) -> DataFrame:

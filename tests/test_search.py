@@ -3,6 +3,7 @@ import math
 
 import pytest
 
+import __spark_entry__ as entry
 from conftest import workspace
 from loamdex.errors import BackendKindError, BackendNotFound, BackendUnavailable, IndexVersionError
 from loamdex.plans.query import Query
@@ -61,6 +62,20 @@ def test_rrf(spark):
     assert got == [("c", pytest.approx(1 / 63 + 1 / 61)), ("b", pytest.approx(2 / 62)), ("a", pytest.approx(1 / 61)), ("d", pytest.approx(1 / 63))]
 
 
+def test_all_queries_and_backends_are_fused(spark, tmp_path):
+    hits = [(1, "bm25", "a", 2.0), (1, "dense", "b", 9.0), (2, "regex", "a", 1.0), (2, None, "a", 5.0), (2, "regex", "c", 3.0), (2, "regex", "c", None)]
+    spark.createDataFrame(hits, "query_id long, backend string, packet_id string, score double").write.parquet(str(tmp_path / "search_hits.parquet"))
+    got = {(r.query_id, r.packet_id): r.score for r in entry.queries()["rrf_fusion_all"](spark, str(tmp_path)).collect()}
+    assert got == {k: pytest.approx(v, abs=1e-8) for k, v in {(1, "a"): 1 / 61, (1, "b"): 1 / 61, (2, "a"): 1 / 62 + 1 / 61, (2, "c"): 1 / 61}.items()}
+
+
+def test_all_runs_are_compared(spark, tmp_path):
+    spark.createDataFrame([("a", "X"), ("b", "y")], "packet_id string, content_hash string").write.parquet(str(tmp_path / "packets.parquet"))
+    spark.createDataFrame([("a", "x", 1), ("b", "z", 1), ("b", "y", 2), ("c", "q", 2)], "packet_id string, content_hash string, run_id long").write.parquet(str(tmp_path / "packet_index.parquet"))
+    got = entry.queries()["index_diff_all"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(1, "b", "changed"), (2, "a", "new"), (2, "c", "removed")]
+
+
 def test_bm25_against_plain_formula(spark):
     texts = {"1": "the cat sat", "2": "the dog and the cat and the cat", "3": "", "4": "naïve dog"}
     docs = spark.createDataFrame(list(texts.items()), "packet_id string, text string")
