@@ -449,6 +449,21 @@ def document_hash(spark, sf):
     return ws.packets.select("packet_id", hashed(document(ws, ("title",), 8000), ("title",)).alias("hash"))
 
 
+_SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+@query(
+    rf"""with d as (select doc_id::varchar packet_id, nullif(trim(title), '') h, nullif(regexp_replace(text, '^{_SPACE}+|{_SPACE}+$', '', 'g'), '') b from documents)
+    select packet_id, sha256('title' || chr(10) || concat_ws(chr(10) || chr(10), h, b)) hash from d"""
+)
+def document_hash_all(spark, sf):
+    """Hashes over title and whole text."""
+    from loamdex.search.hybrid import document, document_hash as hashed
+
+    ws = _ws(spark, sf, "documents", "doc_id", body="text")
+    return ws.packets.select("packet_id", hashed(document(ws, ("title",), None), ("title",)).alias("hash"))
+
+
 @query(
     """with p as (select packet_id, max(lower(content_hash)) h from packets group by 1), i as (select packet_id, max(lower(content_hash)) h from packet_index where run_id = 12 group by 1)
     select coalesce(p.packet_id, i.packet_id) packet_id, case when i.packet_id is null then 'new' when p.packet_id is null then 'removed' else 'changed' end change_kind

@@ -27,8 +27,8 @@ if TYPE_CHECKING:
 FORMAT = 1
 
 
-def document(ws: Workspace, fields: tuple[str, ...], max_tokens: int) -> Column:
-    """The first field that isn't blank, a blank line, the body; cut at about ``max_tokens`` tokens of four characters."""
+def document(ws: Workspace, fields: tuple[str, ...], max_tokens: int | None) -> Column:
+    """The first field that isn't blank, a blank line, the body; cut at about ``max_tokens`` tokens of four characters, whole if None."""
     heads = []
     for f in fields:
         x = ws.field(f)
@@ -36,7 +36,8 @@ def document(ws: Workspace, fields: tuple[str, ...], max_tokens: int) -> Column:
         heads.append(F.nullif(F.trim(text), F.lit("")))
     head = F.coalesce(*heads) if heads else F.lit(None).cast("string")
     body = F.nullif(F.regexp_replace(ws.body_column(), r"(?U)^\s+|\s+$", ""), F.lit(""))
-    return F.substring(F.concat_ws("\n\n", head, body), 1, 4 * max_tokens)
+    text = F.concat_ws("\n\n", head, body)
+    return text if max_tokens is None else F.substring(text, 1, 4 * max_tokens)
 
 
 def document_hash(text: Column, fields: tuple[str, ...]) -> Column:

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import math
 
@@ -76,6 +77,15 @@ def test_all_runs_are_compared(spark, tmp_path):
     assert sorted(map(tuple, got)) == [(1, "b", "changed"), (2, "a", "new"), (2, "c", "removed")]
 
 
+def test_hash_of_whole_documents(spark, tmp_path):
+    long = "x" * 50_000
+    docs = [(1, " T ", "\u00a0 a\tb \n\u2028"), (2, None, None), (3, " ", ""), (4, "T", long + "1"), (5, "T", long + "2"), (6, "", " \r\n")]
+    spark.createDataFrame(docs, "doc_id long, title string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.packet_id: r.hash for r in entry.queries()["document_hash_all"](spark, str(tmp_path)).collect()}
+    want = {"1": "T\n\na\tb", "2": "", "3": "", "4": f"T\n\n{long}1", "5": f"T\n\n{long}2", "6": ""}
+    assert got == {k: hashlib.sha256(f"title\n{t}".encode()).hexdigest() for k, t in want.items()}
+
+
 def test_bm25_against_plain_formula(spark):
     texts = {"1": "the cat sat", "2": "the dog and the cat and the cat", "3": "", "4": "naïve dog"}
     docs = spark.createDataFrame(list(texts.items()), "packet_id string, text string")
