@@ -47,6 +47,19 @@ def record_delta(before: DataFrame, after: DataFrame, buckets: int = BUCKETS) ->
     return b.join(a, "record", "full").select("record", kind.alias("change_kind")).filter("change_kind is not null")
 
 
+def record_deltas(before: DataFrame, after: DataFrame, name: str) -> DataFrame:
+    """(name, record, change_kind) of ``record_delta`` from each of a few states, told apart by the column ``name``, to ``after``.
+
+    The states of a record are gathered first, so that what is shuffled doesn't grow with the number of states.
+    """
+    states = before.select(name).distinct()
+    b = before.groupBy("record").agg(F.map_from_entries(F.collect_list(F.struct(name, F.struct("digest")))).alias("b"))
+    a = after.select("record", F.struct("digest").alias("a"))
+    own = F.col("b")[F.col(name)]
+    kind = F.when(F.col("a").isNull() & own.isNotNull(), "removed").when(F.col("a").isNotNull() & own.isNull(), "new").when(~F.col("a").eqNullSafe(own), "changed")
+    return b.join(a, "record", "full").crossJoin(F.broadcast(states)).select(name, "record", kind.alias("change_kind")).filter("change_kind is not null")
+
+
 def stored_state(index: DataFrame, runs: DataFrame) -> DataFrame:
     """What successful runs stored last: the entries of other runs and superseded ones are the deletion vector."""
     ok = runs.filter(F.col("run_status") == "ok").select("run_id").distinct()

@@ -485,14 +485,12 @@ def index_diff(spark, sf):
 )
 def index_diff_all(spark, sf):
     """What each run of the index lacks, has in excess or has in another state than the packets; every run is compared."""
-    from loamdex.operators.increment import record_delta
+    from loamdex.operators.increment import record_deltas
 
-    digest = F.max(F.lower("content_hash")).alias("digest")
-    i = table(spark, sf, "packet_index").filter("packet_id is not null and run_id is not null")
-    key = F.struct("run_id", "packet_id").alias("record")
-    stored = i.groupBy("run_id", "packet_id").agg(digest).select(key, "digest")
-    present = table(spark, sf, "packets").filter("packet_id is not null").groupBy("packet_id").agg(digest).crossJoin(F.broadcast(i.select("run_id").distinct())).select(key, "digest")
-    return record_delta(stored, present).select("record.run_id", "record.packet_id", "change_kind")
+    id, digest = F.col("packet_id").alias("record"), F.max(F.lower("content_hash")).alias("digest")
+    stored = table(spark, sf, "packet_index").filter("packet_id is not null and run_id is not null").groupBy(id, "run_id").agg(digest)
+    present = table(spark, sf, "packets").filter("packet_id is not null").groupBy(id).agg(digest)
+    return record_deltas(stored, present, "run_id").withColumnRenamed("record", "packet_id")
 
 
 # ------------------------------------------------------------------ edits
