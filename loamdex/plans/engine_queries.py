@@ -164,13 +164,8 @@ def _dynamic(spark, sf) -> Workspace:
 # ------------------------------------------------------------------ order
 
 
-@query("select packet_id, r from (select c_custkey::varchar packet_id, row_number() over (order by c_mktsegment, c_acctbal desc, c_custkey::varchar) r from customer) where r <= 50")
-def order_by_keys(spark, sf):
-    return order_by_keys_all(spark, sf).filter("r <= 50")
-
-
 @query("select c_custkey::varchar packet_id, row_number() over (order by c_mktsegment, c_acctbal desc, c_custkey::varchar) r from customer")
-def order_by_keys_all(spark, sf):
+def order_by_keys(spark, sf):
     """The place of every customer."""
     return places(compile_query("* ORDER BY c_mktsegment, c_acctbal DESC", _ws(spark, sf, "customer", "c_custkey")).df())
 
@@ -181,16 +176,6 @@ def order_nulls(spark, sf):
     return places(compile_query("* ORDER BY region DESC NULLS LAST", Workspace.of(n, id="n_nationkey")).df())
 
 
-@query(
-    """with v as (select distinct packet_id, json_extract(frontmatter, '$.priority') p from packets where json_valid(frontmatter)),
-    k as (select packet_id, case json_type(p) when 'BOOLEAN' then 1 when 'UBIGINT' then 2 when 'BIGINT' then 2 when 'DOUBLE' then 2 when 'VARCHAR' then 4 else 9 end rk,
-        case when json_type(p) in ('UBIGINT', 'BIGINT', 'DOUBLE') then p::double end n, json_extract_string(p, '$') s from v where p is not null and json_type(p) not in ('NULL', 'ARRAY', 'OBJECT'))
-    select packet_id, r from (select packet_id, row_number() over (order by rk, n nulls last, case when rk = 4 then s end nulls last, packet_id) r from k) where r <= 100"""
-)
-def order_mixed_types(spark, sf):
-    return order_mixed_types_all(spark, sf).filter("r <= 100")
-
-
 @query(
     """with v as (select distinct packet_id, json_extract(frontmatter, '$.priority') p from packets where json_valid(frontmatter)),
     k as (select packet_id, json_type(p) t, case when json_type(p) = 'BOOLEAN' then p::boolean::int::double when json_type(p) in ('UBIGINT', 'BIGINT', 'DOUBLE') then p::double end n, json_extract_string(p, '$') s
@@ -198,7 +183,7 @@ def order_mixed_types(spark, sf):
     c as (select *, case when t = 'BOOLEAN' then 1 when t != 'VARCHAR' then 2 when regexp_full_match(s, '\\d{4}-\\d\\d-\\d\\d(T\\d\\d:\\d\\d:\\d\\d)?') then 3 else 4 end rk from k)
     select packet_id, row_number() over (order by rk, n nulls last, case when rk > 2 then s end nulls last, packet_id) r from c"""
 )
-def order_mixed_types_all(spark, sf):
+def order_mixed_types(spark, sf):
     """The place of every packet with a scalar priority: truth values, numbers, dates, then texts."""
     from loamdex.expr import Pred
 
@@ -418,22 +403,12 @@ def knn_cosine(spark, sf):
     return rank.nearest(e, _PROBE, 20, metric="cosine").withColumn("score", F.round("score", 6))
 
 
-@query(
-    """with a as (select packet_id, row_number() over (order by max(score) desc, packet_id) r from search_hits where query_id = 5 and backend = 'bm25' and score is not null group by 1),
-    b as (select packet_id, row_number() over (order by max(score) desc, packet_id) r from search_hits where query_id = 5 and backend = 'dense' and score is not null group by 1)
-    select packet_id, round(sum(1.0 / (60 + r)), 9) score from (select * from a union all select * from b) group by 1"""
-)
-def rrf_fusion(spark, sf):
-    h = table(spark, sf, "search_hits").filter("query_id = 5 and score is not null").groupBy("backend", "packet_id").agg(F.max("score").alias("score"))
-    return rank.rrf(h.filter("backend = 'bm25'"), h.filter("backend = 'dense'")).select("packet_id", F.round("score", 9).alias("score"))
-
-
 @query(
     """with h as (select query_id, backend, packet_id, max(score) s from search_hits where score is not null group by 1, 2, 3),
     p as (select *, row_number() over (partition by query_id, backend order by s desc, packet_id) r from h)
     select query_id, packet_id, round(sum(1.0 / (60 + r)), 9) score from p group by 1, 2"""
 )
-def rrf_fusion_all(spark, sf):
+def rrf_fusion(spark, sf):
     """Every query's hits of all backends, fused."""
     h = table(spark, sf, "search_hits").filter("score is not null").groupBy("query_id", "backend", "packet_id").agg(F.max("score").alias("score"))
     backends = sorted(r.backend for r in h.filter("backend is not null").select("backend").distinct().collect())  # a handful of names
@@ -441,14 +416,6 @@ def rrf_fusion_all(spark, sf):
     return rank.rrf(*lists, by="query_id").select("query_id", "packet_id", F.round("score", 9).alias("score"))
 
 
-@query("select doc_id::varchar packet_id, sha256('title' || chr(10) || case when trim(coalesce(title, '')) = '' then '' else trim(title) end) hash from documents")
-def document_hash(spark, sf):
-    from loamdex.search.hybrid import document, document_hash as hashed
-
-    ws = _ws(spark, sf, "documents", "doc_id")
-    return ws.packets.select("packet_id", hashed(document(ws, ("title",), 8000), ("title",)).alias("hash"))
-
-
 _SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
@@ -456,7 +423,7 @@ _SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\
     rf"""with d as (select doc_id::varchar packet_id, nullif(trim(title), '') h, nullif(regexp_replace(text, '^{_SPACE}+|{_SPACE}+$', '', 'g'), '') b from documents)
     select packet_id, sha256('title' || chr(10) || concat_ws(chr(10) || chr(10), h, b)) hash from d"""
 )
-def document_hash_all(spark, sf):
+def document_hash(spark, sf):
     """Hashes over title and whole text."""
     from loamdex.search.hybrid import document, document_hash as hashed
 
@@ -464,18 +431,6 @@ def document_hash_all(spark, sf):
     return ws.packets.select("packet_id", hashed(document(ws, ("title",), None), ("title",)).alias("hash"))
 
 
-@query(
-    """with p as (select packet_id, max(lower(content_hash)) h from packets group by 1), i as (select packet_id, max(lower(content_hash)) h from packet_index where run_id = 12 group by 1)
-    select coalesce(p.packet_id, i.packet_id) packet_id, case when i.packet_id is null then 'new' when p.packet_id is null then 'removed' else 'changed' end change_kind
-    from p full join i using (packet_id) where p.h is distinct from i.h"""
-)
-def index_diff(spark, sf):
-    from loamdex.operators.increment import record_delta
-
-    state = lambda d: d.groupBy(F.col("packet_id").alias("record")).agg(F.max(F.lower("content_hash")).alias("digest"))
-    return record_delta(state(table(spark, sf, "packet_index").filter("run_id = 12")), state(table(spark, sf, "packets"))).withColumnRenamed("record", "packet_id")
-
-
 @query(
     """with p as (select packet_id, max(lower(content_hash)) h from packets where packet_id is not null group by 1),
     i as (select run_id, packet_id, max(lower(content_hash)) h from packet_index where packet_id is not null and run_id is not null group by 1, 2),
@@ -483,14 +438,14 @@ def index_diff(spark, sf):
     select coalesce(w.run_id, i.run_id) run_id, coalesce(w.packet_id, i.packet_id) packet_id, case when i.packet_id is null then 'new' when w.packet_id is null then 'removed' else 'changed' end change_kind
     from w full join i on w.run_id = i.run_id and w.packet_id = i.packet_id where i.packet_id is null or w.packet_id is null or w.h is distinct from i.h"""
 )
-def index_diff_all(spark, sf):
+def index_diff(spark, sf):
     """What each run of the index lacks, has in excess or has in another state than the packets; every run is compared."""
-    from loamdex.operators.increment import record_deltas
+    from loamdex.operators.increment import state_changes
 
     id, digest = F.col("packet_id").alias("record"), F.max(F.lower("content_hash")).alias("digest")
     stored = table(spark, sf, "packet_index").filter("packet_id is not null and run_id is not null").groupBy(id, "run_id").agg(digest)
     present = table(spark, sf, "packets").filter("packet_id is not null").groupBy(id).agg(digest)
-    return record_deltas(stored, present, "run_id").withColumnRenamed("record", "packet_id")
+    return state_changes(stored, present, "run_id").withColumnRenamed("record", "packet_id")
 
 
 # ------------------------------------------------------------------ edits

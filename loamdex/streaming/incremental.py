@@ -34,10 +34,11 @@ def upsert(stream: DataFrame, target, *, checkpoint: str, work=lambda df: df) ->
     """Each micro-batch into a versioned table, its number saved in the same commit, so that a batch that is run again changes nothing."""
 
     def batch(df: DataFrame, n: int) -> None:
-        if target.read_manifest()["processed"].get("stream", -1) >= n:
+        m = target.read_manifest()
+        if m["processed"].get("stream", -1) >= n:
             return
         out = work(df).persist()
-        target.commit(out, out.select(target.key), {"stream": n})
+        target.commit(out, out.select(target.key), {"stream": n}, base=m["version"])
         out.unpersist()
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -136,12 +136,40 @@ def test_new_and_changed(spark):
     assert increment.found(packets.limit(0), index, runs).collect() == []
 
 
-def test_unchanged_files_are_skipped(spark):
+def test_rows_come_from_the_manifests(spark, tmp_path):
+    packets = spark.createDataFrame([(f"p{k}", "new" if k % 10 == 0 else f"h{k}", None) for k in range(300)], "packet_id string, content_hash string, deleted_at timestamp_ntz")
+    index = spark.createDataFrame([(k, f"p{k}", f"H{k}", D(2026, 1, 1), 1) for k in range(295)], "entry_id long, packet_id string, content_hash string, indexed_at timestamp_ntz, run_id long")
+    runs = spark.createDataFrame([(1, "ok")], "run_id long, run_status string")
+    again = lambda: {(r.packet_id, r.change_kind) for r in increment.found(packets, index, runs, folder=str(tmp_path / "x"), file_rows=40).collect()}
+    want = {(f"p{k}", "new" if k >= 295 else "changed") for k in range(300) if k % 10 == 0 or k >= 295}
+    assert again() == want
+    out = increment.VersionedTable(spark, str(tmp_path / "x" / "delta"), "record")
+    assert (out.version(), out.read_manifest()["processed"]) == (2, {"source": 2})
+    assert again() == want and out.version() == 2  # a run that is repeated finds its work done
+
+
+def test_unchanged_files_are_neither_read_nor_written(spark, tmp_path):
+    t = increment.VersionedTable(spark, str(tmp_path / "t"), "record", file_rows=50)
     a = spark.range(1000).selectExpr("cast(id as string) record", "'x' digest")
     b = a.selectExpr("record", "if(record = '7', 'y', digest) digest").filter("record != '8'").unionByName(spark.createDataFrame([("new", "z")], "record string, digest string"))
-    files = increment.changed_files(increment.manifest(a), increment.manifest(b)).count()
-    assert 1 <= files <= 3
-    assert {tuple(r) for r in increment.record_delta(a, b).collect()} == {("7", "changed"), ("8", "removed"), ("new", "new")}
+    assert t.replace(a) == 1 and len(t.read_manifest()["files"]) == 20
+    assert t.replace(a) == 1
+    t.replace(b)
+    assert {(r.record, r.change_kind) for r in t.delta(1).collect()} == {("7", "changed"), ("8", "removed"), ("new", "new")}
+    m = t.read_manifest()
+    assert len(m["files"]) - 20 <= 2 and len(m["vectors"]) <= 2
+    read = t._live(t.read_manifest(1), {f["bucket"] for f in m["vectors"]})
+    assert len(read.inputFiles()) <= 2
+    want = sorted(map(tuple, b.collect()))
+    assert sorted(map(tuple, t.read().collect())) == want
+    t.compact()
+    m = t.read_manifest()
+    assert m["vectors"] == [] and sorted(map(tuple, t.read().collect())) == want
+    assert t.delta(m["version"] - 1).collect() == [] and sorted(map(tuple, t.read(1).collect())) == sorted(map(tuple, a.collect()))
+    t.replace(a)
+    assert {(r.record, r.change_kind) for r in t.delta(m["version"]).collect()} == {("7", "changed"), ("8", "new"), ("new", "removed")}
+    t.replace(a.limit(0))
+    assert t.read().collect() == []
 
 
 def test_versions_survive_failures(spark, tmp_path):
@@ -150,6 +178,7 @@ def test_versions_survive_failures(spark, tmp_path):
     out = increment.VersionedTable(spark, str(tmp_path / "out"), "k")
     double = lambda df: df.selectExpr("k", "v * 2 v")
     read = lambda t: sorted(map(tuple, t.read().collect()))
+    assert src.read() is None and src.version() == 0
     src.commit(rows(("a", 1), ("b", 2)))
     assert increment.process(src, out, double) == 1 and read(out) == [("a", 2), ("b", 4)]
     assert increment.process(src, out, double) is None
@@ -161,15 +190,35 @@ def test_versions_survive_failures(spark, tmp_path):
 
     with pytest.raises(RuntimeError):
         increment.process(src, out, fails)
+    put = out.storage.put_new
+    out.storage.put_new = lambda *a: (_ for _ in ()).throw(KeyboardInterrupt)  # killed with its files written, before the commit
+    with pytest.raises(KeyboardInterrupt):
+        increment.process(src, out, double)
+    out.storage.put_new = put
     assert read(out) == [("a", 2), ("b", 4)] and out.version() == 1
     assert increment.process(src, out, double) == 2 and read(out) == [("b", 10)] and read(src) == [("b", 5)]
     assert sorted(map(tuple, src.read(1).collect())) == [("a", 1), ("b", 2)]
     added, removed = src.changes(1)
     assert [tuple(r) for r in added.collect()] == [("b", 5)] and sorted(map(tuple, removed.collect())) == [("a", 1), ("b", 2)]
-    with pytest.raises(FileExistsError):
-        stale = increment.VersionedTable(spark, str(tmp_path / "out"), "k")
-        stale.version = lambda: 1  # another commit took version 2
-        stale.commit(rows(("z", 1)))
+
+
+def test_no_commit_is_lost(spark, tmp_path):
+    """Many commits at once: each is kept once; and of two runs over the same source just one commits."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    at = str(tmp_path / "t")
+    one = lambda k: increment.VersionedTable(spark, at, "k").commit(spark.createDataFrame([(f"k{k}", k)], "k string, v int"))
+    with ThreadPoolExecutor(6) as pool:
+        assert sorted(pool.map(one, range(6))) == [1, 2, 3, 4, 5, 6]
+    src = increment.VersionedTable(spark, at, "k")
+    assert sorted(r.v for r in src.read().collect()) == list(range(6))
+    run = lambda _: increment.process(src, increment.VersionedTable(spark, str(tmp_path / "out"), "k"), lambda df: df)
+    with ThreadPoolExecutor(3) as pool:
+        assert sorted(pool.map(run, range(3)), key=str) == [1, None, None]
+    out = increment.VersionedTable(spark, str(tmp_path / "out"), "k")
+    assert sorted(r.v for r in out.read().collect()) == list(range(6))
+    with pytest.raises(increment.CommitConflict):
+        out.commit(delete=spark.createDataFrame([("k1",)], "k string"), base=0)
 
 
 # ------------------------------------------------------------------ references

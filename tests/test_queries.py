@@ -47,10 +47,10 @@ def test_registered_orders_place_every_row(spark, tmp_path):
     heads = [*(json.dumps({"priority": i % 9}) for i in range(150)), '{"priority": "high"}', '{"priority": true}', '{"priority": "2026-01-01"}', '{"priority": null}', None]
     rows = [(f"p{i:03}", h, "") for i, h in enumerate(heads)]
     spark.createDataFrame(rows, "packet_id string, frontmatter string, body string").write.parquet(str(tmp_path / "packets.parquet"))
-    got = {r.packet_id: r.r for r in entry.queries()["order_mixed_types_all"](spark, str(tmp_path)).collect()}
+    got = {r.packet_id: r.r for r in entry.queries()["order_mixed_types"](spark, str(tmp_path)).collect()}
     assert len(got) == 153 and (got["p151"], got["p000"], got["p152"], got["p150"]) == (1, 2, 152, 153)
     spark.createDataFrame([(i, "S", float(i)) for i in range(120)], "c_custkey long, c_mktsegment string, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
-    got = {r.packet_id: r.r for r in entry.queries()["order_by_keys_all"](spark, str(tmp_path)).collect()}
+    got = {r.packet_id: r.r for r in entry.queries()["order_by_keys"](spark, str(tmp_path)).collect()}
     assert got == {str(i): 120 - i for i in range(120)}
 
 

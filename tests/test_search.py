@@ -66,14 +66,14 @@ def test_rrf(spark):
 def test_all_queries_and_backends_are_fused(spark, tmp_path):
     hits = [(1, "bm25", "a", 2.0), (1, "dense", "b", 9.0), (2, "regex", "a", 1.0), (2, None, "a", 5.0), (2, "regex", "c", 3.0), (2, "regex", "c", None)]
     spark.createDataFrame(hits, "query_id long, backend string, packet_id string, score double").write.parquet(str(tmp_path / "search_hits.parquet"))
-    got = {(r.query_id, r.packet_id): r.score for r in entry.queries()["rrf_fusion_all"](spark, str(tmp_path)).collect()}
+    got = {(r.query_id, r.packet_id): r.score for r in entry.queries()["rrf_fusion"](spark, str(tmp_path)).collect()}
     assert got == {k: pytest.approx(v, abs=1e-8) for k, v in {(1, "a"): 1 / 61, (1, "b"): 1 / 61, (2, "a"): 1 / 62 + 1 / 61, (2, "c"): 1 / 61}.items()}
 
 
 def test_all_runs_are_compared(spark, tmp_path):
     spark.createDataFrame([("a", "X"), ("b", "y")], "packet_id string, content_hash string").write.parquet(str(tmp_path / "packets.parquet"))
     spark.createDataFrame([("a", "x", 1), ("b", "z", 1), ("b", "y", 2), ("c", "q", 2)], "packet_id string, content_hash string, run_id long").write.parquet(str(tmp_path / "packet_index.parquet"))
-    got = entry.queries()["index_diff_all"](spark, str(tmp_path)).collect()
+    got = entry.queries()["index_diff"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == [(1, "b", "changed"), (2, "a", "new"), (2, "c", "removed")]
 
 
@@ -81,7 +81,7 @@ def test_hash_of_whole_documents(spark, tmp_path):
     long = "x" * 50_000
     docs = [(1, " T ", "\u00a0 a\tb \n\u2028"), (2, None, None), (3, " ", ""), (4, "T", long + "1"), (5, "T", long + "2"), (6, "", " \r\n")]
     spark.createDataFrame(docs, "doc_id long, title string, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.packet_id: r.hash for r in entry.queries()["document_hash_all"](spark, str(tmp_path)).collect()}
+    got = {r.packet_id: r.hash for r in entry.queries()["document_hash"](spark, str(tmp_path)).collect()}
     want = {"1": "T\n\na\tb", "2": "", "3": "", "4": f"T\n\n{long}1", "5": f"T\n\n{long}2", "6": ""}
     assert got == {k: hashlib.sha256(f"title\n{t}".encode()).hexdigest() for k, t in want.items()}
 
