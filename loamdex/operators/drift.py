@@ -7,8 +7,10 @@ values are replayed into new typed columns and leave the rescue column.
 
 The drift report compares, of each two scans in a row, the observed fields, their majority
 types and, to tell a rename from a removal and an addition, the distributions of what the values consist
-of. All counts are partial aggregates, taken in batches first; one group of the final comparison
-holds the counts of one workspace, not its packets.
+of: of each ended and each begun field of one type, the shares of the hashed parts both have are joined
+and summed. All of it is partial aggregation and joins on (workspace, scan, part), so no task holds a workspace; what
+comes to the assignment of names is one row for each pair of an ended and a begun field.
+The report also says which names mean one field, and those are what the consistent table promotes (``approved``).
 
 Defined results: unreadable, null and empty frontmatter has no field (such packets still count
 for the existence of their scan); of two types that are equally frequent the first by name
@@ -22,15 +24,19 @@ import datetime as dt
 import json
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamdex.session import checkpointed
+
 # The stable core of the project's heads; all else is rescued until it is promoted.
 TARGET = {"uuid": "str", "title": "str", "type": "str", "owner": "str", "in_sprint": "str"}
 SAME_CONTENT = 0.2
+# Counts a task keeps before it passes them on.
+_HELD = 200_000
 _DATE = re.compile(r"\d{4}-\d\d-\d\d")
 _DATETIME = re.compile(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d")
 
@@ -66,14 +72,16 @@ def parts_of(v) -> list[str]:
         return [p for x in v for p in parts_of(x)]
     if t == "map":
         return [f"k{k}" for k in v]
-    return [x.strip()[:12] for x in re.split("[,;]", re.sub(r"\d+", "9", v.lower()))]
+    return [x.strip() for x in re.split("[,;]", re.sub(r"\d+", "9", v.lower()))]
 
 
 @lru_cache(1 << 16)
-def _content(text: str) -> tuple[str, tuple[str, ...]]:
-    """Type and distinct parts of a value given as JSON; most values come again and again."""
+def _content(text: str) -> tuple[str, tuple[int, ...]]:
+    """Type and hashes of the distinct parts of a value given as JSON; most values come again and again."""
+    from xxhash import xxh64_intdigest
+
     v = json.loads(text)
-    return type_of(v), tuple(set(parts_of(v)))
+    return type_of(v), tuple(xxh64_intdigest(p) - (1 << 63) for p in set(parts_of(v)))
 
 
 # Target type -> (Spark type, observed types that can be cast to it).
@@ -176,95 +184,145 @@ def promote(ingested: DataFrame, fields: dict[str, tuple[str, list[str]]], *, pr
     return d.withColumns(typed | {"_rescued": F.col("_x.rescued")}).drop("_x")
 
 
-def _type(kinds: dict[str, int]) -> str | None:
-    """The most frequent type but null; of equals the first by name."""
-    own = {k: n for k, n in kinds.items() if k != "null"}
-    return min(own, key=lambda k: (-own[k], k)) if own else None
-
-
-def renames(ended: dict[str, tuple], begun: dict[str, tuple], same_content: float) -> dict[str, str]:
-    """One-to-one renames among fields (type, parts): of one type and like content, the most alike pair first."""
-    pairs = []
-    for old, (kind, a) in ended.items():
-        for new, (other, b) in begun.items():
-            if kind is not None and kind == other:
-                x, y = sum(a.values()) or 1, sum(b.values()) or 1
-                alike = sum(min(a[p] / x, b[p] / y) for p in a.keys() & b.keys())
-                if alike >= same_content:
-                    pairs.append((-alike, old, new))
-    out: dict[str, str] = {}
-    for _, old, new in sorted(pairs):
-        if old not in out and new not in out.values():
-            out[old] = new
-    return out
-
-
-def _changes(same_content: float):
-    def run(pdf):
-        import pandas as pd
-
-        kinds: dict = defaultdict(lambda: defaultdict(dict))
-        parts: dict = defaultdict(lambda: defaultdict(Counter))
-        scans = set()
-        for s, f, mark, v, n in zip(pdf.scan_no, pdf.field, pdf["mark"], pdf.value, pdf.n):
-            if mark == "s":
-                scans.add(s)
-            elif mark == "t":
-                kinds[s][f][v] = n
-            else:
-                parts[s][f][v] = n
-        rows = []
-        for was, now in zip(sorted(scans), sorted(scans)[1:]):
-            before, after = ({f: (_type(k), parts[s][f]) for f, k in kinds[s].items()} for s in (was, now))
-            ended, begun = ({f: x[f] for f in x if f not in y} for x, y in ((before, after), (after, before)))
-            named = renames(ended, begun, same_content)
-            rows += [(now, f, "retyped", after[f][0]) for f in before.keys() & after.keys() if before[f][0] and after[f][0] and before[f][0] != after[f][0]]
-            rows += [(now, f, "renamed", named[f]) if f in named else (now, f, "removed", "") for f in ended]
-            rows += [(now, f, "added", "") for f in begun if f not in named.values()]
-        out = pd.DataFrame(rows, columns=["scan_no", "field", "change_kind", "became"])
-        return out.astype(dict.fromkeys(["field", "change_kind", "became"], object)).assign(workspace=pd.Series([pdf.workspace.iloc[0]] * len(out), dtype=object))
-
-    return run
-
-
 def field_counts(ingested: DataFrame, schema: dict[str, str], *, prefix: str = "") -> DataFrame:
-    """(workspace, scan_no, field, mark, value, n): how often a field has a type (mark t) and holds a part (mark p); counted within batches first."""
+    """(workspace, scan_no, field, kind, part, n): how often a field has a type, and (with a null kind) how often it holds a part; counted within tasks first."""
     import pyarrow as pa
 
     cols = [F.col("workspace").cast("string"), F.col("scan_no").cast("int").alias("scan_no"), "_rescued", *[F.col(f"{prefix}{f}").alias(f"c{k}") for k, f in enumerate(schema)]]
     src = ingested.filter("_rescued is not null").select(*cols)
-    out = pa.schema([("workspace", pa.string()), ("scan_no", pa.int32()), ("field", pa.string()), ("mark", pa.string()), ("value", pa.string()), ("n", pa.int64())])
+    out = pa.schema([("workspace", pa.string()), ("scan_no", pa.int32()), ("field", pa.string()), ("kind", pa.string()), ("part", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
         count: Counter = Counter()
+
+        def held():
+            got = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*(k + (n,) for k, n in count.items())) if count else [[]] * 6, out.types)], schema=out)
+            count.clear()
+            return got
+
         for batch in batches:
             rows = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
             for w, s, rescued, *typed in zip(*rows):
                 # A date in a text column is still a date as the project's types go.
-                seen = [(f, t, *_content(t)) for f, t in rescued]
+                seen = [(f, *_content(t)) for f, t in rescued]
                 for f, kind, v in zip(schema, schema.values(), typed):
                     if v is not None:
-                        t = v.isoformat() if isinstance(v, dt.date) else v
-                        own = _content(json.dumps(t))
-                        seen.append((f, t, own[0] if kind == "str" else kind, own[1]))
-                for f, _, kind, parts in seen:
-                    count[w, s, f, "t", kind] += 1
+                        own = _content(json.dumps(v.isoformat() if isinstance(v, dt.date) else v))
+                        seen.append((f, own[0] if kind == "str" else kind, own[1]))
+                for f, kind, parts in seen:
+                    count[w, s, f, kind, None] += 1
                     for p in parts:
-                        count[w, s, f, "p", p] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*(k + (n,) for k, n in count.items())) if count else [[]] * 6, out.types)], schema=out)
+                        count[w, s, f, None, p] += 1
+                if len(count) > _HELD:
+                    yield held()
+        yield held()
 
-    return src.mapInArrow(run, "workspace string, scan_no int, field string, mark string, value string, n long").groupBy("workspace", "scan_no", "field", "mark", "value").agg(F.sum("n").alias("n"))
+    return src.mapInArrow(run, "workspace string, scan_no int, field string, kind string, part long, n long").groupBy("workspace", "scan_no", "field", "kind", "part").agg(F.sum("n").alias("n"))
 
 
-def drift(packets: DataFrame, *, schema: dict[str, str] = TARGET, same_content: float = SAME_CONTENT) -> DataFrame:
+def likeness(ended: DataFrame, begun: DataFrame, parts: DataFrame) -> DataFrame:
+    """(workspace, now, old, new, alike): of ended and begun fields of one type the shared part of their contents.
+
+    ``ended`` is (workspace, was, now, field, kind), ``begun`` (workspace, now, field, kind).
+    """
+    total = parts.groupBy("workspace", "scan_no", "field").agg(F.sum("n").alias("total"))
+    side = lambda d, scan, name: (
+        d.withColumnRenamed(scan, "scan_no").join(total, ["workspace", "scan_no", "field"]).join(parts, ["workspace", "scan_no", "field"]).select("workspace", *(["now"] if scan != "now" else [F.col("scan_no").alias("now")]), "kind", "part", F.col("field").alias(name), (F.col("n") / F.col("total")).alias(f"{name}_share"))
+    )
+    both = side(ended, "was", "old").join(side(begun, "now", "new"), ["workspace", "now", "kind", "part"])
+    return both.groupBy("workspace", "now", "old", "new").agg(F.round(F.sum(F.least("old_share", "new_share")), 9).alias("alike"))
+
+
+def one_to_one(alike: DataFrame, same_content: float) -> DataFrame:
+    """(workspace, now, old, new): renames, the most alike pair first, each name once; a group holds pairs of fields of one scan."""
+    pairs = F.array_sort(F.collect_list(F.struct((-F.col("alike")).alias("by"), "old", "new")))
+    none = F.array().cast("array<struct<old:string,new:string>>")
+    taken = lambda acc, x: F.exists(acc, lambda t: (t["old"] == x["old"]) | (t["new"] == x["new"]))
+    chosen = F.aggregate("pairs", none, lambda acc, x: F.when(taken(acc, x), acc).otherwise(F.concat(acc, F.array(F.struct(x["old"].alias("old"), x["new"].alias("new"))))))
+    return alike.filter(F.col("alike") >= same_content).groupBy("workspace", "now").agg(pairs.alias("pairs")).select("workspace", "now", F.explode(chosen).alias("x")).select("workspace", "now", "x.old", "x.new")
+
+
+def _counts(packets: DataFrame, schema: dict[str, str]) -> DataFrame:
+    """Checkpointed counts of the fields of all distinct packets, ingested under ``schema``."""
+    p = packets.select(F.col("workspace").cast("string").alias("workspace"), F.col("scan_no").cast("int").alias("scan_no"), "packet_id", "frontmatter").filter("workspace is not null and scan_no is not null").distinct()
+    return checkpointed(field_counts(ingest(p, "frontmatter", schema, prefix="is_"), schema, prefix="is_"))
+
+
+def drift(packets: DataFrame, *, schema: dict[str, str] = TARGET, same_content: float = SAME_CONTENT, counts: DataFrame | None = None) -> DataFrame:
     """(workspace, scan_no, field, change_kind, became) of each change from a scan of a workspace to the next.
 
     The table is ingested under ``schema``; typed and rescued values together are what a scan holds.
     """
-    p = packets.select(F.col("workspace").cast("string").alias("workspace"), F.col("scan_no").cast("int").alias("scan_no"), "packet_id", "frontmatter").filter("workspace is not null and scan_no is not null").distinct()
-    counts = field_counts(ingest(p, "frontmatter", schema, prefix="is_"), schema, prefix="is_")
+    counts = _counts(packets, schema) if counts is None else counts
     scans = packets.select(F.col("workspace").cast("string").alias("workspace"), F.col("scan_no").cast("int").alias("scan_no")).filter("workspace is not null and scan_no is not null").distinct()
-    scans = scans.select("workspace", "scan_no", F.lit(None).cast("string").alias("field"), F.lit("s").alias("mark"), F.lit(None).cast("string").alias("value"), F.lit(1).cast("long").alias("n"))
-    # What is left of a workspace are counts: one row for each scan, field and type or part, however many packets it has.
-    out = counts.unionByName(scans).groupBy("workspace").applyInPandas(_changes(same_content), "workspace string, scan_no int, field string, change_kind string, became string")
-    return out.select("workspace", "scan_no", "field", "change_kind", "became")
+    scans = scans.select("workspace", F.col("scan_no").alias("was"), F.lead("scan_no").over(Window.partitionBy("workspace").orderBy("scan_no")).alias("now")).filter("now is not null")
+    # Of equally frequent types the first by name; null where a field has nulls alone.
+    first = F.min(F.when(F.col("kind") != "null", F.struct((-F.col("n")).alias("by"), "kind")))
+    fields = counts.filter("kind is not null").groupBy("workspace", "scan_no", "field").agg(first.alias("t")).select("workspace", "scan_no", "field", F.col("t.kind").alias("kind"))
+    before = fields.withColumnRenamed("scan_no", "was").join(scans, ["workspace", "was"]).select("workspace", "now", "field", "was", F.col("kind").alias("old"), F.lit(True).alias("there"))
+    after = fields.withColumnRenamed("scan_no", "now").join(scans, ["workspace", "now"]).select("workspace", "now", "field", F.col("kind").alias("new"), F.lit(True).alias("here"))
+    both = checkpointed(before.join(after, ["workspace", "now", "field"], "full").filter("here is null or there is null or old != new"))
+    ended, begun = both.filter("here is null"), both.filter("there is null")
+    alike = likeness(ended.filter("old is not null").select("workspace", "was", "now", "field", F.col("old").alias("kind")), begun.filter("new is not null").select("workspace", "now", "field", F.col("new").alias("kind")), counts.filter("kind is null").drop("kind"))
+    named = checkpointed(one_to_one(alike, same_content))
+    retyped = both.filter("here and there").select("workspace", "now", "field", F.lit("retyped").alias("change_kind"), F.col("new").alias("became"))
+    gone = ended.join(named.withColumnRenamed("old", "field").withColumnRenamed("new", "to"), ["workspace", "now", "field"], "left").select("workspace", "now", "field", F.when(F.col("to").isNull(), "removed").otherwise("renamed").alias("change_kind"), F.coalesce("to", F.lit("")).alias("became"))
+    added = begun.join(named.withColumnRenamed("new", "field"), ["workspace", "now", "field"], "left_anti").select("workspace", "now", "field", F.lit("added").alias("change_kind"), F.lit("").alias("became"))
+    return retyped.unionByName(gone).unionByName(added).withColumnRenamed("now", "scan_no").select("workspace", "scan_no", "field", "change_kind", "became")
+
+
+_FAMILY = {"int": "number", "float": "number", "date": "time", "datetime": "time"}
+
+
+def approved(counts: DataFrame, report: DataFrame, *, share: float = 0.001) -> dict[str, tuple[str, list[str]]]:
+    """Fields to promote, by the drift report: name -> (type, other names renames connect it with).
+
+    Names that at least ``share`` of all readings have take part, so what is collected is bounded by 1 / share times the
+    mean number of fields of a packet. The most frequent name of a group stands for it; its type is that of most
+    values, a float or datetime where numbers or times of both precisions occur.
+    """
+    kinds = counts.filter("kind is not null").groupBy("field", "kind").agg(F.sum("n").alias("n"))
+    # Each packet counts for its most frequent field at least, so that is the number of packets to within the fields' spread.
+    total = kinds.groupBy("field").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
+    often = kinds.groupBy("field").agg(F.sum("n").alias("all")).filter(F.col("all") >= share * total)
+    seen: dict[str, Counter] = {}
+    for r in kinds.join(often, "field", "left_semi").collect():
+        seen.setdefault(r.field, Counter())[r.kind] += r.n
+    names = often.select("field")
+    pairs = report.filter("change_kind = 'renamed'").select("field", "became").distinct().join(names, "field", "left_semi").join(names.withColumnRenamed("field", "became"), "became", "left_semi")
+    group = {f: f for f in seen}
+
+    def top(f: str) -> str:
+        while group[f] != f:
+            f = group[f]
+        return f
+
+    for r in pairs.collect():
+        group[top(r.field)] = top(r.became)
+    members: dict[str, list[str]] = {}
+    for f in seen:
+        members.setdefault(top(f), []).append(f)
+    out: dict[str, tuple[str, list[str]]] = {}
+    for own in members.values():
+        first, *others = sorted(own, key=lambda f: (-sum(seen[f].values()), f))
+        n = sum((seen[f] for f in own), Counter())
+        n.pop("null", None)
+        if not n:
+            continue
+        best = Counter()
+        for k, c in n.items():
+            best[_FAMILY.get(k, k)] += c
+        family = min(best, key=lambda k: (-best[k], k))
+        kind = {"number": "float" if n["float"] else "int", "time": "datetime" if n["datetime"] else "date"}.get(family, family)
+        out[first] = (kind, others)
+    return dict(sorted(out.items()))
+
+
+def consistent(packets: DataFrame, *, schema: dict[str, str] = TARGET, same_content: float = SAME_CONTENT) -> DataFrame:
+    """All packets as one table: the target schema, the fields the drift report approves replayed into typed columns, the rest rescued."""
+    counts = _counts(packets, schema)
+    fields = {f: v for f, v in approved(counts, drift(packets, schema=schema, same_content=same_content, counts=counts)).items() if f not in schema}
+    p = packets.select("packet_id", "workspace", "scan_no", "frontmatter").distinct()
+    clash = {"packet_id", "workspace", "scan_no", "frontmatter", "rescued"}
+    table = promote(ingest(p, "frontmatter", schema), {f: v for f, v in fields.items() if f.lower() not in clash and f.lower() not in {x.lower() for x in schema}})
+    return table.withColumnRenamed("_rescued", "rescued").drop("frontmatter")

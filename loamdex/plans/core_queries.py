@@ -36,30 +36,9 @@ def p1_descendants(spark: SparkSession, sf: str) -> DataFrame:
     return hierarchy.descendants(p1_paths(spark, sf))
 
 
-# Fields approved for the consistent table, with the other names the drift report gives them.
-APPROVED = {
-    "status": ("str", ["state", "workflow_state"]),
-    "priority": ("float", ["Priority", "prio", "importance"]),
-    "progress": ("float", ["pct_done"]),
-    "estimate": ("float", ["effort", "est_hours"]),
-    "budget": ("float", ["cost_cap"]),
-    "due": ("datetime", ["due_date", "dueDate", "deadline"]),
-    "started": ("datetime", ["opened_on", "startDate"]),
-    "tags": ("list", ["labels", "topics"]),
-    "component": ("str", ["area", "subsystem"]),
-    "channel": ("str", ["inbox"]),
-    "reviewer": ("str", ["second_reader", "checked_by"]),
-    "release": ("str", ["version_tag"]),
-    "attributes": ("map", ["extra", "metaData"]),
-    "archived": ("bool", ["isArchived"]),
-    "flagged": ("bool", ["is_flagged", "starred"]),
-}
-
-
 def p2_table(spark: SparkSession, sf: str) -> DataFrame:
-    """All packets as one consistent table: the target schema, approved fields replayed, the rest rescued."""
-    p = table(spark, sf, "packets").select("packet_id", "workspace", "scan_no", "frontmatter").distinct()
-    return drift.promote(drift.ingest(p, "frontmatter", drift.TARGET), APPROVED).withColumnRenamed("_rescued", "rescued").drop("frontmatter")
+    """All packets as one consistent table: the target schema, fields the drift report approves, the rest rescued."""
+    return drift.consistent(table(spark, sf, "packets"))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p2_found, p2_table, p6_found, p7_found)}

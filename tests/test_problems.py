@@ -107,6 +107,25 @@ def test_renames_are_one_to_one(spark):
     assert changes(packets(spark, [one, two])) == Counter({(2, "a", "renamed", "c"): 1, (2, "b", "renamed", "d"): 1})
 
 
+def test_contents_are_compared_whole(spark):
+    """Texts with one beginning are different contents; a workspace's scans may be of any number."""
+    one = [{"site": f"https://www.example.org/a/{c}"} for c in "abcdefgh"]
+    two = [{"page": f"https://www.example.org/b/{c}"} for c in "abcdefgh"]
+    assert changes(packets(spark, [one, two])) == Counter([(2, "site", "removed", ""), (2, "page", "added", "")])
+    three = [{"home": f"https://www.example.org/a/{c}"} for c in "abcdxyzw"]
+    assert changes(packets(spark, [one, three])) == Counter([(2, "site", "renamed", "home")])
+
+
+def test_consistent_table_by_the_report(spark):
+    one = [{"uuid": f"u{k}", "state": ["open", "done"][k % 2], "size": k, "due": "2026-01-02"} for k in range(10)]
+    two = [{"uuid": f"v{k}", "phase": ["open", "done"][k % 2], "size": k + 0.5, "due": "2026-01-02T03:04:05", "packet_id": "x"} for k in range(9)] + [{"uuid": "v9", "phase": 7, "due": None}]
+    got = {r.uuid: r for r in drift.consistent(packets(spark, [one, two])).collect()}
+    assert (got["u1"].phase, got["u1"]["size"], got["u1"].due, got["u1"].rescued) == ("done", 1.0, D(2026, 1, 2), {})
+    assert (got["v0"].phase, got["v0"]["size"], got["v0"].due, got["v0"].rescued) == ("open", 0.5, D(2026, 1, 2, 3, 4, 5), {"packet_id": '"x"'})
+    assert got["v9"].phase is None and got["v9"].rescued == {"phase": "7", "due": "null"}
+    assert drift.consistent(packets(spark, [[None]])).count() == 1 and drift.consistent(packets(spark, [one]).limit(0)).count() == 0
+
+
 def test_rescue_and_replay(spark):
     rows = [("1", '{"n": 3, "s": "x", "d": "2026-01-02", "old": true, "more": {"k": [1]}}'), ("2", '{"n": "three", "s": 5, "d": null}'), ("3", None), ("4", "{bad"), ("5", '{"flag": "no", "old": false, "n": 12345678901234567890}')]
     df = spark.createDataFrame(rows, "id string, head string")
