@@ -4,12 +4,16 @@ Method: a BM25 inverted index over the held-out items (terms are adjacent word
 pairs) is probed by every training passage with block-max WAND; each retrieved
 (document, item) pair is then verified word by word.
 
-The item side is indexed in blocks of ``block_items`` items, each block a
-bounded broadcast, so the operator stays exact for any number of items; the
-corpus side is streamed once per block and never shuffled.
+An item's threshold is the least total of BM25 impacts that a quotation of ``min_words`` of its words can keep
+when single words are altered, lost or added as the verification allows, so retrieval loses nothing that would be
+verified. Postings carry the share of the threshold they contribute, and a passage is retrieved where the shares reach 1.
+
+Shared sentences, document frequencies and lengths are counted over all items first. The index is
+then built in blocks of at most about ``block_words`` words, each a bounded broadcast, and the
+corpus streamed once per block, never shuffled; what is found doesn't depend on the blocks.
 
 Defined results: null, empty and blank texts hold nothing; repeated items are
-indexed once; an item shorter than ``min_words`` (without shared instruction
+indexed once, of several texts under one id the largest holds; an item shorter than ``min_words`` (without shared instruction
 sentences) can't leak; extra columns are ignored; an empty table on either side
 gives an empty result.
 """
@@ -17,7 +21,6 @@ gives an empty result.
 from __future__ import annotations
 
 import html
-import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
@@ -27,8 +30,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MIN_WORDS = 15
-WINDOW = 24
-BLOCK_ITEMS = 4096
+# Words of a text that min_words words of an item spread over at most, added ones among them; and with what ends the run.
+WINDOW, PASSAGE = 24, 32
+BLOCK_WORDS = 2_000_000
 POSTING_BLOCK = 32
 SHARED_SENTENCE = 3
 K1, B = 1.2, 0.75
@@ -95,69 +99,95 @@ class _Ids(dict):
 
 
 def views(text: str) -> list[list[str]]:
-    """Word sequences of a text as shown, without its notes, and as written."""
+    """Words, as they are spelled, of a text as shown, without its notes, and as written."""
     if "&" in text:
         text = html.unescape(text)
     shown = _TAG.sub("", _LINK.sub(r"\1", _MDLINK.sub(r"\1", _LANG.sub(r"\1", text)))).replace("''", "")
     bare = _LINK.sub(r"\1", _MDLINK.sub(r"\1", _LANG.sub(r"\1", _NOTE.sub("", _REF.sub("", text)))))
     plain = _TAG.sub("", _COMMENT.sub("", bare)).replace("''", "")
     out = []
-    for v in (plain, shown, _TAG.sub("", bare).replace("''", ""), text):
-        w = words(v)
+    for v in dict.fromkeys((plain, shown, _TAG.sub("", bare).replace("''", ""), text)):
+        w = _tokens(v)
         if w not in out:
             out.append(w)
     return out
 
 
+def sentences(text: str | None) -> list[list[str]]:
+    return [w for x in _SENTENCE.split(text or "") if (w := words(x))]
+
+
 def own_words(texts: dict[int, str | None]) -> dict[int, list[str]]:
-    """Words of each item without sentences that ``SHARED_SENTENCE`` or more items have."""
-    split = {k: [words(s) for s in _SENTENCE.split(t or "")] for k, t in texts.items()}
-    often = Counter(tuple(s) for x in split.values() for s in {tuple(s) for s in x})
+    """Words of each item without sentences that ``SHARED_SENTENCE`` or more items have; ``item_words`` does the same over tables."""
+    split = {k: sentences(t) for k, t in texts.items()}
+    often = Counter(s for x in split.values() for s in {tuple(s) for s in x})
     return {k: [w for s in x if often[tuple(s)] < SHARED_SENTENCE for w in s] for k, x in split.items()}
 
 
+def least_kept(w: np.ndarray, length: int) -> float:
+    """Least total of pair weights ``w`` (of words i and i + 1) in any ``length`` consecutive words with the alterations ``longest_quote`` bridges.
+
+    The way through a stretch of words: ``one`` where a word is the first of an equal stretch, ``more`` where it follows an
+    equal one (and its pair is kept). A new stretch begins after an altered or lost word, or after an added one,
+    if the one before has two words or more. A longer quotation cut at ``length`` words may end anywhere.
+    """
+    n = len(w) + 1
+    starts = n - length + 1
+    if starts < 1:
+        return 0.0
+    inf = np.full(starts, np.inf)
+    one, more, before = np.zeros(starts), inf, inf
+    for t in range(1, length):
+        kept = np.minimum(one, more) + w[t - 1 : t - 1 + starts]
+        fresh = np.minimum(more, before)
+        one, more, before = fresh, kept, more
+    return float(np.minimum(np.minimum(one, more), before).min())
+
+
 class ItemIndex:
-    """Inverted index of word pairs with BM25 impacts and per-block maxima."""
+    """Inverted index of word pairs: BM25 impacts as shares of the item's threshold, with maxima by term and by block of items."""
 
-    def __init__(self, texts: dict[int, str | None], min_words: int = MIN_WORDS):
-        self.own = {k: w for k, w in own_words(texts).items() if len(w) >= min_words}
-        self.min_words = min_words
-        self.ids: _Ids | None = None
+    def __init__(self, own: dict[int, list[str]], df: dict[tuple[str, str], int], n_items: int, mean: float, min_words: int = MIN_WORDS):
+        """``own``: words of the items of this index; ``df`` (1 where absent), ``n_items`` and ``mean`` length are those of all items."""
+        self.own = {k: w for k, w in own.items() if len(w) >= min_words}
+        self.min_words, self.ids = min_words, None
+        self.least_pairs = int(least_kept(np.ones(min_words - 1), min_words))
         self.items = sorted(self.own)
         vocab: dict[str, int] = {}
-        pairs: dict[int, Counter] = {}
-        for n, k in enumerate(self.items):
-            ids = [vocab.setdefault(w, len(vocab)) for w in self.own[k]]
-            pairs[n] = Counter(zip(ids, ids[1:]))
+        key, item, share = [], [], []
+        coded = {k: np.array([vocab.setdefault(w, len(vocab)) for w in self.own[k]], dtype=np.int64) for k in self.items}
         self.vocab, self.v = vocab, max(1, len(vocab))
-        df: Counter = Counter(p for c in pairs.values() for p in c)
-        n_items, mean = len(self.items), sum(len(w) for w in self.own.values()) / max(1, len(self.own))
-        rows = defaultdict(list)
-        for n, c in pairs.items():
-            norm = K1 * (1 - B + B * len(self.own[self.items[n]]) / mean)
-            for p, tf in c.items():
-                idf = math.log(1 + (n_items - df[p] + 0.5) / (df[p] + 0.5))
-                rows[p[0] * self.v + p[1]].append((n, idf * tf * (K1 + 1) / (tf + norm)))
-        self.keys = np.array(sorted(rows), dtype=np.int64)
-        start, item, impact = [0], [], []
-        blocks = max(1, -(-n_items // POSTING_BLOCK))
-        self.block_max = np.zeros((len(self.keys), blocks), dtype=np.float32)
-        for r, key in enumerate(self.keys.tolist()):
-            for n, w in rows[key]:
-                item.append(n)
-                impact.append(w)
-                b = n // POSTING_BLOCK
-                self.block_max[r, b] = max(self.block_max[r, b], w)
-            start.append(len(item))
-        self.start = np.array(start, dtype=np.int64)
-        self.item = np.array(item, dtype=np.int64)
-        self.impact = np.array(impact, dtype=np.float32)
-        self.term_max = self.block_max.max(axis=1) if len(self.keys) else np.zeros(0, np.float32)
-        # min_words words with every fourth word altered keep at least a third as many equal pairs.
-        self.threshold = float(np.percentile(self.term_max, 5)) * (min_words // 3) if len(self.keys) else 0.0
-
-    def candidates(self, texts: list[str]) -> list[tuple[int, int]]:
-        """(index of text, index of item) pairs with a passage whose BM25 score reaches the threshold."""
+        for n, k in enumerate(self.items):
+            w, ids = self.own[k], coded[k]
+            pairs, first, at, tf = np.unique(ids[:-1] * self.v + ids[1:], return_index=True, return_inverse=True, return_counts=True)
+            often = np.array([df.get((w[i], w[i + 1]), 1) for i in first.tolist()], dtype=np.float64)
+            norm = K1 * (1 - B + B * len(w) / mean)
+            impact = np.log1p((n_items - often + 0.5) / (often + 0.5)) * tf * (K1 + 1) / (tf + norm)
+            key.append(pairs)
+            item.append(np.full(len(pairs), n, dtype=np.int64))
+            share.append(impact / least_kept(impact[at.ravel()], min_words))
+        cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
+        key, item, share = cat(key, np.int64), cat(item, np.int64), cat(share, np.float64)
+        order = np.lexsort((item, key))
+        key, self.item, self.share = key[order], item[order], share[order]
+        self.keys, start = np.unique(key, return_index=True)
+        self.term_max = np.maximum.reduceat(self.share, start) if len(start) else np.zeros(0)
+        row = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(key))))
+        # Postings of one term and one block of items stand together: (first, end, block, greatest share).
+        new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (self.item[1:] // POSTING_BLOCK != self.item[:-1] // POSTING_BLOCK))) if len(row) else start
+        self.block_first, self.block_end = new, np.append(new[1:], len(key))
+        self.block, self.block_max = self.item[new] // POSTING_BLOCK, np.maximum.reduceat(self.share, new) if len(new) else np.zeros(0)
+        self.blocks = np.searchsorted(row[new], np.arange(len(start) + 1))
+
+    @classmethod
+    def of(cls, texts: dict[int, str | None], min_words: int = MIN_WORDS) -> ItemIndex:
+        """An index of all there is."""
+        own = {k: w for k, w in own_words(texts).items() if len(w) >= min_words}
+        df = Counter(p for w in own.values() for p in set(zip(w, w[1:])))
+        return cls(own, df, len(own), sum(map(len, own.values())) / max(1, len(own)), min_words)
+
+    def candidates(self, texts: list[list[str]]) -> list[tuple[int, int, int, int]]:
+        """(index of word sequence, index of item, begin, end) of passages whose shares reach 1; such that overlap are one."""
         if not len(self.keys):
             return []
         if self.ids is None:
@@ -167,7 +197,7 @@ class ItemIndex:
         bounds = []
         pad = [-1] * WINDOW
         for t in texts:
-            ids += map(get, _tokens(t))
+            ids += map(get, t)
             ids += pad
             bounds.append(len(ids))
         a = np.array(ids, dtype=np.int64)
@@ -177,43 +207,50 @@ class ItemIndex:
         at[at == len(self.keys)] = 0
         hit = self.keys[at] == key
         pos, term = both[hit], at[hit]
-        if not len(pos):
-            return []
-        # Upper bound of the passage that begins at each hit, by the terms' maxima alone.
-        end = np.searchsorted(pos, pos + WINDOW)
-        total = np.concatenate([[0], np.cumsum(self.term_max[term], dtype=np.float64)])
-        pivot = np.flatnonzero(total[end] - total[np.arange(len(pos))] >= self.threshold)
-        if not len(pivot):
-            return []
-        # Block bounds for the passages left, then exact scores in blocks that may reach the threshold.
-        run = np.concatenate([np.zeros((1, self.block_max.shape[1])), np.cumsum(self.block_max[term], axis=0, dtype=np.float64)])
-        bound = run[end[pivot]] - run[pivot]
-        r, b = np.nonzero(bound >= self.threshold - 1e-6)
-        if not len(r):
-            return []
-        mark = np.zeros((len(pos) + 1, bound.shape[1]), dtype=np.int32)
-        np.add.at(mark, (pivot[r], b), 1)
-        np.add.at(mark, (end[pivot[r]], b), -1)
-        mark = np.cumsum(mark, axis=0)[:-1] > 0
-        left = np.flatnonzero(mark.any(axis=1))
-        size = self.start[term[left] + 1] - self.start[term[left]]
-        row = np.repeat(left, size)
-        post = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.start[term[left]], size)
-        item = self.item[post]
-        keep = mark[row, item // POSTING_BLOCK]
-        row, post, item = row[keep], post[keep], item[keep]
-        place = item * (len(a) + WINDOW) + pos[row]
-        order = np.argsort(place, kind="stable")
-        place, weight = place[order], self.impact[post[order]].astype(np.float64)
-        total = np.concatenate([[0], np.cumsum(weight)])
-        score = total[np.searchsorted(place, place + WINDOW)] - total[:-1]
-        good = order[score >= self.threshold]
-        doc = np.searchsorted(np.array(bounds), pos[row[good]], side="right")
-        return sorted(set(zip(doc.tolist(), item[good].tolist())))
-
-    def holds(self, shown: list[list[str]], n: int) -> bool:
-        own = self.own[self.items[n]]
-        return any(longest_quote(w, own) >= self.min_words for w in shown)
+        # Passages by the terms' maxima, then by the maxima of blocks, then by the postings of the blocks left.
+        left = _reached(np.zeros(len(pos), np.int64), pos, self.term_max[term], len(a), self.least_pairs)[0]
+        pos, term = pos[left], term[left]
+        hits, entry = _expand(self.blocks[term], self.blocks[term + 1])
+        left, order = _reached(self.block[entry], pos[hits], self.block_max[entry], len(a), self.least_pairs)
+        hits, entry = hits[order][left], entry[order][left]
+        row, post = _expand(self.block_first[entry], self.block_end[entry])
+        where = pos[hits[row]]
+        _, order, begins = _reached(self.item[post], where, self.share[post], len(a), self.least_pairs, starts=True)
+        at, n = where[order][begins], self.item[post][order][begins]
+        doc = np.searchsorted(np.array(bounds), at, side="right")
+        out: list[tuple[int, int, int, int]] = []
+        for d, k, p in zip(doc.tolist(), n.tolist(), at.tolist()):  # in order of item, then position
+            p -= bounds[d - 1] if d else 0
+            if out and out[-1][:2] == (d, k) and p <= out[-1][3]:
+                out[-1] = (d, k, out[-1][2], p + PASSAGE)
+            else:
+                out.append((d, k, p, p + PASSAGE))
+        return sorted(out)
+
+    def holds(self, passage: list[str], n: int) -> bool:
+        return longest_quote([_letters(w) for w in passage], self.own[self.items[n]]) >= self.min_words
+
+
+def _expand(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of ranges: the number of the range and each position in it."""
+    size = end - first
+    row = np.repeat(np.arange(len(first)), size)
+    return row, np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
+
+
+def _reached(group: np.ndarray, pos: np.ndarray, share: np.ndarray, length: int, least: int, *, starts: bool = False):
+    """Entries in a window of ``WINDOW`` positions that holds ``least`` of a group or more and whose shares reach 1, as marks over the entries in order of (group, position), and that order."""
+    place = group * (length + WINDOW) + pos
+    order = np.argsort(place, kind="stable")
+    place = place[order]
+    end = np.searchsorted(place, place + WINDOW)
+    total = np.concatenate([[0], np.cumsum(share[order])])
+    good = np.flatnonzero((total[end] - total[:-1] >= 1 - 1e-6) & (end - np.arange(len(place)) >= least))
+    mark = np.zeros(len(place) + 1, dtype=np.int64)
+    np.add.at(mark, good, 1)
+    np.add.at(mark, end[good], -1)
+    left = np.cumsum(mark)[:-1] > 0
+    return (left, order, good) if starts else (left, order)
 
 
 def longest_quote(text: list[str], item: list[str]) -> int:
@@ -245,6 +282,22 @@ def longest_quote(text: list[str], item: list[str]) -> int:
     return best
 
 
+def item_words(items: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(item_id, words) of items (item_id, text): the words without sentences shared by ``SHARED_SENTENCE`` or more items, where ``min_words`` are left."""
+    import pyarrow as pa
+
+    def split(batches):
+        for batch in batches:
+            rows = [(k, n, w) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for n, w in enumerate(sentences(t))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.string()))], names=["item_id", "at", "words"])
+
+    s = items.groupBy("item_id").agg(F.max("text").alias("text")).mapInArrow(split, "item_id long, at int, words array<string>")
+    s = s.withColumn("h", F.struct(F.xxhash64("words"), F.hash("words"), F.size("words"))).checkpoint()
+    shared = s.select("item_id", "h").distinct().groupBy("h").count().filter(F.col("count") >= SHARED_SENTENCE).select("h")
+    own = s.join(shared, "h", "left_anti").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("at", "words"))).alias("x"))
+    return own.select("item_id", F.flatten("x.words").alias("words")).filter(F.size("words") >= min_words).checkpoint()
+
+
 def leaked(
     documents: DataFrame,
     items: DataFrame,
@@ -254,20 +307,27 @@ def leaked(
     item_id: str = "item_id",
     item_text: str = "text",
     min_words: int = MIN_WORDS,
-    block_items: int = BLOCK_ITEMS,
+    block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """One row (doc_id, item_id) for each item of which a document holds ``min_words`` consecutive words."""
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id") if isinstance(doc_id, str) else doc_id.alias("doc_id"), F.col(text).alias("text") if isinstance(text, str) else text.alias("text"))
     docs = docs.filter("length(text) > 0")
     known = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).filter("item_id is not null")
-    blocks = max(1, -(-known.count() // block_items))
-    known = known.withColumn("_b", F.pmod(F.xxhash64("item_id"), F.lit(blocks)))
+    own = item_words(known, min_words)
+    n, total = own.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
+    blocks = max(1, -(-total // block_words))
+    pair = F.expr("explode(array_distinct(transform(sequence(1, size(words) - 1), i -> struct(words[i - 1] as a, words[i] as b))))").alias("p")
+    pairs = own.select("item_id", pair)
+    often = pairs.groupBy("p").count().filter("count > 1")
+    of_block = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
     out = None
     for b in range(blocks):
-        texts = {r.item_id: r.text for r in known.filter(F.col("_b") == b).select("item_id", "text").toLocalIterator()}
-        part = _probe(docs, ItemIndex(texts, min_words))
+        # What is gathered is bounded by the words of a block.
+        texts = {r.item_id: r.words for r in own.filter(of_block == b).toLocalIterator()}
+        df = {(r.p.a, r.p.b): r["count"] for r in often.join(pairs.filter(of_block == b).select("p").distinct(), "p", "left_semi").toLocalIterator()}
+        part = _probe(docs, ItemIndex(texts, df, n, total / max(1, n), min_words))
         out = part if out is None else out.unionByName(part)
-    return out
+    return out.distinct()
 
 
 def _probe(docs: DataFrame, index: ItemIndex) -> DataFrame:
@@ -279,15 +339,18 @@ def _probe(docs: DataFrame, index: ItemIndex) -> DataFrame:
         ix = shared.value
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            rows: list[tuple[int, int]] = []
-            for s in range(0, len(texts), 512):
-                part = texts[s : s + 512]
-                seen: dict[int, list[list[str]]] = {}
-                for d, n in ix.candidates(part):
-                    if d not in seen:
-                        seen[d] = views(part[d])
-                    if ix.holds(seen[d], n):
-                        rows.append((ids[s + d], ix.items[n]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["doc_id", "item_id"])
+            rows: set[tuple[int, int]] = set()
+            for s in range(0, len(texts), 256):
+                owner, shown = [], []
+                for d in range(s, min(s + 256, len(texts))):
+                    for v in views(texts[d]):
+                        owner.append(d)
+                        shown.append(v)
+                for v, n, begin, end in ix.candidates(shown):
+                    row = (ids[owner[v]], ix.items[n])
+                    if row not in rows and ix.holds(shown[v][begin:end], n):
+                        rows.add(row)
+            got = sorted(rows, key=str)
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in got], pa.int64()), pa.array([r[1] for r in got], pa.int64())], names=["doc_id", "item_id"])
 
     return docs.mapInArrow(run, "doc_id long, item_id long")

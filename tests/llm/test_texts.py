@@ -1,5 +1,7 @@
 """Leakage, residue and markup on small texts."""
 
+import random
+
 import pytest
 
 from loamdex.llm import leakage, markup, residue
@@ -45,31 +47,87 @@ def test_leaks(spark, items, text, want):
 
 
 def test_leaks_in_blocks_and_empty_tables(spark, items):
-    docs = spark.createDataFrame([(1, QUOTE), (2, "nothing")], "doc_id long, text string")
-    assert [tuple(r) for r in leakage.leaked(docs, items, block_items=5).distinct().collect()] == [(1, 1)]
+    docs = spark.createDataFrame([(1, QUOTE), (2, "nothing"), (3, f"{ASK} And {ASK.lower()}")], "doc_id long, text string")
+    for words in (250, 10**6):  # sentences are shared, and rare, over all blocks
+        assert [tuple(r) for r in leakage.leaked(docs, items, block_words=words, min_words=9).collect()] == [(1, 1)]
     assert leakage.leaked(docs, items.limit(0)).collect() == [] and leakage.leaked(docs.limit(0), items).collect() == []
 
 
+def test_statistics_over_tables_equal_those_of_all_texts(spark):
+    texts = {k: f"{ASK} The {k % 3} mills of town {k} stand by {k * 7} lakes near the old road to town {k + 1} in the hills. Then we left." for k in range(20)}
+    df = spark.createDataFrame([(k, t) for k, t in texts.items()], "item_id long, text string")
+    assert {r.item_id: r.words for r in leakage.item_words(df).collect()} == {k: w for k, w in leakage.own_words(texts).items() if len(w) >= leakage.MIN_WORDS}
+
+
+def some_items(r, n):
+    word = lambda: f"w{r.randint(0, 60)}"
+    return {k: " ".join(word() for _ in range(30)) for k in range(n)}
+
+
 def test_block_max_search_finds_what_full_scoring_finds():
     """Candidates against scores of every passage and item, computed one by one."""
-    import random
-
     r = random.Random(4)
-    word = lambda: f"w{r.randint(0, 60)}"
-    ix = leakage.ItemIndex({k: " ".join(word() for _ in range(30)) for k in range(80)})
-    texts = [" ".join(word() for _ in range(200)) for _ in range(5)] + [" ".join(ix.own[3][2:25])]
-    got = set(ix.candidates(texts))
+    ix = leakage.ItemIndex.of(some_items(r, 80))
+    texts = [[f"w{r.randint(0, 60)}" for _ in range(200)] for _ in range(5)] + [ix.own[3][2:25]]
+    got = {x[:2] for x in ix.candidates(texts)}
     weight = {}
     for row, key in enumerate(ix.keys.tolist()):
-        for p in range(ix.start[row], ix.start[row + 1]):
-            weight[key, int(ix.item[p])] = float(ix.impact[p])
+        for e in range(ix.blocks[row], ix.blocks[row + 1]):
+            for p in range(ix.block_first[e], ix.block_end[e]):
+                weight[key, int(ix.item[p])] = float(ix.share[p])
     for d, t in enumerate(texts):
-        a = [ix.vocab.get(w, -1) for w in leakage.words(t)]
+        a = [ix.vocab.get(w, -1) for w in t]
         keys = [x * ix.v + y for x, y in zip(a, a[1:])]
         for n in range(len(ix.items)):
-            best = max(sum(weight.get((k, n), 0) for k in keys[s : s + leakage.WINDOW]) for s in range(len(keys)))
-            if abs(best - ix.threshold) > 1e-3:
-                assert ((d, n) in got) == (best >= ix.threshold), (d, n, best)
+            near = [[weight[k, n] for k in keys[s : s + leakage.WINDOW] if (k, n) in weight] for s in range(len(keys))]
+            best = max(sum(x) if len(x) >= ix.least_pairs else 0 for x in near)
+            if abs(best - 1) > 1e-4:
+                assert ((d, n) in got) == (best >= 1), (d, n, best)
+
+
+def test_no_altered_quotation_is_lost():
+    """Whatever the verification accepts of quotations with altered, lost and added words has been retrieved."""
+    r = random.Random(9)
+    ix = leakage.ItemIndex.of(some_items(r, 60))
+    held = 0
+    for _ in range(1500):
+        n = r.randrange(60)
+        own = ix.own[ix.items[n]]
+        at = r.randint(0, 15)
+        quote, k = [], 0
+        for w in own[at : at + r.randint(15, 17)]:
+            k += 1
+            if k >= 3 and r.random() < 0.6:
+                k = 0
+                quote += r.choice([["zzq"], [], [w, "zzq"]])
+            else:
+                quote.append(w)
+        text = ["x"] * r.randint(0, 40) + quote + ["y"] * 5
+        if ix.holds(text, n):
+            held += 1
+            assert any(x[1] == n and ix.holds(text[x[2] : x[3]], n) for x in ix.candidates([text]))
+    assert held > 200
+
+
+def test_least_kept_is_the_least():
+    """Against all ways to alter a stretch of words."""
+    r = random.Random(3)
+    for _ in range(20):
+        w = [r.random() for _ in range(9)]
+        best = float("inf")
+        for start in range(10 - 7 + 1):
+            for marks in range(3**6):  # of each word but the first: kept, altered, or kept after an added one
+                kinds = [0, *((marks // 3**k) % 3 for k in range(6))]
+                total, run, ok = 0.0, 1, True
+                for i in range(1, 7):
+                    if kinds[i] == 0:
+                        total, run = (total + w[start + i - 1], run + 1) if run else (total, 1)
+                    elif kinds[i] == 1:
+                        ok, run = ok and run >= 2, 0
+                    else:
+                        ok, run = ok and run >= 2, 1
+                best = min(best, total if ok else best)
+        assert leakage.least_kept(leakage.np.array(w), 7) == pytest.approx(best)
 
 
 RESIDUE = ["Dear {first_name}, welcome.", "Hello <%= user.name %>", "It lies in %%REGION%%.", "Opened on [INSERT DATE] by [SOURCE].", "About ${count} were seen.", "The mill of __NAME__ is old.", "{{ page.title }} was changed.", "&lt;first_name&gt; was here", "It is a [object Object] in undefined.", "Intro.\n\nPage not found.\n\nMore.", "You need to enable JavaScript to view this article.", "Your text goes here.", "Lorem ipsum dolor sit amet fugit velut esto.", "(content)\n(references)", "503 – the upstream service did not answer in time.", "Bitte aktivieren Sie JavaScript, um diesen Artikel zu lesen."]
@@ -86,8 +144,6 @@ def test_residue(spark):
 
 def test_prefix_filter_loses_nothing():
     """Passages with enough of an exemplar always share one of its indexed words."""
-    import random
-
     ix = residue.Exemplars().weigh({}, 1000)
     r = random.Random(2)
     for k, grams in enumerate(ix.grams):
