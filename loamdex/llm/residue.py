@@ -1,11 +1,14 @@
 """Template residue, filler and error-page text.
 
-Method: a table of labelled residue exemplars is put into an inverted index over
-words and word pairs; each passage (sentence, line and two sentences in a row) is
+Method: a table of labelled residue exemplars (notices, filler, unfilled slots, outlines) is put into
+one inverted index; each passage (sentence, line and two sentences in a row) is
 looked up in it and scored by TF-IDF containment, that is the part of the exemplar's
-weight found in the passage (or, for filler vocabulary, the part of the passage's
-weight found in the exemplar). A passage with high coverage marks the document.
-Unfilled slots of every syntax are folded into one index term that is an exemplar by itself.
+weight found in the passage (of a vocabulary, the part of the passage's
+weight found in it). A passage with high coverage marks the document; nothing else does.
+
+Terms are words, pairs of words, pairs of characters where a script has no spaces, and shapes. A shape is a
+stretch between brackets or like signs with its words folded to their letter case, so that one
+exemplar ``{{ a.a }}`` covers every slot written that way; words that exemplars name stay as they are.
 
 Document frequencies come from one pass over all documents; only the counts of the
 exemplars' own terms (a bound fixed by the exemplar table) reach the driver. Lookup uses prefix
@@ -27,9 +30,9 @@ from collections import Counter, defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-COVERAGE = 0.8
+COVERAGE = 0.6
 SHORT = 4
-SLOT = "\x00slot"
+VOCABULARY = 0.8
 
 # Labelled exemplars, "_" standing for a word that varies.
 PHRASES = """
@@ -127,18 +130,136 @@ aquí va el texto
 tu będzie tekst
 здесь будет текст
 lorem ipsum dolor sit amet
+xx xx xxxx
+this page requires cookies to be enabled
+javascript is disabled in your browser
+turn on javascript and reload the page
+your browser does not support this feature please upgrade
+verify that you are human
+please complete the security check to continue
+you must be logged in to view this content
+your session has expired please sign in again
+this content is available to subscribers only
+service temporarily unavailable please try again in a few minutes
+the server encountered an internal error and could not complete your request
+bad request the server could not understand your request
+the requested url was not found on this server
+this page is temporarily unavailable
+this site is under maintenance and will be back shortly
+an unexpected error occurred while loading this page
+an error has occurred please contact the administrator
+failed to load the article please refresh
+could not connect to the database
+error establishing a database connection
+you do not have permission to access this page
+the page is loading please wait
+you have been blocked for sending too many requests
+uncaught exception in module
+undefined index in line
+insert your text here
+type your text here
+description goes here
+content goes here
+placeholder text
+this is a placeholder please replace
+this section will be written later
+this page is under construction
+bitte melden sie sich an um fortzufahren
+bitte akzeptieren sie cookies um fortzufahren
+seite nicht gefunden
+die angeforderte seite wurde nicht gefunden
+der server ist vorübergehend nicht erreichbar
+zugriff verweigert
+zu viele anfragen bitte warten
+text folgt in kürze
+platzhaltertext bitte ersetzen
+veuillez accepter les cookies pour continuer
+veuillez vous connecter pour continuer
+veuillez patienter pendant la vérification
+page non trouvée
+erreur du serveur veuillez réessayer plus tard
+accès refusé
+trop de requêtes veuillez réessayer
+votre texte ici
+texte à venir
+acepte las cookies para continuar
+inicie sesión para continuar
+espere mientras comprobamos su navegador
+página no encontrada
+error interno del servidor
+acceso denegado
+demasiadas solicitudes inténtelo más tarde
+escriba aquí su texto
+texto pendiente
+zaakceptuj pliki cookie aby kontynuować
+zaloguj się aby kontynuować
+proszę czekać trwa sprawdzanie przeglądarki
+strona nie została znaleziona
+wewnętrzny błąd serwera
+dostęp zabroniony
+zbyt wiele żądań spróbuj później
+wpisz tutaj tekst
+примите файлы cookie чтобы продолжить
+войдите чтобы продолжить
+подождите идёт проверка браузера
+внутренняя ошибка сервера
+доступ запрещён
+слишком много запросов повторите попытку позже
+введите текст здесь
+текст будет добавлен позже
+abilita javascript nel browser per visualizzare questo articolo
+pagina non trovata
+errore interno del server
+il testo va qui
+ative o javascript no navegador para ver este artigo
+página não encontrada
+erro interno do servidor
+o texto vai aqui
+schakel javascript in om dit artikel te bekijken
+pagina niet gevonden
+interne serverfout
+hier komt de tekst
+ここに本文
+本文を入力
+本文が入ります
+サーバーエラー
+サーバエラー
+ページは見つかりません
+ページが見つかりません
+javascriptを有効に
+スクリプトを有効に
+しばらくしてから
+クッキーを有効に
+ログインしてください
+アクセスが拒否されました
+少々お待ちください
+メンテナンス中です
+正文待补充
+页面不存在
+服务器错误
+此处填写
+请启用
+请稍后再试
 """.strip().split("\n")
 
-# Character texts without spaces between words, found as they stand.
-SOLID = ["ここに本文", "本文を入力", "本文が入ります", "サーバーエラー", "サーバエラー", "ページは見つかりません", "ページが見つかりません", "javascriptを有効に", "スクリプトを有効に", "しばらくしてから", "正文待补充", "页面不存在", "服务器错误", "此处填写"]
-
 # Words of filler prose.
 FILLER = """lorem ipsum dolor amet consectetur adipiscing eiusmod tempor incididunt labore dolore magna aliqua
 enim minim veniam nostrud ullamco laboris aliquip commodo consequat aute irure reprehenderit voluptate velit cillum fugiat nulla pariatur
 situm omnis ipsum tandis fugit esto velut malora nullam quorum brevis pendo vela carta""".split()
 
-# Words in brackets alone on a line that stand for a part not written.
-OUTLINE = re.compile(r"(?m)^[ \t]*(?:<p>)?[(\[](?:content|references|text|introduction|lead|body|history|body text|notes|intro|section|image|caption|see also|sources|title)[)\]](?:</p>)?[ \t]*$", re.I)
+# Unfilled slots and programming leftovers as shapes: a, A, W and 0 stand for words in small letters, in capitals, in
+# both and for numbers, x for any of the three, "…" for what may follow; longer words for themselves.
+SLOTS = re.split(r"\s{2,}|\n", """
+{{{x}}}  {{{x_x}}}  {{{x.x}}}  {{{x-x}}}  {{{x|}}}  {{{x_x|}}}  {{{x x}}}  {{{ x }}}  {{{ x_x }}}  {{{ x.x }}}  {{ a.a…
+{{ a_a…  {{ a_a.a…  {{ a.a_a…  {%…%}  {%-…%}  {%-…-%}  [%…%]  {x}  {x_x}  {x.x}  {x.x_x}  {x_x.x}  {0}  ${x}  ${x_x}
+${x.x}  ${x_x.x}  ${x.x_x}  $a$  $a_a$  $A$  $A_A$  $(x)  $(x_x)  {$x}  {$x_x}  {$x.x}  #{x}  #{x_x}  #{x.x}  ##A##
+##A_A##  ###A###  %%x%%  %%x_x%%  %A%  %A_A%  %a%  %a_a%  %(a)s  %(a_a)s  @@x@@  @@x_x@@  @{x}  @{x_x}  @A@  @A_A@  __A__
+__A_A__  ((a))  ((a_a))  «a»  «a_a»  *|A|*  *|A_A|*  *|A:A|*  <<x>>  <<x_x>>  <%…%>  <%=…%>  <%-…%>  <?=…?>  <?php…?>
+<!--#…-->  <A A>  <x>  <x_x>  &lt;x&gt;  &lt;x_x&gt;  [A_A]  [SOURCE]  [HERE]  [A HERE]  [A A HERE]  [TODO…]  [TBD…]
+[FIXME…]  [INSERT…]  [Insert…]  [insert…]  [Your…]  [your…]  (your a here)  (your a a here)  [object Object]  NaN
+""".strip())
+# Words in brackets alone on a line (or paragraph) that stand for a part not written.
+OUTLINE = "content references text introduction lead body history notes intro section image caption sources title".split() + ["body text", "see also"]
 
 _QUOTED = re.compile(r"<(pre|code|nowiki|syntaxhighlight|source|math|tt|kbd|samp|blockquote)\b[^>]*>.*?</\1\s*>|```.*?```|(?m:^> .*$)", re.S | re.I)
 _PARAM = re.compile(r"(?m)^\s*\|[^\n=|]*=\s*\{\{\{[^{}]*\}\}\}[ \t]*$")
@@ -146,39 +267,75 @@ _PARAM = re.compile(r"(?m)^\s*\|[^\n=|]*=\s*\{\{\{[^{}]*\}\}\}[ \t]*$")
 _SWITCH = {"TOC", "NOTOC", "FORCETOC", "NOINDEX", "INDEX", "NOEDITSECTION", "NEWSECTIONLINK", "NOGALLERY", "HIDDENCAT", "NOTITLECONVERT", "NOCONTENTCONVERT", "DISAMBIG", "STATICREDIRECT", "NONEWSECTIONLINK"}
 _HTML = set("a abbr b big blockquote br caption center cite code col dd del div dl dt em font gallery h1 h2 h3 h4 h5 h6 hr i img imagemap includeonly ins kbd li math noinclude nowiki ol onlyinclude p poem pre q ref references s samp section small source span strike strong sub sup syntaxhighlight table tbody td th thead time timeline title tr tt u ul var head body html noscript script style template form input button label option select main nav header footer article aside figure figcaption iframe link meta video audio canvas svg path mi mo mn mrow msup msub mfrac".split())
 
-_SLOT = re.compile(
-    r"\{\{\{\s*[A-Za-z_][\w .-]*\|?\s*\}\}\}"
-    r"|\{\{\s+[a-z]\w*(?:\.\w+)+[^{}\n]*\}\}|\{\{\s+[a-z]+(?:_[a-z]+)+\s*(?:\|[^{}\n]*)?\}\}"
-    r"|\{%-?\s*[a-z]+\b[^{}%\n]*%\}"
-    r"|\{[A-Za-z]\w*(?:[._]\w+)*\}(?!\})|\{\d\}(?!\})"
-    r"|\$\{[A-Za-z_][\w.]*\}|\$[a-z]+(?:_[a-z]+)*\$"
-    r"|#\{[A-Za-z_][\w.]*\}|%%[A-Za-z_]+%%|%[A-Z]+(?:_[A-Z]+)*%|%\([a-z_]+\)s"
-    r"|@@[A-Za-z_]+@@|__[A-Z]+(?:_[A-Z]+)*__"
-    r"|\(\([a-z]+(?:_[a-z]+)*\)\)|\(your [a-z]+(?: [a-z]+)? here\)"
-    r"|\[(?:[A-Z]+[ _])*HERE\]|\[INSERT [A-Z ]+\]|\[[Ii]nsert [a-z ]+\]|\[(?:TODO|TBD|FIXME)\b[^\]\n]*\]|\[SOURCE\]|\[[A-Z]+(?:_[A-Z]+)+\]|\[[Yy]our [a-z ]+\]|\[object Object\]"
-    r"|<%[=-]?[^%<>\n]*%>|<\?(?:=|php\b)[^<>]*?\?>|<!--#[a-z]+ [^<>]*-->|<[A-Z]+(?: [A-Z]+)+>"
-    r"|</?[A-Za-z]\w*>|&lt;/?[A-Za-z]\w*&gt;"
-    r"|XX[-/.]XX[-/.]XXXX|\*\|[A-Z_:]+\|\*|«[a-z_]+»|NaN\b"
-)
-_TERM = re.compile(r"\x00slot|[^\W_]+|…")
+# What may be a shape: opening signs, words, closing signs; or a word with capitals inside.
+_CHUNK = re.compile(r"(?<![{<\[(%$#@*|«_])(?=((?:&lt;|[{<\[(%$#@*|«]+|__)(?=[^|*]|\|[A-Z]))([^\n{}<>\[\]()%$#@*«»&]+?)((?:&gt;|\)s\b|[}\]>)%$#@*|»]+|__(?!_))))|\b[A-Z][a-z]+[A-Z]\b")
+_BLOCK = re.compile(r"(<[?%][=-]?|\{%-?|\[%-?|<!--#)((?:(?!\{%|\[%|<[?%]|<!--#)[^\n])+?)(-?[?%][>}\]]|-->)")
+_WORDS = re.compile(r"[^\W_]+")
+_HEAD = re.compile(r" ?[\w.]+")
+_RUN = re.compile(r"([aAW0])([ ._-])\1(?:\2\1)+")
+_TERM = re.compile(r"[^\W_]+|…")
+_SOLID = re.compile("[\u3040-\u30ff\u3400-\u9fff]")
+_SPLIT = re.compile("[\u3040-\u30ff\u3400-\u9fff]+|[^\u3040-\u30ff\u3400-\u9fff]+")
 _CUT = re.compile(r"(?<=[.!?…。])\s+|[\r\n]+|</?(?:p|div|h\d|body|title|head|html|noscript|strong|span|br|li)\b[^>]*>")
 
 
-def _is_slot(found: str) -> bool:
-    if found.startswith("__"):
-        return found.strip("_") not in _SWITCH
-    if found[0] in "<&" and (m := re.fullmatch(r"(?:<|&lt;)(/?)([A-Za-z]\w*)(?:>|&gt;)", found)):
-        return not m[1] and m[2].lower() not in _HTML
-    return True
+def _literals(shapes: list[str]) -> frozenset[str]:
+    return frozenset(w for x in shapes for w in _WORDS.findall(x) if len(w) > 1)
+
+
+_LITERAL = _literals(SLOTS)
+
+
+def _folded(body: str, literal: frozenset[str] = frozenset()) -> str:
+    def word(m):
+        w = m[0]
+        return w if w in literal else "0" if w.isdigit() else "a" if w.islower() else "A" if w.isupper() else "W"
+
+    return _RUN.sub(r"\1\2\1", _WORDS.sub(word, body))
+
+
+def shapes(text: str) -> set[str]:
+    """Shapes in a text: each whole, without its inside, and by its head; marked by ``^`` and ``$`` where it is all of a line."""
+    out = set()
+    if "<" in text or "%" in text:
+        for m in _BLOCK.finditer(text):
+            head = _WORDS.match(m[2])
+            out |= {f"{m[1]}…{m[3]}", f"{m[1]}{head[0] if head else ''}…{m[3]}"}
+    for m in _CHUNK.finditer(text):
+        if not m[1]:
+            out.add(m[0])
+            continue
+        opened, body, closed = m[1], m[2], m[3]
+        if opened == "__" and body in _SWITCH or opened in ("<", "&lt;") and body.strip().lower() in _HTML:
+            continue
+        for folded in {_folded(body), _folded(body, _LITERAL)}:
+            out.add(opened + folded + closed)
+            if head := _HEAD.match(folded):
+                out |= {f"{opened}{head[0]}…", f"{opened}{head[0].split(' ')[0]}…{closed}"}
+        if opened in ("(", "[") and closed in (")", "]"):
+            s, e = m.start(), m.start() + len(opened) + len(body) + len(closed)
+            line = text[text.rfind("\n", 0, s) + 1 : s].strip(), text[e : text.find("\n", e) if text.find("\n", e) >= 0 else len(text)].strip()
+            if line in (("", ""), ("<p>", "</p>")):
+                out.add(f"^({body.lower()})$")
+    return out
+
+
+def slot_shapes() -> list[str]:
+    """The exemplars' shapes, each x as each of its letter cases."""
+    out = []
+    for x in SLOTS:
+        for case in "aAW" if re.search(r"(?<![^\W_])x(?![^\W_])", x) else "a":
+            out.append(re.sub(r"(?<![^\W_])x(?![^\W_])", case, x))
+    return out + [f"^({x})$" for x in OUTLINE]
 
 
 def shown(text: str) -> str:
-    """A text without what it quotes, each unfilled slot folded into one term."""
+    """A text without what it quotes and without parameters of templates that are handed on."""
     if "<" in text or "```" in text or "> " in text:
         text = _QUOTED.sub(" ", text)
     if "{{{" in text:
         text = _PARAM.sub("", text)
-    return _SLOT.sub(lambda m: f" {SLOT} " if _is_slot(m[0]) else m[0], text)
+    return text
 
 
 _APART = {n: " " for n in range(128) if not chr(n).isalnum() and n}
@@ -186,7 +343,16 @@ _APART = {n: " " for n in range(128) if not chr(n).isalnum() and n}
 
 def terms(passage: str) -> list[str]:
     low = passage.lower()
-    return low.translate(_APART).split() if low.isascii() else _TERM.findall(low)
+    if low.isascii():
+        return low.translate(_APART).split()
+    found = _TERM.findall(low)
+    if not _SOLID.search(low):
+        return found
+    out = []
+    for w in found:
+        for part in _SPLIT.findall(w):
+            out += [part[k : k + 2] for k in range(len(part) - 1)] if len(part) > 1 and _SOLID.match(part) else [part]
+    return out
 
 
 def passages(text: str):
@@ -205,24 +371,32 @@ def _grams(t: list[str]) -> set[str]:
 
 
 class Exemplars:
-    """Inverted index of exemplars: word -> exemplars that can't reach the coverage without one of their indexed words."""
+    """Inverted index of exemplars: term -> exemplars that can't reach the coverage without one of their indexed terms."""
 
     def __init__(self, phrases: list[str] = PHRASES, filler: list[str] = FILLER, coverage: float = COVERAGE):
-        self.coverage = coverage
-        split = [[x for x in p.split()] for p in phrases]
-        # Short phrases are ordinary words in another order, so all of them must be there, in order.
+        split = [[t for w in p.split() for t in ([w] if w == "_" else terms(w))] for p in phrases]
+        # Short phrases are ordinary words in another order, so all of them must be there, in order; a shape is there or not.
         self.part = [1.0 if len(t) <= SHORT else coverage for t in split]
-        self.grams = [frozenset(g for g in _grams(t) if "_" not in g) for t in split]
-        self.filler = frozenset(filler)
-        self.vocab = frozenset(w for g in self.grams for x in g for w in x.split()) | self.filler
+        self.grams = [frozenset(g for g in _grams(t) if "_" not in g.split()) for t in split]
+        for x in slot_shapes():
+            self.part.append(1.0)
+            self.grams.append(frozenset([x]))
+        self.vocabulary = len(self.grams)  # the last exemplar, of which a passage is to be a part
+        self.part.append(VOCABULARY)
+        self.grams.append(frozenset(filler))
+        self.vocab = frozenset(w for g in self.grams for x in g for w in (x, *x.split()))
 
     def weigh(self, df: dict[str, int], n: int) -> Exemplars:
         idf = lambda w: math.log((n + 1) / (df.get(w, 0) + 0.5))
-        self.weight = {g: sum(idf(w) for w in g.split()) / (1 + g.count(" ")) for s in self.grams for g in s} | {w: idf(w) for w in self.filler}
+        self.weight = {g: idf(g) if len(s) == 1 else sum(idf(w) for w in g.split()) / (1 + g.count(" ")) for s in self.grams for g in s}
         self.other = idf("")
         self.total = [sum(self.weight[g] for g in s) for s in self.grams]
         self.index = defaultdict(list)
         for k, s in enumerate(self.grams):
+            if k == self.vocabulary or len(s) == 1:
+                for w in s:
+                    self.index[w].append(k)
+                continue
             spare = (1 - self.part[k]) * self.total[k]
             # By falling weight of words, until what is not indexed can't make up the coverage: all grams of a word go with it.
             left = set(s)
@@ -231,34 +405,37 @@ class Exemplars:
                 left = {g for g in left if w not in g.split()}
                 if sum(self.weight[g] for g in s - left) > spare + 1e-6:
                     break
-        self.anchors = frozenset(self.index) | self.filler
+        self.anchors = frozenset(self.index)
         return self
 
-    def touches(self, low: str) -> bool:
-        return not self.anchors.isdisjoint(terms(low))
+    def touches(self, found: list[str] | set[str]) -> bool:
+        return not self.anchors.isdisjoint(found)
+
+    def coverage(self, k: int, t: list[str], grams: set[str]) -> float:
+        """TF-IDF containment of exemplar ``k`` in a passage; of the vocabulary, of the passage in it."""
+        if k != self.vocabulary:
+            return sum(self.weight[g] for g in self.grams[k] & grams) / self.total[k]
+        own = self.grams[k]
+        if len(t) <= SHORT or len(own.intersection(t)) < SHORT:
+            return 0.0
+        inside = sum(self.weight[w] for w in t if w in own)
+        return inside / (inside + sum(self.other for w in t if w not in own))
 
     def matches(self, t: list[str]) -> bool:
-        if SLOT in t:
-            return True
-        words = set(t)
-        for k in {k for w in words for k in self.index.get(w, ())}:
-            grams = _grams(t)
-            if sum(self.weight[g] for g in self.grams[k] & grams) >= self.part[k] * self.total[k] - 1e-9:
-                return True
-        if words & self.filler and len(words & self.filler) >= 4 and len(t) >= 5:
-            inside = sum(self.weight[w] for w in t if w in self.filler)
-            if inside >= self.coverage * (inside + sum(self.other for w in t if w not in self.filler)):
+        grams = None
+        for k in {k for w in set(t) for k in self.index.get(w, ())}:
+            grams = grams or _grams(t)
+            if self.coverage(k, t, grams) >= self.part[k] - 1e-9:
                 return True
         return False
 
 
 def is_residue(text: str, index: Exemplars) -> bool:
-    low = text.lower()
-    if any(s in low for s in SOLID) or OUTLINE.search(text):
+    text = shown(text)
+    found = shapes(text)
+    if index.touches(found) and index.matches([x for x in found if x in index.anchors]):
         return True
-    if not index.touches(low) and not any(_is_slot(m[0]) for m in _SLOT.finditer(text)):
-        return False
-    return any(index.matches(t) for t in passages(shown(text)))
+    return index.touches(terms(text)) and any(index.matches(t) for t in passages(text))
 
 
 def _counts(docs: DataFrame, vocab: frozenset[str]) -> tuple[dict[str, int], int]:
@@ -271,7 +448,9 @@ def _counts(docs: DataFrame, vocab: frozenset[str]) -> tuple[dict[str, int], int
         n = 0
         for batch in batches:
             for t in batch.column(0).to_pylist():
+                t = shown(t)
                 count.update(shared.value.intersection(terms(t)))
+                count.update(shared.value & shapes(t))
                 n += 1
         rows = [*count.items(), ("", n)]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows]), pa.array([c for _, c in rows], pa.int64())], names=["term", "n"])

@@ -146,14 +146,29 @@ def test_prefix_filter_loses_nothing():
     """Passages with enough of an exemplar always share one of its indexed words."""
     ix = residue.Exemplars().weigh({}, 1000)
     r = random.Random(2)
-    for k, grams in enumerate(ix.grams):
-        words = [w for w in residue.PHRASES[k].split() if w != "_"]
+    for k, phrase in enumerate(residue.PHRASES):
+        words = [t for w in phrase.split() if w != "_" for t in residue.terms(w)]
         for _ in range(5):
             t = [w for w in words if r.random() < 0.9]
-            if sum(ix.weight[g] for g in grams & residue._grams(t)) >= ix.part[k] * ix.total[k]:
+            if ix.coverage(k, t, residue._grams(t)) >= ix.part[k]:
                 assert set(t) & ix.anchors and ix.matches(t)
 
 
+@pytest.mark.parametrize("exemplar", residue.SLOTS)
+def test_every_slot_exemplar_is_found_by_its_shape(exemplar):
+    ix = residue.Exemplars().weigh({}, 1000)
+    slot = exemplar.replace("…", " q ") if exemplar.count("…") and exemplar[-1] != "…" else exemplar.replace("…", " }}" if exemplar[0] == "{" else "")
+    for w, case in (("x", "name"), ("a", "name"), ("A", "NAME"), ("W", "Name")):
+        slot = residue.re.sub(rf"(?<![^\W_]){w}(?![^\W_])", case, slot)
+    assert residue.is_residue(f"Some words {slot} and more.", ix), slot
+
+
+def test_long_lines_of_signs_take_no_long_time():
+    ix = residue.Exemplars().weigh({}, 1000)
+    for sign in ("{%", "<?", "(", "[", "$", "__", "{{", "&lt;", "@", "<!--#"):
+        assert not residue.is_residue(sign * 50_000 + " a", ix)
+
+
 ELEMENTS = [
     ("# A title\n\nText", {"heading"}),
     ("== A title ==", {"heading"}),
