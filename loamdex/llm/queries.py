@@ -69,4 +69,17 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_ranking, p4_found, p5_found, p5_clean, p8_ids, p9_found, p10_found)}
-ORACLES: dict[str, str] = {}
+_CLOSENESS = """
+    with h as (
+        select query_id, packet_id, backend, max(score) s from search_hits
+        where query_id is not null and packet_id is not null and backend is not null and score is not null and not isnan(score) group by all),
+    l as (select query_id, backend, quantile_disc(s, 0.2) a, quantile_disc(s, 0.8) b from h group by all),
+    x as (select query_id, packet_id, backend, case when b <= a then 1.0 else least(greatest(s, a), b) - a end x from h join l using (query_id, backend)),
+    n as (select query_id, backend, sqrt(sum(x * x)) norm, max(x) / sqrt(sum(x * x)) best from x group by all),
+    i as (select query_id, sum(best * best) far from n group by 1),
+    s as (select query_id, packet_id, sum((x / norm) * (x / norm)) ss, sum(x / norm * best) sb from x join n using (query_id, backend) group by all),
+    c as (select query_id, packet_id, round(sqrt(ss) / (sqrt(ss) + sqrt(greatest(0, far - 2 * sb + ss))), 9) closeness from s join i using (query_id))"""
+ORACLES: dict[str, str] = {
+    "p3_found": f"{_CLOSENESS} select query_id, packet_id from c qualify row_number() over (partition by query_id order by closeness desc, packet_id) <= 3",
+    "p3_ranking": f"{_CLOSENESS} select query_id, packet_id, closeness from c",
+}

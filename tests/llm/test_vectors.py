@@ -59,25 +59,26 @@ def test_ties_go_to_smaller_ids(spark):
     assert [got[9, p] for p in (1, 2, 3)] == [0, 1, 2] and [got[1, p] for p in (1, 2, 3)] == [0, 2, 3]
 
 
-def plain_ranking(rows):
+def plain_ranking(rows, weights=None):
     """Ideal-point ranking of one query, computed step by step."""
     best = {}
     for p, b, s in rows:
         if s is not None:
             best[b, p] = max(s, best.get((b, p), s))
-    score = {}
-    backends = sorted({b for b, _ in best})
-    for b in backends:
+    score, ideal = {}, {}
+    for b in sorted({b for b, _ in best}):
         own = {p: s for (c, p), s in best.items() if c == b}
         order = sorted(own.values())
         at = lambda q: order[max(0, int(np.ceil(q * len(order))) - 1)]
-        lo, hi = at(0.05), at(0.95)
+        lo, hi = at(0.2), at(0.8)
         x = {p: 1.0 if hi <= lo else min(max(s, lo), hi) - lo for p, s in own.items()}
+        norm = np.sqrt(sum(v * v for v in x.values())) / (weights or {}).get(b, 1.0)
+        ideal[b] = max(x.values()) / norm
         for p, v in x.items():
-            score.setdefault(p, {})[b] = v / max(x.values())
+            score.setdefault(p, {})[b] = v / norm
     out = {}
     for p, v in score.items():
-        near = np.sqrt(sum((1 - v.get(b, 0)) ** 2 for b in backends))
+        near = np.sqrt(sum((i - v.get(b, 0)) ** 2 for b, i in ideal.items()))
         away = np.sqrt(sum(a * a for a in v.values()))
         out[p] = round(float(away / (away + near)), 9)
     return out
@@ -93,6 +94,9 @@ def test_fusion_against_plain_steps(spark):
     got = {x.packet_id: x.closeness for x in fusion.ideal_point(df).collect()}
     want = plain_ranking([(p, b, s) for p, b, s in rows if p and b])
     assert got == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
+    weights = {"views": 3.0, "dense": 0.5}
+    weighted = {x.packet_id: x.closeness for x in fusion.ideal_point(df, weights=weights).collect()}
+    assert weighted == {k: pytest.approx(v, abs=1e-6) for k, v in plain_ranking([(p, b, s) for p, b, s in rows if p and b], weights).items()} and weighted != got
     top = [x.packet_id for x in fusion.top(df, 3).orderBy("place").collect()]
     assert top == sorted(want, key=lambda p: (-got[p], p))[:3]
 
