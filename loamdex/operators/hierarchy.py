@@ -6,9 +6,11 @@ first ancestor elsewhere. The exits form a smaller quotient forest with weighted
 way, level by level, until it fits one partition; its result then expands every fragment. Loops within a
 partition are found there, loops over partitions as loops of the quotient.
 
-A level whose quotient hardly shrinks is partitioned by another hash into half as many parts, so
-recursion ends whatever the keys are. A parent with very many children is one row of the quotient,
-its children join it from every partition.
+Below the first level keys have no locality left, so there each node tosses a coin by hash, and a node that
+throws heads is put where its parent is if that throws tails (random mates). A level thus has at most about
+three quarters of the nodes of the one above, whatever the keys are, and as many partitions as its size asks for: no task
+holds more than about ``part_rows`` nodes. A parent of more than ``_MATES`` nodes draws none to it; it is one row of
+the quotient, and its children join it from every partition.
 
 Defined results: rows with a null or blank end are ignored; of several parents of one node the
 one with the latest ``seen_at`` holds (then the latest loaded_at, edge_id, the larger parent); a
@@ -26,6 +28,7 @@ from loamdex.session import checkpointed
 
 PART_ROWS = 50_000
 _BROADCAST_ROWS = 50_000
+_MATES = 1000
 _FRAGMENT = "node string, up string, kind string, end string, dist long, low string, state int, part int, trail array<string>"
 
 
@@ -132,11 +135,23 @@ def _on_ring(pdf):
     return pd.DataFrame({"node": pd.Series(sorted(out), dtype=object)})
 
 
-def _solve(p: DataFrame, part_rows: int, with_trail: bool, level: int = 0, most: int = 1 << 20) -> DataFrame:
+def _spread(p: DataFrame, parts: int, level: int) -> DataFrame:
+    """The rows of a level in partitions: by ranges of keys first, then random mates together."""
+    if parts == 1:
+        return p.coalesce(1)
+    if level == 0:
+        return p.repartitionByRange(parts, "node")
+    heads = lambda c: F.pmod(F.xxhash64(c, F.lit(level)), F.lit(2)) == 1
+    crowded = p.groupBy("up").count().filter(F.col("up").isNotNull() & (F.col("count") > _MATES)).select("up", F.lit(True).alias("_crowded"))
+    drawn = F.col("up").isNotNull() & heads("node") & ~heads("up") & F.col("_crowded").isNull()
+    d = p.join(crowded, "up", "left").withColumn("_at", F.xxhash64(F.when(drawn, F.col("up")).otherwise(F.col("node")), F.lit(level)))
+    return d.repartition(parts, "_at").select(*p.columns)
+
+
+def _solve(p: DataFrame, part_rows: int, with_trail: bool, level: int = 0) -> DataFrame:
     """(node, root, depth, state, trail) of rows (node, up, w, low, root, depth, state, trail); ``p`` is checkpointed."""
-    n = p.count()
-    parts = min(most, max(1, -(-n // part_rows)))
-    spread = p.coalesce(1) if parts == 1 else p.repartitionByRange(parts, "node") if level % 2 == 0 else p.repartition(parts, F.xxhash64("node", F.lit(level)))
+    parts = max(1, -(-p.count() // part_rows))
+    spread = _spread(p, parts, level)
     frag = checkpointed(spread.mapInArrow(_contract(with_trail), _FRAGMENT))
     own = frag.filter("kind != 'exit'").select("node", F.col("end").alias("root"), F.col("dist").alias("depth"), "state", "trail")
     if parts == 1:
@@ -153,7 +168,7 @@ def _solve(p: DataFrame, part_rows: int, with_trail: bool, level: int = 0, most:
         F.when(F.col("kind") == "loop", F.lit(2)).otherwise(F.lit(0)).alias("state"),
         "trail",
     )
-    solved = checkpointed(_solve(checkpointed(quotient), part_rows, with_trail, level + 1, max(1, parts // 2)))
+    solved = checkpointed(_solve(checkpointed(quotient), part_rows, with_trail, level + 1))
     known = solved.select(F.col("node").alias("end"), F.col("root").alias("r"), F.col("depth").alias("d"), F.col("state").alias("s"), F.col("trail").alias("t"))
     known = F.broadcast(known) if solved.count() <= _BROADCAST_ROWS and not with_trail else known
     up = exits.join(known, "end").select("node", F.col("r").alias("root"), F.when(F.col("s") == 0, F.col("d") + F.col("dist")).otherwise(F.lit(0)).alias("depth"), F.when(F.col("s") == 0, F.lit(0)).otherwise(F.lit(2)).alias("state"), F.when(F.col("s") == 0, F.concat("t", "trail")).alias("trail"))

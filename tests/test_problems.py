@@ -48,6 +48,28 @@ def test_hierarchy_of_one_ring_over_partitions(spark):
     assert tree(spark, pairs, part_rows=9) == climb(pairs)
 
 
+def test_no_task_holds_more_than_its_share(spark, monkeypatch):
+    """A chain of scattered keys and a crowded parent, on small partitions: no level may put all that is left into one task."""
+    keys = [f"{(k * 7919) % 3001:04d}" for k in range(900)]
+    pairs = [*zip(keys, keys[1:]), *((f"x{k}", keys[5]) for k in range(300)), *((f"y{k}", f"x{k}") for k in range(300))]
+    contract = hierarchy._contract
+
+    def bounded(with_trail):
+        run = contract(with_trail)
+
+        def check(batches):
+            got = list(batches)
+            if sum(b.num_rows for b in got) > 250:
+                raise ValueError("too many rows in one task")
+            yield from run(iter(got))
+
+        return check
+
+    monkeypatch.setattr(hierarchy, "_contract", bounded)
+    monkeypatch.setattr(hierarchy, "_MATES", 20)
+    assert tree(spark, pairs, part_rows=100) == climb(pairs)
+
+
 def test_paths_and_descendants(spark):
     df = spark.createDataFrame([(f"{k:02d}", f"{k + 1:02d}") for k in range(30)], "node string, up string")
     paths = hierarchy.hierarchy(df, part_rows=7, with_path=True)
