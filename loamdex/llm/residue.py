@@ -247,15 +247,15 @@ FILLER = """lorem ipsum dolor amet consectetur adipiscing eiusmod tempor incidid
 enim minim veniam nostrud ullamco laboris aliquip commodo consequat aute irure reprehenderit voluptate velit cillum fugiat nulla pariatur
 situm omnis ipsum tandis fugit esto velut malora nullam quorum brevis pendo vela carta""".split()
 
-# Unfilled slots and programming leftovers as shapes: a, A, W and 0 stand for words in small letters, in capitals, in
-# both and for numbers, x for any of the three, "…" for what may follow; longer words for themselves.
+# Unfilled slots and programming leftovers as shapes: a, A, W and 0 stand for words that begin small, in capitals, that
+# begin with one and for numbers, x for any of the three, "…" for what may follow; longer words for themselves.
 SLOTS = re.split(r"\s{2,}|\n", """
 {{{x}}}  {{{x_x}}}  {{{x.x}}}  {{{x-x}}}  {{{x|}}}  {{{x_x|}}}  {{{x x}}}  {{{ x }}}  {{{ x_x }}}  {{{ x.x }}}  {{ a.a…
 {{ a_a…  {{ a_a.a…  {{ a.a_a…  {%…%}  {%-…%}  {%-…-%}  [%…%]  {x}  {x_x}  {x.x}  {x.x_x}  {x_x.x}  {0}  ${x}  ${x_x}
 ${x.x}  ${x_x.x}  ${x.x_x}  $a$  $a_a$  $A$  $A_A$  $(x)  $(x_x)  {$x}  {$x_x}  {$x.x}  #{x}  #{x_x}  #{x.x}  ##A##
 ##A_A##  ###A###  %%x%%  %%x_x%%  %A%  %A_A%  %a%  %a_a%  %(a)s  %(a_a)s  @@x@@  @@x_x@@  @{x}  @{x_x}  @A@  @A_A@  __A__
 __A_A__  ((a))  ((a_a))  «a»  «a_a»  *|A|*  *|A_A|*  *|A:A|*  <<x>>  <<x_x>>  <%…%>  <%=…%>  <%-…%>  <?=…?>  <?php…?>
-<!--#…-->  <A A>  <x>  <x_x>  &lt;x&gt;  &lt;x_x&gt;  [A_A]  [SOURCE]  [HERE]  [A HERE]  [A A HERE]  [TODO…]  [TBD…]
+<!--#…-->  <A A>  <x>  <x_x>  &lt;x&gt;  &lt;x_x&gt;  [A_A]  [SOURCE]  [HERE]  [A HERE]  [A_A HERE]  [A A HERE]  [TODO…]  [TBD…]
 [FIXME…]  [INSERT…]  [Insert…]  [insert…]  [Your…]  [your…]  (your a here)  (your a a here)  [object Object]  NaN
 """.strip())
 # Words in brackets alone on a line (or paragraph) that stand for a part not written.
@@ -267,8 +267,7 @@ _PARAM = re.compile(r"(?m)^\s*\|[^\n=|]*=\s*\{\{\{[^{}]*\}\}\}[ \t]*$")
 _SWITCH = {"TOC", "NOTOC", "FORCETOC", "NOINDEX", "INDEX", "NOEDITSECTION", "NEWSECTIONLINK", "NOGALLERY", "HIDDENCAT", "NOTITLECONVERT", "NOCONTENTCONVERT", "DISAMBIG", "STATICREDIRECT", "NONEWSECTIONLINK"}
 _HTML = set("a abbr b big blockquote br caption center cite code col dd del div dl dt em font gallery h1 h2 h3 h4 h5 h6 hr i img imagemap includeonly ins kbd li math noinclude nowiki ol onlyinclude p poem pre q ref references s samp section small source span strike strong sub sup syntaxhighlight table tbody td th thead time timeline title tr tt u ul var head body html noscript script style template form input button label option select main nav header footer article aside figure figcaption iframe link meta video audio canvas svg path mi mo mn mrow msup msub mfrac".split())
 
-# What may be a shape: opening signs, words, closing signs; or a word with capitals inside.
-_CHUNK = re.compile(r"(?<![{<\[(%$#@*|«_])(?=((?:&lt;|[{<\[(%$#@*|«]+|__)(?=[^|*]|\|[A-Z]))([^\n{}<>\[\]()%$#@*«»&]+?)((?:&gt;|\)s\b|[}\]>)%$#@*|»]+|__(?!_))))|\b[A-Z][a-z]+[A-Z]\b")
+_OUTLINE = re.compile(r"(?m)^[ \t]*(?:<p>)?[(\[]([^()\[\]\n]+)[)\]](?:</p>)?[ \t\r]*$")
 _BLOCK = re.compile(r"(<[?%][=-]?|\{%-?|\[%-?|<!--#)((?:(?!\{%|\[%|<[?%]|<!--#)[^\n])+?)(-?[?%][>}\]]|-->)")
 _WORDS = re.compile(r"[^\W_]+")
 _HEAD = re.compile(r" ?[\w.]+")
@@ -289,46 +288,58 @@ _LITERAL = _literals(SLOTS)
 def _folded(body: str, literal: frozenset[str] = frozenset()) -> str:
     def word(m):
         w = m[0]
-        return w if w in literal else "0" if w.isdigit() else "a" if w.islower() else "A" if w.isupper() else "W"
+        return w if w in literal else "0" if w.isdigit() else "a" if w[0].islower() else "A" if w.isupper() else "W"
 
     return _RUN.sub(r"\1\2\1", _WORDS.sub(word, body))
 
 
+def slot_shapes() -> list[str]:
+    """The exemplars' shapes, each x as each of its letter cases."""
+    out = []
+    for x in SLOTS:
+        for case in "aAW" if re.search(r"(?<![^\W_])x(?![^\W_])", x) else "a":
+            out.append(re.sub(r"(?<![^\W_])x(?![^\W_])", case, x))
+    return out + [f"^({x})$" for x in OUTLINE]
+
+
+def _chunks(shapes: list[str]) -> tuple[list[str], re.Pattern, re.Pattern]:
+    """Opening signs followed by words and closing signs as far as they may be one of some shapes; words that are shapes themselves."""
+    begins: dict[str, set[str]] = {}
+    words = []
+    for x in shapes:
+        if re.fullmatch(r"\w+", x) and not x.startswith("_"):
+            words.append(x)
+        elif x[0] != "^" and (m := re.match(r"(&lt;|__|\W+?)( ?)([^\W_]+)", x)):
+            first = {"a": "[^\\W\\d_A-Z]", "A": "[^\\W\\d_a-z]", "W": "[^\\W\\d_a-z]", "0": "[0-9]"}.get(m[3], re.escape(m[3]))
+            begins.setdefault(m[1], set()).add(m[2] + first)
+    signs = "|".join(f"{re.escape(o)}(?={'|'.join(sorted(b))})" for o, b in sorted(begins.items(), reverse=True))
+    return words, re.compile(rf"({signs})(?=([^\n{{}}<>\[\]()%$#@*«»&]+?)(&gt;|\)s\b|[}}\]>)%$@*|»]+|__(?!_)))"), re.compile(rf"\b(?:{'|'.join(words)})\b")
+
+
+_ODD, _CHUNK, _WORD_SHAPE = _chunks(slot_shapes())
+_OPENING = frozenset("{<[(%$#@*|«_")
+
+
 def shapes(text: str) -> set[str]:
-    """Shapes in a text: each whole, without its inside, and by its head; marked by ``^`` and ``$`` where it is all of a line."""
-    out = set()
+    """Shapes in a text: each whole, without its inside, and by its head; in ``^`` and ``$`` what is all of a line."""
+    out = set(_WORD_SHAPE.findall(text)) if any(w in text for w in _ODD) else set()
     if "<" in text or "%" in text:
         for m in _BLOCK.finditer(text):
             head = _WORDS.match(m[2])
             out |= {f"{m[1]}…{m[3]}", f"{m[1]}{head[0] if head else ''}…{m[3]}"}
     for m in _CHUNK.finditer(text):
-        if not m[1]:
-            out.add(m[0])
-            continue
-        opened, body, closed = m[1], m[2], m[3]
-        if opened == "__" and body in _SWITCH or opened in ("<", "&lt;") and body.strip().lower() in _HTML:
+        opened, body, closed = m.groups()
+        if m.start() and text[m.start() - 1] in _OPENING or opened == "__" and body in _SWITCH or opened in ("<", "&lt;") and body.strip().lower() in _HTML:
             continue
         for folded in {_folded(body), _folded(body, _LITERAL)}:
             out.add(opened + folded + closed)
             if head := _HEAD.match(folded):
                 out |= {f"{opened}{head[0]}…", f"{opened}{head[0].split(' ')[0]}…{closed}"}
-        if opened in ("(", "[") and closed in (")", "]"):
-            s, e = m.start(), m.start() + len(opened) + len(body) + len(closed)
-            line = text[text.rfind("\n", 0, s) + 1 : s].strip(), text[e : text.find("\n", e) if text.find("\n", e) >= 0 else len(text)].strip()
-            if line in (("", ""), ("<p>", "</p>")):
-                out.add(f"^({body.lower()})$")
+    for m in _OUTLINE.finditer(text) if "(" in text or "[" in text else ():
+        out.add(f"^({m[1].strip().lower()})$")
     return out
 
 
-def slot_shapes() -> list[str]:
-    """The exemplars' shapes, each x as each of its letter cases."""
-    out = []
-    for x in SLOTS:
-        for case in "aAW" if re.search(r"(?<![^\W_])x(?![^\W_])", x) else "a":
-            out.append(re.sub(r"(?<![^\W_])x(?![^\W_])", case, x))
-    return out + [f"^({x})$" for x in OUTLINE]
-
-
 def shown(text: str) -> str:
     """A text without what it quotes and without parameters of templates that are handed on."""
     if "<" in text or "```" in text or "> " in text:
