@@ -313,7 +313,7 @@ def _chunks(shapes: list[str]) -> tuple[list[str], re.Pattern, re.Pattern]:
             first = {"a": "[^\\W\\d_A-Z]", "A": "[^\\W\\d_a-z]", "W": "[^\\W\\d_a-z]", "0": "[0-9]"}.get(m[3], re.escape(m[3]))
             begins.setdefault(m[1], set()).add(m[2] + first)
     signs = "|".join(f"{re.escape(o)}(?={'|'.join(sorted(b))})" for o, b in sorted(begins.items(), reverse=True))
-    return words, re.compile(rf"({signs})(?=([^\n{{}}<>\[\]()%$#@*«»&]+?)(&gt;|\)s\b|[}}\]>)%$@*|»]+|__(?!_)))"), re.compile(rf"\b(?:{'|'.join(words)})\b")
+    return words, re.compile(rf"({signs})(?=([^\n{{}}<>\[\]()%$#@*«»&]+?)(&gt;|\)s\b|[}}\]>)%$@*|»#]+|__(?!_)))"), re.compile(rf"\b(?:{'|'.join(words)})\b")
 
 
 _ODD, _CHUNK, _WORD_SHAPE = _chunks(slot_shapes())
