@@ -1,16 +1,15 @@
 """Encoding of a whole corpus with a public byte-level BPE tokenizer.
 
 Method: monoid tree reduction. A text is halved recursively down to leaves of
-``leaf_chars`` characters; a leaf becomes (open head, ids of the middle, open tail),
-where the cuts lie between a character that is no white space and a space. No pretoken of
-the tokenizer's pattern reaches over such a cut from either side, so ids outside
-the open ends are final whatever stands next to them. Two neighbours are joined by
-encoding only the window between the left one's last and the right one's first cut;
-a part without a cut stays open as a whole, so the window grows until its ends are stable.
-Decoding concatenates the bytes of the ids.
+``leaf_chars`` characters. A leaf is scanned by the tokenizer's pattern on its own; two neighbours are
+joined by scanning a window again that begins at the left one's last stable pretoken and
+grows over the right one, doubling, until a boundary found in it that can't change any more is also a boundary of the right
+one's own scan. Since the scan has no memory, all pretokens outside the window are then those of the whole text.
+A pretoken is stable if it doesn't touch the end of its part and begins ``REACH`` characters or more before it:
+no alternative of the pattern looks further ahead but over a run it takes to its end. Merges
+happen within pretokens alone, so the ids of a text are those of its pretokens; decoding concatenates their bytes.
 
-Within a leaf the stretches between two cuts repeat all over a corpus, so each worker
-keeps the ids of those it has met (a bounded memory, emptied when full).
+Pretokens repeat all over a corpus, so each worker keeps the ids of those it has met (a bounded memory, emptied when full).
 
 Defined results: an empty list for empty and null texts; a text of blanks is encoded as it
 stands; repeated rows give repeated rows (``distinct`` them by id first if need be); special
@@ -21,38 +20,41 @@ from __future__ import annotations
 
 import base64
 import os
-import re
 from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAF_CHARS = 4096
+LEAF_CHARS = 512
+# Length of the longest contraction, which is as far as the pattern looks ahead.
+REACH = 3
 TOKENIZER_DIR = "/opt/tokenizers"
-_CUT = re.compile(r"(?<=\S) ")
-_ODD = re.compile(r"\s ")
 
 
-@cache
-def encoding(folder: str, name: str):
-    """The tokenizer of ``name``.tiktoken in a folder of public vocabulary files."""
+def pattern(folder: str) -> str:
+    """The pattern by which the tokenizers of a folder of public vocabulary files cut texts into pretokens."""
     import sys
 
-    import tiktoken
-
     parent, package = os.path.split(os.path.realpath(folder))
     sys.path.insert(0, parent)
     try:
-        pattern = __import__(package).PATTERN
+        return __import__(package).PATTERN
     finally:
         sys.path.remove(parent)
+
+
+@cache
+def encoding(folder: str, name: str):
+    """The tokenizer of ``name``.tiktoken in a folder of public vocabulary files."""
+    import tiktoken
+
     with open(os.path.join(folder, f"{name}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(name, pat_str=pattern(folder), mergeable_ranks=ranks, special_tokens={})
 
 
-class _Stretches(dict):
-    """Stretch of text -> its ids as 32-bit integers."""
+class _Memory(dict):
+    """Pretoken -> its ids as 32-bit integers."""
 
     LONGEST, MOST = 48, 400_000
 
@@ -60,77 +62,59 @@ class _Stretches(dict):
         super().__init__()
         self.encode = encode
 
-    def __missing__(self, stretch: str) -> bytes:
+    def __missing__(self, pretoken: str) -> bytes:
         import numpy as np
 
-        ids = np.array(self.encode(stretch), dtype=np.int32).tobytes()
-        if len(stretch) <= self.LONGEST:
+        ids = np.array(self.encode(pretoken), dtype=np.int32).tobytes()
+        if len(pretoken) <= self.LONGEST:
             if len(self) >= self.MOST:
                 self.clear()
-            self[stretch] = ids
+            self[pretoken] = ids
         return ids
 
 
-class Part:
-    """Element of the monoid: open head, final ids, open tail; ``ids`` is None while there is no cut at all."""
-
-    __slots__ = ("head", "ids", "tail")
-
-    def __init__(self, head: str, ids: bytes | None = None, tail: str = ""):
-        self.head, self.ids, self.tail = head, ids, tail
-
-
 class TreeEncoder:
-    def __init__(self, encode, leaf_chars: int = LEAF_CHARS):
-        self.leaf_chars = max(1, leaf_chars)
-        self.first = _Stretches(encode)
-        self.inner = _Stretches(lambda s: encode(" " + s))
-
-    def closed(self, text: str) -> bytes:
-        """Ids of a text between two cuts, or between the ends of the whole."""
-        if not text:
-            return b""
-        first, *rest = _CUT.split(text) if _ODD.search(text) else text.split(" ")
-        return self.first[first] + b"".join(map(self.inner.__getitem__, rest))
-
-    def leaf(self, text: str) -> Part:
-        cuts = _CUT.search(text)
-        if not cuts:
-            return Part(text)
-        a = cuts.start()
-        b = max(a, text.rfind(" "))
-        while b > a and text[b - 1].isspace():
-            b = text.rfind(" ", 0, b)
-        b = max(a, b)
-        return Part(text[:a], self.closed(text[a:b]), text[b:])
-
-    def join(self, x: Part, y: Part) -> Part:
-        if x.ids is None:
-            return self._open(x.head + y.head, y) if y.ids is not None else self.leaf(x.head + y.head)
-        if y.ids is None:
-            window = self.leaf(x.tail + y.head)
-            return Part(x.head, x.ids, window.head) if window.ids is None else Part(x.head, x.ids + self.closed(window.head) + window.ids, window.tail)
-        return Part(x.head, x.ids + self.closed(x.tail + y.head) + y.ids, y.tail)
-
-    def _open(self, head: str, y: Part) -> Part:
-        window = self.leaf(head)
-        if window.ids is None:
-            return Part(head, y.ids, y.tail)
-        return Part(window.head, window.ids + self.closed(window.tail) + y.ids, y.tail)
-
-    def tree(self, text: str) -> Part:
+    def __init__(self, encode, scan, leaf_chars: int = LEAF_CHARS):
+        """``encode`` gives the ids of one pretoken, ``scan`` the pretokens of a text."""
+        self.scan, self.leaf_chars, self.ids = scan, max(1, leaf_chars), _Memory(encode)
+
+    def stable(self, part: list[str]) -> int:
+        """How many pretokens of a part can't change whatever follows it."""
+        n, left = len(part), 0
+        while n and (n == len(part) or left < REACH):
+            n -= 1
+            left += len(part[n])
+        return n
+
+    def join(self, x: list[str], y: list[str]) -> list[str]:
+        if not x or not y:
+            return x or y
+        keep = self.stable(x)
+        open_ = "".join(x[keep:])
+        width = 2
+        while True:
+            window = self.scan(open_ + "".join(y[:width]))
+            if width >= len(y):
+                return x[:keep] + window
+            ends, at = {}, len(open_)
+            for k, t in enumerate(y[:width]):
+                ends[at] = k
+                at += len(t)
+            at = 0
+            for n, t in enumerate(window[: self.stable(window) + 1]):
+                if at in ends:
+                    return x[:keep] + window[:n] + y[ends[at] :]
+                at += len(t)
+            width *= 2
+
+    def tree(self, text: str) -> list[str]:
         if len(text) <= self.leaf_chars:
-            return self.leaf(text)
+            return self.scan(text)
         half = len(text) // 2
         return self.join(self.tree(text[:half]), self.tree(text[half:]))
 
     def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if len(text) <= self.leaf_chars:
-            return self.closed(text)
-        p = self.tree(text)
-        return self.closed(p.head) if p.ids is None else self.closed(p.head) + p.ids + self.closed(p.tail)
+        return b"".join(map(self.ids.__getitem__, self.tree(text))) if text else b""
 
 
 def encode_corpus(df: DataFrame, *, key: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR, leaf_chars: int = LEAF_CHARS) -> DataFrame:
@@ -143,7 +127,9 @@ def encode_corpus(df: DataFrame, *, key: str = "doc_id", text: str = "text", tok
     def run(batches):
         import numpy as np
 
-        encode = TreeEncoder(encoding(folder, tokenizer).encode_ordinary, leaf_chars)
+        import regex
+
+        encode = TreeEncoder(encoding(folder, tokenizer).encode_ordinary, regex.compile(pattern(folder)).findall, leaf_chars)
         for batch in batches:
             for start in range(0, batch.num_rows, 2048):
                 part = batch.slice(start, 2048)
