@@ -2,9 +2,11 @@
 
 Method: a text is cut into flat blocks; each block gets its word count and link density,
 those of its neighbours and shallow counts of signs; a decision tree trained on the small
-labelled table below says whether a block is plain text, a heading, a list, code or a formula.
+labelled table below says whether a block is plain text, a heading, a list, code, a formula or a menu.
+Signs alone don't decide: a line over a rule is a heading or the end of a paragraph by its word count, a stretch between dollar
+signs a formula or prices, links a menu or a reference by their density and that of the blocks around.
 What the tree says rests on shallow features only, so it costs one pass over the text and no parse tree.
-An exact check then finds markup inside lines of blocks that are neither code nor formula.
+An exact check then finds markup inside lines of blocks that are neither code nor formula. Menus are left out of clean text.
 
 Defined results: null and empty texts hold no element and clean to themselves; repeated rows
 yield their elements once; whole texts are read whatever their length; extra columns are ignored.
@@ -20,8 +22,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PLAIN, HEADING, LIST, CODE, FORMULA = range(5)
-KINDS = ("plain", "heading", "list", "code", "formula")
+PLAIN, HEADING, LIST, CODE, FORMULA, MENU = range(6)
+KINDS = ("plain", "heading", "list", "code", "formula", "menu")
 
 _EOL = re.compile(r"\r\n?")
 _SIGN = re.compile(r"[<\\$`~*_=#&\[{|]|''|^[ \t]*(?:[-+•]|\d{1,9}[.)])[ \t]|^(?: {4}|\t)|^-{3,}[ \t]*$", re.M)
@@ -145,28 +147,62 @@ def features(flat: list[tuple[int, str]]) -> list[tuple[int, ...]]:
 # ------------------------------------------------------------------ the labelled table and the tree
 
 _TEXT = ["One line of plain words about a bridge.", "Words with a [link](a.md) in them.", "Many words stand here, and still more words follow them, so that the paragraph is long enough to fill its lines.", "See [[A page|it]]."]
+_LONG_OVER_RULE = [f"Many words stand {'here, and still more follow them, ' * k}so that the line is no title of a mill.\n-----" for k in (3, 4, 5, 6)]
+_PRICES = [f"${k} for the mill {'and a little more for all of the rest ' * k}of it in$" for k in (1, 2, 3, 4)]
 _LABELLED: list[tuple[int, list[str]]] = [
     (HEADING, ["# Old mill", "## Old mill by the lake", "### Mill ###", "== Mill ==", "=== The mill ===", "Old mill\n========", "Old mill by the lake\n---------", "<h1>Mill</h1>", "<h2 class=\"a\">Old mill</h2>", "<H3>\nMill\n</H3>", "\\section{Mill}", "\\subsection*{Old mill}", "\\chapter{The old mill}"]),
     (LIST, ["- a", "- a\n- b", "* a\n* b\n** c", "+ a b c\n+ d", "1. a\n2. b", "  - a\n  - b c d e f", "- [ ] a\n- [x] b", "# a\n# b", "# a\n## b\n# c", "<ul><li>a</li></ul>", "<ol>\n<li>a\n<li>b</ol>", "\\begin{itemize}\n\\item a\n\\end{itemize}", "\\begin{enumerate}\n\\item a\n\\item b\n\\end{enumerate}", "1) a\n2) b\n3) c\n4) d", "- mill", "- mill\n- mill", "# mill\n## mill", "<ul><li>mill</ul>"]),
     (CODE, ["```\nmill = 1\n```", "```sql\nselect 1\n```", "~~~\nmill\ny\n~~~", "<pre>x</pre>", "<pre>mill</pre>", "<pre>\nmill\n</pre>", "<pre><code>x\ny</code></pre>", "<source>\nmill\n</source>", "<syntaxhighlight lang=\"c\">int mill;</syntaxhighlight>", "\\begin{verbatim}\nmill\n\\end{verbatim}", "\\begin{lstlisting}\nmill = 1\n\\end{lstlisting}", "    mill = 1\n    b = 2", "\ta = 1", "    if (mill) {\n      y();\n    }", "    a\n    b\n    c\n    d", "```\na mill\nb\nc\n```", "~~~ c\na mill\nb\nc\nd\n~~~", "<pre>\na mill\nb\nc\n</pre>", "<source>\na mill\nb\nc\n</source>", "<syntaxhighlight>\na mill\nb\nc\n</syntaxhighlight>", "\\begin{verbatim}\na mill\nb\nc\n\\end{verbatim}", "\\begin{lstlisting}\na mill\nb\nc\n\\end{lstlisting}"]),
     (FORMULA, ["$$x$$", "$$mill$$", "$$\nx^2\n$$", "\\[ x \\]", "\\begin{equation}\nmill\n\\end{equation}", "\\begin{align*}\nx\n\\end{align*}", "<math>x</math>", "<math><mi>x</mi></math>", "$x^2$", "\\(x\\)", "$$\na mill\nb\nc\n$$", "<math>\na mill\nb\nc\n</math>", "\\begin{equation}\na mill\nb\nc\n\\end{equation}"]),
-    (PLAIN, [*_TEXT, "Two lines of words\nwithout any sign.", "A short one.", "Title words", "Mill", "Old mill", "The mill\nand more", "A mill\na mill\nb\nc", "He said: 3 < 5.", "<p>A paragraph of words.</p>"]),
+    (PLAIN, [*_TEXT, "Two lines of words\nwithout any sign.", "A short one.", "Title words", "Mill", "Old mill", "The mill\nand more", "A mill\na mill\nb\nc", "He said: 3 < 5.", "<p>A paragraph of words.</p>", *_LONG_OVER_RULE, *_PRICES]),
 ]
+_LINKS = ["[[Mill]]", "[mill](a.md)", "- [mill](a.md)\n- [hill](b.md)", "* [[Mill]]\n* [[Hill]]\n* [[Till]]", "1. [mill](a.md)\n2. [hill](b.md)", "# [mill](a.md)", "== [[Mill]] ==", "<ul><li><a href='a'>mill</a><li><a href='b'>hill</a></ul>"]
+_REFERRING = ["This note collects the open questions about [the old mill](a.md) and the market.", "The old mill of [[Hill|the hill]] stands.", "See [[A page|it]] and [that](b.md) too.", "Ask [the miller](a.md), [the carter](b.md) or [[Ann]] for the key of the [old mill by the lake](c.md).", "The [[mill]] was moved.", "Read [the long report on the old mill and its wheel](a.md) first.", "Go to [the mill](a.md) now."]
+_MENUS = ["[home](/) | [mill](/a) | [hill](/b) | [help](/c)", "[[Home]] · [[Mill]] · [[Hill]] · [[Till]]", "[home](/)\n[mill](/a)\n[hill](/b)\n[help](/c)", "<a href='/'>home</a> <a href='/a'>mill</a> <a href='/b'>hill</a> <a href='/c'>help</a>", "[previous](/a) [up](/b) [next](/c) [index](/d) [about](/e)"]
 
 
-def labelled() -> tuple[np.ndarray, np.ndarray]:
-    """Each labelled block between each two kinds of neighbours, as features and labels."""
-    x, y = [], []
+_FILLS = ("ill", "ill hill", "ill and a hill by the lake", "ill of a town that lies far from here and further from there", "ill" + " so and so" * 14)
+_BEFORE = ("", *_TEXT, "- a\n- b", "## Mill")
+_AFTER = ("", _TEXT[0], _TEXT[1], "```\nx\n```")
+
+
+def labelled() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each labelled block between each two kinds of neighbours: features, labels, and the number of the labelled text they come from."""
+    x, y, source = [], [], []
+
+    def add(label: int, text: str, befores, afters, number: int) -> None:
+        for before in befores:
+            for after in afters:
+                own = len(blocks(before)) if before else 0
+                f = features([*(blocks(before) if before else []), *blocks(text), *(blocks(after) if after else [])])
+                x.append(f[own])
+                y.append(label)
+                source.append(number)
+
+    number = 0
     for label, texts in _LABELLED:
-        for t in (t.replace("ill", fill) for t in texts for fill in ("ill", "ill hill", "ill and a hill by the lake", "ill of a town that lies far from here and further from there", "ill" + " so and so" * 14)):
-            for before in ("", *_TEXT, "- a\n- b", "## Mill"):
-                for after in ("", _TEXT[0], _TEXT[1], "```\nx\n```"):
-                    flat = blocks(t)
-                    own = len(blocks(before)) if before else 0
-                    f = features([*(blocks(before) if before else []), *flat, *(blocks(after) if after else [])])
-                    x.append(f[own])
-                    y.append(label)
-    return np.array(x), np.array(y)
+        for t in texts:
+            fixed = t in _LONG_OVER_RULE or t in _PRICES
+            for fill in ("ill",) if fixed else _FILLS:
+                if label == HEADING and _RULE.search(t) and len(fill) > 60 or label == FORMULA and t[:1] == "$" and t[1:2] != "$" and len(fill) > 30:
+                    continue  # too long for what it is
+                add(label, t.replace("ill", fill), _BEFORE, _AFTER, number)
+            number += 1
+    signs = {"-": LIST, "*": LIST, "1": LIST, "<": LIST, "#": HEADING, "=": HEADING}
+    for t in _LINKS:
+        add(signs.get(t[0], PLAIN), t, _BEFORE, _AFTER, number)
+        if t[0] in signs:
+            add(signs[t[0]], t, ("[[Mill]]", _MENUS[0]), ("[[Hill]]", _MENUS[1]), number)
+        else:  # one link is a reference among text and a part of a menu among links
+            add(MENU, t, ("[[Mill]]", "[hill](b.md)", _MENUS[0]), ("[[Hill]]", "[till](c.md)", _MENUS[1]), number)
+        number += 1
+    for t in _REFERRING:
+        add(PLAIN, t, (*_BEFORE, "[[Mill]]", _MENUS[0]), (*_AFTER, "[[Hill]]", _MENUS[1]), number)
+        number += 1
+    for t in _MENUS:
+        add(MENU, t, (*_BEFORE, "[[Mill]]", _MENUS[0]), (*_AFTER, "[[Hill]]", _MENUS[1]), number)
+        number += 1
+    return np.array(x), np.array(y), np.array(source)
 
 
 def fit(x: np.ndarray, y: np.ndarray, depth: int = 18) -> tuple | int:
@@ -185,12 +221,18 @@ def fit(x: np.ndarray, y: np.ndarray, depth: int = 18) -> tuple | int:
     if best is None:
         return int(counts.argmax())
     f, t, left = best
-    return f, t, fit(x[left], y[left], depth - 1), fit(x[~left], y[~left], depth - 1)
+    low, high = fit(x[left], y[left], depth - 1), fit(x[~left], y[~left], depth - 1)
+    return low if low == high else (f, t, low, high)
 
 
 @cache
 def tree() -> tuple | int:
-    return fit(*labelled())
+    return fit(*labelled()[:2])
+
+
+def used(node: tuple | int) -> set[int]:
+    """Features a tree splits on."""
+    return set() if isinstance(node, int) else {node[0]} | used(node[2]) | used(node[3])
 
 
 def predict(node: tuple | int, row: tuple[int, ...]) -> int:
@@ -225,7 +267,7 @@ def kinds(text: str, classifier: Classifier) -> set[str]:
     flat = blocks(text)
     out = set()
     for (_, b), k in zip(flat, classifier.label(flat)):
-        if k != PLAIN:
+        if k not in (PLAIN, MENU):
             out.add(KINDS[k])
         if k not in (CODE, FORMULA) and "inline" not in out and any(not _STRUCTURE.fullmatch(m[0]) for m in _INLINE.finditer(b)):
             out.add("inline")
@@ -268,6 +310,8 @@ def clean(text: str, classifier: Classifier) -> str:
     flat = blocks(text)
     out = []
     for (c, b), k in zip(flat, classifier.label(flat)):
+        if k == MENU:
+            continue
         if k == CODE:
             body = _WRAP.sub("", b) if c == 6 else "\n".join(line[4:] if line.startswith("    ") else line.lstrip("\t") for line in b.split("\n"))
             out.append(f"```\n{html.unescape(body) if '<' in b else body}\n```")
