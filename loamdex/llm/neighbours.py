@@ -1,17 +1,18 @@
 """Most similar vectors for every vector.
 
 Method: a hierarchical navigable small-world graph per shard, each layer stored as
-one flat array of neighbour numbers, with the shards' results merged. Graphs are built and
-searched for many vectors at a time with array operations.
+one flat array of neighbour numbers, with the shards' results merged. Layers are built in bulk, their
+candidates from blocks of similarities (from searches beyond ``_BULK`` nodes), and searched for many vectors at a time.
 
-Vectors that point alike are routed to the same shard: centroids are fitted on a bounded
-sample (``sample_rows``), every vector goes to the shard of its nearest centroid and is searched for there,
-starting at its own node, and in the shards of its ``probes`` next centroids. The work
-per vector thus stays the same as the table grows. A centroid with more than ``shard_rows`` vectors
-is split into several shards by a hash of the embedding, and its vectors are searched for in all of them.
+Vectors that point alike are in one shard: centroids are fitted on a bounded sample (``sample_rows``), and
+a cell with more than ``shard_rows`` vectors is divided, by centroids fitted to a sample of its own on the executors, until
+none is left. A vector goes to the cell of its nearest centroid and is searched for there, starting at its own
+node, and in up to ``probes`` next cells whose centroids are nearly as similar (by ``margin``). The work
+per vector thus stays the same as the table grows, in a hot cluster too. The centroids, about one for ``cell_rows`` vectors,
+are the only thing gathered: 256 bytes each. Vectors from elsewhere that crowd one cell are divided over several copies of its shard.
 
-Exact copies are one node of the graph; all of them are expanded in the result,
-of which each vector needs no more than the k + 1 smallest ids of a node.
+Of vectors of one direction (to 6 decimals, copies and multiples) just the k + 1 with the smallest ids take part;
+the others have the neighbours of the first of them, and it.
 
 Defined results: embeddings that are null, of another length, with a null or no finite
 number, or all zero take no part; rows with the same id count once; equally similar
@@ -28,8 +29,10 @@ from pyspark.sql import functions as F
 
 K, DIM = 5, 64
 DEGREE, EF_BUILD, EF_SEARCH = 16, 32, 32
-SHARD_ROWS, CELL_ROWS, SAMPLE_ROWS, PROBES = 12_000, 6_000, 20_000, 2
-BATCH = 1024
+SHARD_ROWS, CELL_ROWS, SAMPLE_ROWS, PROBES, MARGIN = 12_000, 6_000, 20_000, 2, 0.1
+# Centroids fitted at once, sample rows for each below the first level, rounds of division.
+_FAN, _EACH, _ROUNDS = 128, 100, 6
+BATCH, _BULK = 1024, 25_000
 
 
 class Graph:
@@ -52,6 +55,9 @@ class Graph:
 
     def _fill(self, links: np.ndarray, nodes: np.ndarray) -> None:
         width = links.shape[1]
+        if len(nodes) <= _BULK:
+            self._bulk(links, nodes, width)
+            return
         done = min(len(nodes), 256)
         first = nodes[:done]
         sims = self.x[first] @ self.x[first].T
@@ -73,6 +79,22 @@ class Graph:
             self._back(links, new, chosen, width)
             done += len(new)
 
+    def _bulk(self, links: np.ndarray, nodes: np.ndarray, width: int) -> None:
+        """All links of a layer: candidates by blocks of similarities to the whole layer."""
+        x = self.x[nodes]
+        take = min(len(nodes) - 1, self.ef)
+        if take < 1:
+            return
+        for s in range(0, len(nodes), BATCH):
+            own = nodes[s : s + BATCH]
+            sims = x[s : s + BATCH] @ x.T
+            sims[np.arange(len(own)), np.arange(s, s + len(own))] = -np.inf
+            near = np.argpartition(-sims, take - 1, axis=1)[:, :take]
+            vals = np.take_along_axis(sims, near, 1)
+            best = np.argsort(-vals, axis=1, kind="stable")
+            links[own] = self._choose(own, nodes[np.take_along_axis(near, best, 1)], np.take_along_axis(vals, best, 1), width)
+        self._back(links, nodes, links[nodes].copy(), width)
+
     def _enter(self, q: np.ndarray, known: np.ndarray) -> np.ndarray:
         """Start nodes for vectors: the best of the layer above, of whose graph the last one built is the lowest."""
         if not self.layers:
@@ -233,6 +255,106 @@ def _rows(table) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False)
 
 
+def _fit_cells(table, dim: int):
+    """Sub-centroids of one cell, of a sample of its vectors that says how many to fit."""
+    import pyarrow as pa
+
+    x = unit(_rows(table), dim)
+    c = fit_centroids(x, min(len(x), int(table.column("parts")[0].as_py())))
+    return pa.table({"cell": pa.array([table.column("cell")[0].as_py()] * len(c), pa.int32()), "c": pa.array(c.tolist(), pa.list_(pa.float64()))})
+
+
+def _router(centroids: np.ndarray, spark, reach: int, margin: float, dim: int):
+    """For mapInArrow: (id, e, near), the numbers of up to ``reach`` most similar centroids, within ``margin`` of the best."""
+    import pyarrow as pa
+
+    shared = spark.sparkContext.broadcast(centroids.astype(np.float32))
+
+    def route(batches):
+        c = shared.value
+        step = max(1, 4_000_000 // len(c))
+        for batch in batches:
+            x = unit(_rows(batch), dim).astype(np.float32)
+            near, size = [], []
+            for s in range(0, len(x), step):
+                sims = x[s : s + step] @ c.T
+                top = np.argpartition(-sims, reach - 1, axis=1)[:, :reach] if reach < len(c) else np.tile(np.arange(len(c)), (len(sims), 1))
+                vals = np.take_along_axis(sims, top, 1)
+                order = np.lexsort((top, -vals), axis=1)
+                top, vals = np.take_along_axis(top, order, 1)[:, :reach], np.take_along_axis(vals, order, 1)[:, :reach]
+                inside = vals >= vals[:, :1] - margin
+                near.append(top[inside])
+                size.append(inside.sum(axis=1))
+            offsets = np.concatenate([[0], np.cumsum(np.concatenate(size))]) if size else np.zeros(1)
+            flat = np.concatenate(near) if near else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.astype(np.int32)))], names=["id", "e", "near"])
+
+    return route
+
+
+_ROUTED = "id long, e array<float>, near array<int>"
+
+
+def fit_cells(v: DataFrame, n: int, *, dim: int, shard_rows: int, cell_rows: int, sample_rows: int) -> np.ndarray:
+    """Centroids of cells of at most ``shard_rows`` of the ``n`` vectors (id, e), as far as vectors can be told apart."""
+    part = lambda share: F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) < (share * (1 << 30)).cast("long")
+    if n <= cell_rows:
+        return np.zeros((1, dim))
+    sample = [r.e for r in v.filter(part(F.lit(min(1.0, sample_rows / n)))).select("e").toLocalIterator()]  # about sample_rows
+    if not sample:
+        return np.zeros((1, dim))
+    leaves = fit_centroids(unit(np.array(sample, dtype=np.float32).ravel(), dim), min(_FAN, math.ceil(n / cell_rows)))
+    for _ in range(_ROUNDS):
+        routed = v.mapInArrow(_router(leaves, v.sparkSession, 1, 0.0, dim), _ROUTED).select("id", "e", F.col("near")[0].alias("cell"))
+        counts = {r.cell: r["count"] for r in routed.groupBy("cell").count().collect()}  # one row a centroid
+        # Centroids of few vectors are given up, so that every cell has neighbours enough for its own.
+        few = [c for c in range(len(leaves)) if counts.get(c, 0) < cell_rows // 20]
+        big = [(c, min(_FAN, math.ceil(m / cell_rows)), min(1.0, _EACH * min(_FAN, math.ceil(m / cell_rows)) / m)) for c, m in counts.items() if m > shard_rows]
+        if not big:
+            return leaves if len(few) == len(leaves) else np.delete(leaves, few, axis=0)
+        plan = v.sparkSession.createDataFrame(big, "cell int, parts int, share double")
+        fitted = routed.join(F.broadcast(plan), "cell").filter(part(F.col("share"))).groupBy("cell").applyInArrow(lambda t: _fit_cells(t, dim), "cell int, c array<double>").collect()
+        new = [r.c for r in fitted]
+        leaves = np.concatenate([np.delete(leaves, sorted({r.cell for r in fitted}), axis=0), np.array(new).reshape(-1, dim)])
+    return leaves
+
+
+def _shard(table, k: int, dim: int, ef: int):
+    """Neighbours within one shard of its own vectors (in the first copy of the shard) and of those from elsewhere."""
+    import pyarrow as pa
+
+    ids, own = table.column("id").to_numpy(), table.column("own").to_numpy(zero_copy_only=False).astype(bool)
+    none = pa.table({"vec_id": pa.array([], pa.int64()), "other_id": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
+    if not own.any():
+        return none
+    raw = _rows(table).reshape(-1, dim)
+    x = unit(raw, dim)
+    _, first, node = np.unique(raw[own], axis=0, return_index=True, return_inverse=True)
+    node = node.ravel()
+    base = x[own][first]
+    order = np.lexsort((ids[own], node))
+    begin = np.searchsorted(node[order], np.arange(len(first)))
+    end = np.append(begin[1:], len(order))
+    members = [ids[own][order[b : min(e, b + k + 1)]].tolist() for b, e in zip(begin, end)]
+    graph = Graph(base.astype(np.float32))
+    home = table.column("part")[0].as_py() == 0
+    q = np.concatenate([np.flatnonzero(own) if home else np.zeros(0, np.int64), np.flatnonzero(~own)])
+    if not len(q):
+        return none
+    start = np.full(len(q), -1, dtype=np.int64)
+    if home:
+        start[: int(own.sum())] = node
+    got, _ = graph.search(x[q].astype(np.float32), min(len(first), k + 3), start, ef)
+    sims = np.round(np.einsum("qd,qkd->qk", x[q], base[np.maximum(got, 0)]), 10)
+    a, b, s = [], [], []
+    for vid, nodes, vals in zip(ids[q].tolist(), got.tolist(), sims.tolist()):
+        near = sorted((-t, o) for g, t in zip(nodes, vals) if g >= 0 for o in members[g] if o != vid)[:k]
+        a += [vid] * len(near)
+        b += [o for _, o in near]
+        s += [-t for t, _ in near]
+    return pa.table({"vec_id": pa.array(a, pa.int64()), "other_id": pa.array(b, pa.int64()), "similarity": pa.array(s, pa.float64())})
+
+
 def similar(
     vectors: DataFrame,
     *,
@@ -244,76 +366,37 @@ def similar(
     cell_rows: int = CELL_ROWS,
     sample_rows: int = SAMPLE_ROWS,
     probes: int = PROBES,
+    margin: float = MARGIN,
     ef: int = EF_SEARCH,
-    checkpoint: bool = True,
 ) -> DataFrame:
     """One row (vec_id, other_id, similarity, place) for each of the ``k`` vectors most similar to a vector."""
-    import pyarrow as pa
-
-    v = _usable(vectors, vec_id, embedding, dim)
-    if checkpoint:
-        v = v.checkpoint()
-    n = v.count()
-    cells = max(1, math.ceil(n / cell_rows))
-    share = min(1.0, 2 * sample_rows / max(1, n))
-    sample = [r.e for r in v.select("id", "e").filter(F.abs(F.xxhash64("id")) % 1_000_000 < int(share * 1_000_000) + 1).limit(sample_rows).select("e").toLocalIterator()] if cells > 1 else []
-    centroids = fit_centroids(unit(np.array(sample, dtype=np.float32).ravel(), dim), cells).astype(np.float32) if sample else np.zeros((1, dim), np.float32)
-    cells = len(centroids)
-    shared = v.sparkSession.sparkContext.broadcast(centroids)
-    reach = min(cells, probes + 1)
-
-    def route(batches):
-        c = shared.value
-        for batch in batches:
-            x = unit(_rows(batch), dim).astype(np.float32)
-            near = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :reach].astype(np.int32)
-            cols = [batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * reach), pa.array(near.ravel()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "e", "near"])
-
-    routed = v.mapInArrow(route, "id long, e array<float>, near array<int>")
-    counts = routed.groupBy(F.col("near")[0].alias("c")).count().collect()  # one row for each centroid
-    parts = {r.c: max(1, math.ceil(r["count"] / shard_rows)) for r in counts}
-    split = F.create_map(*[F.lit(x) for kv in parts.items() for x in kv]) if parts else F.create_map(F.lit(0), F.lit(1))
-    pieces = F.sequence(F.lit(0), F.coalesce(split[F.col("cell")], F.lit(0)) - 1)
-    own = F.pmod(F.xxhash64("e"), F.coalesce(split[F.col("near")[0]], F.lit(1))).cast("int")
-    to = (
-        routed.withColumn("home", own)
-        .select("id", "e", "near", "home", F.posexplode("near").alias("rank", "cell"))
-        .filter(split[F.col("cell")].isNotNull())
-        .withColumn("part", F.explode(pieces))
-        .select("id", "e", "cell", "part", ((F.col("rank") == 0) & (F.col("part") == F.col("home"))).alias("own"))
-    )
-
-    def shard(table):
-        ids, own = table.column("id").to_numpy(), table.column("own").to_numpy(zero_copy_only=False).astype(bool)
-        raw = _rows(table).reshape(-1, dim)
-        if not own.any():  # a part that no own vector fell into
-            return pa.table({"vec_id": pa.array([], pa.int64()), "other_id": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
-        x = unit(raw, dim)
-        _, first, node = np.unique(raw[own], axis=0, return_index=True, return_inverse=True)
-        node = node.ravel()
-        base = x[own][first]
-        order = np.lexsort((ids[own], node))
-        begin = np.searchsorted(node[order], np.arange(len(first)))
-        end = np.append(begin[1:], len(order))
-        members = [ids[own][order[b : min(e, b + k + 1)]] for b, e in zip(begin, end)]
-        graph = Graph(base.astype(np.float32))
-        q = np.concatenate([np.flatnonzero(own), np.flatnonzero(~own)])
-        start = np.full(len(q), -1, dtype=np.int64)
-        start[: int(own.sum())] = node
-        got, _ = graph.search(x[q].astype(np.float32), min(len(first), k + 3), start, ef)
-        sims = np.round(np.einsum("qd,qkd->qk", x[q], base[np.maximum(got, 0)]), 10)
-        a, b, s = [], [], []
-        for r, (vid, nodes, vals) in enumerate(zip(ids[q].tolist(), got.tolist(), sims.tolist())):
-            near = sorted((-t, o) for g, t in zip(nodes, vals) if g >= 0 for o in members[g].tolist() if o != vid)[:k]
-            a += [vid] * len(near)
-            b += [o for _, o in near]
-            s += [-t for t, _ in near]
-        return pa.table({"vec_id": pa.array(a, pa.int64()), "other_id": pa.array(b, pa.int64()), "similarity": pa.array(s, pa.float64())})
-
-    found = to.groupBy("cell", "part").applyInArrow(shard, "vec_id long, other_id long, similarity double")
-    order = Window.partitionBy("vec_id").orderBy(F.col("similarity").desc(), "other_id")
-    return found.dropDuplicates(["vec_id", "other_id"]).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+    best = Window.partitionBy("vec_id").orderBy(F.col("similarity").desc(), "other_id")
+    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda t, a: t + a.cast("double") * a.cast("double")))
+    usable = _usable(vectors, vec_id, embedding, dim).withColumn("d", F.transform("e", lambda a: F.round(a.cast("double") / norm, 6) + 0.0)).checkpoint()
+    firsts = usable.withColumn("n", F.row_number().over(Window.partitionBy("d").orderBy("id"))).filter(F.col("n") <= k + 1)  # pruned before the shuffle
+    kept = firsts.checkpoint()
+    v, n, total = kept.select("id", "e"), kept.count(), usable.count()
+    leaves = fit_cells(v, n, dim=dim, shard_rows=shard_rows, cell_rows=cell_rows, sample_rows=sample_rows)
+    routed = v.mapInArrow(_router(leaves, v.sparkSession, min(len(leaves), probes + 1), margin, dim), _ROUTED)
+    to = routed.select("id", "e", F.posexplode("near").alias("rank", "cell"))
+    # Copies of a shard by the number of vectors from elsewhere, one row a centroid.
+    copies = to.filter("rank > 0").groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / (4 * shard_rows)).cast("int").alias("copies")).filter("copies > 1")
+    to = to.join(F.broadcast(copies), "cell", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    at = F.when(F.col("rank") == 0, F.sequence(F.lit(0), F.col("copies") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("copies")).cast("int")))
+    to = to.select("id", "e", "cell", (F.col("rank") == 0).alias("own"), F.explode(at).alias("part"))
+    near = to.groupBy("cell", "part").applyInArrow(lambda t: _shard(t, k, dim, ef), "vec_id long, other_id long, similarity double")
+    near = near.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
+    if total == n:
+        return near
+    # The others of a crowded direction: the neighbours of its first vector, and that.
+    near = near.checkpoint()
+    crowd = kept.filter(F.col("n") == k + 1).select("d").join(kept.filter("n = 1").select("d", F.col("id").alias("first")), "d")
+    rest = usable.join(crowd, "d").join(kept.select("id"), "id", "left_anti").select(F.col("id").alias("vec_id"), "first")
+    heads = near.join(crowd.select(F.col("first").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("first"), "other_id", "similarity")
+    heads = heads.unionByName(crowd.select("first", F.col("first").alias("other_id"), F.lit(1.0).alias("similarity")))
+    more = heads.groupBy("first").agg(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "other_id"))).alias("x"))
+    more = rest.join(more, "first").select("vec_id", F.posexplode(F.slice("x", 1, k)).alias("p", "x"))
+    return near.unionByName(more.select("vec_id", "x.other_id", (-F.col("x.s")).alias("similarity"), (F.col("p") + 1).cast("int").alias("place")))
 
 
 def pairs(near: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ def test_graph_recall():
     assert [links.shape[1] for links, _ in g.layers] == [16] * (len(g.layers) - 1) + [32]
 
 
-@pytest.mark.parametrize("options", [{}, {"cell_rows": 250, "shard_rows": 150, "probes": 2}])
+@pytest.mark.parametrize("options", [{}, {"cell_rows": 250, "shard_rows": 400, "probes": 2}])
 def test_similar_against_brute_force(spark, options):
     x = clusters(1200)
     df = spark.createDataFrame([(k, v.tolist(), "m") for k, v in enumerate(x)], "vec_id long, embedding array<float>, id string")
@@ -45,6 +45,31 @@ def test_similar_against_brute_force(spark, options):
     assert np.mean([len(set(got[k].values()) & set(want[k].tolist())) / 5 for k in got]) >= 0.9
 
 
+def test_hot_cells_are_divided(spark):
+    """Half of the vectors in one cluster: cells stay bounded, each vector goes to a few of them, and the neighbours are right."""
+    r = np.random.default_rng(5)
+    x = np.concatenate([r.normal(size=64) + 0.5 * r.normal(size=(1500, 64)), r.normal(size=(1500, 64))]).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, e array<float>").checkpoint()
+    leaves = neighbours.fit_cells(df, 3000, dim=64, shard_rows=400, cell_rows=200, sample_rows=600)
+    near = df.mapInArrow(neighbours._router(leaves, spark, 3, 0.1, 64), "id long, e array<float>, near array<int>").collect()
+    counts = np.bincount([r.near[0] for r in near])
+    assert counts.max() <= 800 and max(len(r.near) for r in near) <= 3
+    got = {}
+    for r in neighbours.similar(df, vec_id="id", embedding="e", shard_rows=400, cell_rows=200, sample_rows=600, probes=4, margin=0.3).collect():
+        got.setdefault(r.vec_id, set()).add(r.other_id)
+    want = brute(x[:1500], 5)
+    assert np.mean([len(got[k] & set(want[k].tolist())) / 5 for k in range(1500)]) > 0.85
+
+
+def test_crowded_directions(spark):
+    """More copies and multiples of one vector than anyone needs: each has the smallest others."""
+    rows = [(k, [float(k % 3 + 1), 1.0 * (k % 3 + 1)] + [0.0] * 62) for k in range(60)] + [(100 + k, [1.0, 1.1 + k / 10] + [0.0] * 62) for k in range(3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {(r.vec_id, r.place): r.other_id for r in neighbours.similar(df).collect()}
+    assert [got[50, p] for p in range(1, 6)] == [0, 1, 2, 3, 4] and [got[100, p] for p in range(1, 6)] == [101, 0, 1, 2, 3] and [got[2, p] for p in range(1, 6)] == [0, 1, 3, 4, 5]
+    assert len(got) == 63 * 5
+
+
 def test_unusable_and_few_vectors(spark):
     e = lambda *v: [float(a) for a in v] + [0.0] * (64 - len(v))
     rows = [(1, e(1)), (2, e(2)), (3, e(0, 1)), (4, None), (5, []), (6, e()), (7, [1.0]), (8, e(1)[:-1] + [None]), (9, e(1)[:-1] + [float("nan")]), (None, e(1))]
