@@ -46,6 +46,7 @@ def _parser() -> argparse.ArgumentParser:
     g.add_argument("--resolver")
     g.add_argument("--no-include-origin", dest="include_origin", action="store_false")
     g.add_argument("--format", choices=["raw", "cytoscape"], default="raw")
+    g.add_argument("--ids-only", action="store_true")
     d = add("describe")
     d.add_argument("workspace")
     d.add_argument("--format", choices=["text", "json"], default="text")
@@ -54,27 +55,29 @@ def _parser() -> argparse.ArgumentParser:
     s.add_argument("text")
     s.add_argument("--workspace", default=".")
     s.add_argument("--backend", default="grep")
-    s.add_argument("--location")
+    s.add_argument("--location", "--index")
     s.add_argument("-k", type=int, default=10)
-    s.add_argument("--format", choices=["paths", "rows", "json"], default="rows")
+    s.add_argument("--format", choices=["paths", "rows", "json"], default="paths")
     s.add_argument("--option", action="append", default=[])
     i = add("index")
     i.add_argument("workspace")
     i.add_argument("--backend", required=True)
-    i.add_argument("--location")
+    i.add_argument("--location", "--out")
     i.add_argument("--filter", default="*")
+    i.add_argument("--field", action="append", default=[], help="a field to index, in order")
+    i.add_argument("--format", choices=["text", "json"], default="text")
     i.add_argument("--force", action="store_true")
     i.add_argument("--option", action="append", default=[])
-    add("list-backends")
+    add("list-backends").add_argument("--format", choices=["text", "json"], default="text")
     add("version")
     for kind in ("set", "remove", "rename", "append", "toggle"):
         e = add(kind)
         e.add_argument("tokens", nargs="+", help="FIELD=VALUE or FIELD, and files or -")
-        e.add_argument("--workspace")
+        e.add_argument("--workspace", "-w")
         e.add_argument("--dry-run", action="store_true")
-        e.add_argument("--yes", action="store_true")
+        e.add_argument("--yes", "-y", action="store_true")
         if kind in ("remove", "toggle"):
-            e.add_argument("--field", action="append", default=[])
+            e.add_argument("--field", "-f", action="append", default=[])
     return p
 
 
@@ -176,8 +179,12 @@ def main(argv: list[str] | None = None, *, spark=None, stdin=None, out=None) ->
         if a.command == "list-backends":
             from loamdex.search.backends import discover
 
-            for name, b in sorted(discover().items()):
-                print(f"{name}\t{b.info().kind}", file=out)
+            known = {name: b.info() for name, b in sorted(discover().items())}
+            if a.format == "json":
+                print(json.dumps([{"name": n, "kind": i.kind, "version": i.version} for n, i in known.items()]), file=out)
+            else:
+                for name, i in known.items():
+                    print(f"{name}\t{i.kind}", file=out)
             return 0
         from loamdex.session import get_spark
 
@@ -214,15 +221,18 @@ def _run(a, spark, stdin, out) -> int:
             print(line, file=out)
     elif a.command == "subgraph":
         g = graph.subgraph(ws, compile_query(a.text, ws).frame(), a.follow, depth=a.depth, direction=a.direction, include_origin=a.include_origin)
-        print(json.dumps(sinks.graph_document(ws, g, a.format), ensure_ascii=False, indent=2), file=out)
+        print(json.dumps(sinks.graph_document(ws, g, a.format, ids_only=a.ids_only), ensure_ascii=False, indent=2), file=out)
     elif a.command == "describe":
         r = profile.report(ws, top_n=a.top)
         print(profile.report_json(r) if a.format == "json" else profile.report_text(r), end="\n" if a.format == "json" else "", file=out)
     elif a.command == "search":
         _emit(sinks.hit_lines(registry.search(ws, a.text, k=a.k, index=a.backend, location=a.location, options=_options(a.option)), a.format), out)
     else:
-        options = _options(a.option) | ({"force": True} if a.force else {})
+        options = _options(a.option) | ({"force": True} if a.force else {}) | ({"fields": a.field} if a.field else {})
         s = registry.build(ws, compile_query(a.filter, ws).frame(), index=a.backend, location=a.location, options=options)
+        if a.format == "json":
+            print(json.dumps({"indexed": s.packets_indexed, "skipped": s.packets_skipped, "removed": s.packets_removed, "seconds": s.elapsed_seconds}), file=out)
+            return 0
         print(f"indexed {s.packets_indexed}, skipped {s.packets_skipped}, removed {s.packets_removed} in {s.elapsed_seconds:.1f} s", file=out)
     return 0
 

@@ -9,7 +9,10 @@ from loamdex.errors import EditError
 
 
 def coerce(text: str):
-    """Quoted text stays text; true, false, null, none, numbers and ISO dates become what they look like."""
+    """Quoted text stays text; true, false, null, none, plain decimal numbers and ISO dates become what they look like.
+
+    A sign ``+``, an exponent or a bare point is no plain number: telephone numbers and the like stay text.
+    """
     if len(text) > 1 and text[0] == text[-1] and text[0] in "\"'":
         return text[1:-1]
     low = text.lower()
@@ -17,9 +20,9 @@ def coerce(text: str):
         return low == "true"
     if low in ("null", "none"):
         return None
-    if re.fullmatch(r"[+-]?\d+", text):
+    if re.fullmatch(r"-?\d+", text):
         return int(text)
-    if re.fullmatch(r"[+-]?(?:\d+\.\d*|\.\d+|\d+)(?:[eE][+-]?\d+)?", text):
+    if re.fullmatch(r"-?\d+\.\d+", text):
         return float(text)
     if re.fullmatch(r"\d{4}-\d\d-\d\d", text):
         try:

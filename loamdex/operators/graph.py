@@ -168,6 +168,18 @@ def mismatch_hint(ws: Workspace, field: str, resolver: Resolver | None = None) -
 # ------------------------------------------------------------------ paths of variable length
 
 
+def closure(steps: DataFrame) -> DataFrame:
+    """(source, target) of all paths of one hop or more; what a round knows is joined with itself, so rounds grow with the logarithm of the longest shortest path."""
+    pairs = checkpointed(steps.select(F.col("here").alias("source"), F.col("there").alias("target")).distinct())
+    n = pairs.count()
+    while True:
+        on = pairs.select(F.col("source").alias("target"), F.col("target").alias("far"))
+        grown = checkpointed(pairs.join(on, "target").select("source", F.col("far").alias("target")).unionByName(pairs).distinct())
+        if (m := grown.count()) == n:
+            return grown
+        pairs, n = grown, m
+
+
 def reachable(steps: DataFrame, low: int, high: int | None, sources: DataFrame | None = None) -> DataFrame:
     """(source, target) whose shortest distance lies within [low, high]; a source reaches itself if a cycle leads back within it.
 
@@ -175,6 +187,8 @@ def reachable(steps: DataFrame, low: int, high: int | None, sources: DataFrame |
     """
     if high == 0:
         return steps.select(F.col("here").alias("source"), F.col("there").alias("target")).filter("false")
+    if sources is None and high is None and low <= 1:
+        return closure(steps)
     steps = checkpointed(steps)
     first = steps if sources is None else steps.join(sources.select(F.col("packet_id").alias("here")), "here", "left_semi")
     first = first.select(F.col("here").alias("source"), F.col("there").alias("target"))

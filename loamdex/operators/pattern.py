@@ -22,12 +22,49 @@ def _var(name: str) -> str:
     return f"_of_{name}"
 
 
+def _alone(e: expr.Expr | None) -> dict[str, list[expr.Expr]]:
+    """Variable -> the parts of a conjunction that speak of it alone."""
+    out: dict[str, list[expr.Expr]] = {}
+    for part in e.items if isinstance(e, expr.And) else [e] if e is not None else []:
+        if isinstance(part, expr.And):
+            for v, own in _alone(part).items():
+                out.setdefault(v, []).extend(own)
+        elif len(names := _vars(part)) == 1:
+            out.setdefault(next(iter(names)), []).append(part)
+    return out
+
+
 def bindings(ws: Workspace, p: Pattern, resolver: Resolver | None = None) -> DataFrame:
-    """One column for each variable, one row for each way to match."""
-    out = ws.packets.select(F.col("packet_id").alias(p.nodes[0]))
+    """One column for each variable, one row for each way to match.
+
+    Paths of variable length start from the packets that can be bound where they begin, or end where conditions
+    bind their end alone; without either they are those of the whole graph.
+    """
+    alone = _alone(p.where)
+
+    def bound(var: str) -> DataFrame | None:
+        if var not in alone:
+            return None
+        df = ws.packets
+        for e in alone[var]:
+            df = df.filter(expr.columns(e, lambda q: ws.field(q.field)))
+        return df.select("packet_id")
+
+    first = bound(p.nodes[0])
+    out = (ws.packets if first is None else first).select(F.col("packet_id").alias(p.nodes[0]))
+    narrow = first is not None
     for hop, here, there in zip(p.hops, p.nodes, p.nodes[1:]):
-        steps = oriented(ws.edges(hop.field, resolver), "forward")
-        pairs = steps.select(F.col("here").alias("_s"), F.col("there").alias("_t")) if hop.single else reachable(steps, hop.low, hop.high).select(F.col("source").alias("_s"), F.col("target").alias("_t"))
+        edges = ws.edges(hop.field, resolver)
+        if hop.single:
+            pairs = oriented(edges, "forward").select(F.col("here").alias("_s"), F.col("there").alias("_t"))
+        else:
+            ends = bound(there)
+            if narrow or ends is None:
+                sources = out.select(F.col(f"`{here}`").alias("packet_id")).distinct() if narrow else None
+                pairs = reachable(oriented(edges, "forward"), hop.low, hop.high, sources).select(F.col("source").alias("_s"), F.col("target").alias("_t"))
+            else:
+                pairs = reachable(oriented(edges, "reverse"), hop.low, hop.high, ends).select(F.col("target").alias("_s"), F.col("source").alias("_t"))
+            narrow = narrow or ends is not None
         out = out.join(pairs, F.col(f"`{here}`") == F.col("_s")).drop("_s")
         out = out.filter(F.col(f"`{there}`") == F.col("_t")).drop("_t") if there in out.columns else out.withColumnRenamed("_t", there)
     return out
@@ -75,10 +112,10 @@ class PatternQuery:
             bind = lambda f: self.ws.field(f.split(".", 1)[1], alias[f.split(".")[0]]) if "." in f else _Id(f)
             keys = [replace(k) for k in p.order]
             sort = sort_columns(keys, bind, F.concat_ws("\x01", *[F.col(_var(v)) for v in dict.fromkeys(p.nodes)]))
-            placed = df.select(*columns, F.row_number().over(Window.orderBy(*sort)).alias("_at"))
             group = [F.col(c) if not self._dynamic(i) else F.col(c)["j"] for c, i in zip(raw, p.items)]
-            first = placed.withColumn("_first", F.row_number().over(Window.partitionBy(*group).orderBy("_at"))).filter("_first = 1")
-            return first.orderBy("_at").select(*names)
+            # The first binding of each row by the sort keys, within the row's own group; then one range-partitioned sort.
+            df = df.select("*", *columns)
+            return df.withColumn("_first", F.row_number().over(Window.partitionBy(*group).orderBy(*sort))).filter("_first = 1").orderBy(*sort).select(*names)
         keyed = df.select(*columns)
         group = [F.col(c) if not self._dynamic(i) else F.coalesce(F.col(c)["j"], F.lit("")) for c, i in zip(raw, p.items)]
         keyed = keyed.withColumns({f"_g{k}": g for k, g in enumerate(group)}).dropDuplicates([f"_g{k}" for k in range(len(group))])

@@ -1,4 +1,4 @@
-"""Search of bodies, else heads, for a text or a regular expression; one pass over the packets, no index."""
+"""Search of bodies and heads for a text or a regular expression; one pass over the packets, no index."""
 
 from __future__ import annotations
 
@@ -42,7 +42,7 @@ class Grep:
         else:
             own = [c for c, t in ws.packets.dtypes if c not in ("packet_id", ws.body)]
             head = F.concat_ws("\n", *[F.concat_ws(": ", F.lit(c), F.col(f"`{c}`").cast("string")) for c in own]) if own else F.lit("")
-        hit = F.coalesce(found(ws.body_column()), F.lit(False)) | F.coalesce(found(head), F.lit(False)) if ws.dynamic or not ws.body else F.coalesce(found(ws.body_column()), F.lit(False))
+        hit = F.coalesce(found(ws.body_column()), F.lit(False)) | F.coalesce(found(head), F.lit(False))
         hits = ws.packets.filter(hit).select("packet_id", F.lit(1.0).alias("score"), F.lit(None).cast("string").alias("snippet"))
         return hits if k is None else hits.orderBy("packet_id").limit(k)
 

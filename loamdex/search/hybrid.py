@@ -126,8 +126,7 @@ class Hybrid:
             return spark.createDataFrame([], HITS)
         m = self._checked(location, None if c.sparse_only else c.model)
         at = os.path.join(location, m["version"])
-        most = m["n"] if k is None else k
-        fetch = c.fetch_k or max(4 * most, 50)
+        fetch = c.fetch_k or (None if k is None else max(4 * k, 50))
         docs = spark.read.parquet(os.path.join(at, "docs"))
         lists = []
         if not c.sparse_only:
@@ -135,8 +134,9 @@ class Hybrid:
         if not c.dense_only:
             words = [w for w in spark.range(1).select(rank.terms(F.lit(text)).alias("w")).first().w]
             posts = spark.read.parquet(os.path.join(at, "postings"))
-            lists.append(rank.bm25(posts, words, m["n"], m["mean"]).orderBy(F.col("score").desc(), "packet_id").limit(fetch))
-        fused = lists[0] if len(lists) == 1 else rank.rrf(*lists)
+            sparse = rank.bm25(posts, words, m["n"], m["mean"])
+            lists.append(sparse if fetch is None else sparse.orderBy(F.col("score").desc(), "packet_id").limit(fetch))
+        fused = lists[0] if len(lists) == 1 else rank.rrf(*lists, bounded=fetch is not None)
         if c.reranker and not c.no_rerank:
             try:
                 return self._rerank(fused, docs, text, c, k)

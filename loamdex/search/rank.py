@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamdex.operators.ordering import places
+
 K1, B, K_RRF = 1.2, 0.75, 60
 # Marked letters of Latin script and their bare forms.
 _MARKED = "áàâäãåāąăéèêëēėęěíìîïīįóòôöõøōőúùûüūůűçćčďđğłñńňřśšşťýÿźżž"
@@ -50,21 +52,25 @@ def distance(vector: Column | str, query: list[float], metric: str = "l2") -> Co
     return F.sqrt(F.aggregate(F.zip_with(v, q, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x))
 
 
-def nearest(vectors: DataFrame, query: list[float], k: int, *, id: str = "packet_id", vector: str = "embedding", metric: str = "l2") -> DataFrame:
-    """The ``k`` nearest vectors as hits, score the negative distance; top-k is kept in each partition first."""
+def nearest(vectors: DataFrame, query: list[float], k: int | None, *, id: str = "packet_id", vector: str = "embedding", metric: str = "l2") -> DataFrame:
+    """The ``k`` nearest vectors (all of them without ``k``) as hits, score the negative distance; top-k is kept in each partition first."""
     d = vectors.filter(F.size(vector) == len(query)).select(F.col(id).alias("packet_id"), (-distance(vector, query, metric)).alias("score"))
-    return d.orderBy(F.col("score").desc(), "packet_id").limit(k)
+    return d if k is None else d.orderBy(F.col("score").desc(), "packet_id").limit(k)
 
 
-def rrf(*ranked: DataFrame, k_rrf: int = K_RRF, by: str | None = None) -> DataFrame:
+def rrf(*ranked: DataFrame, k_rrf: int = K_RRF, by: str | None = None, bounded: bool = True) -> DataFrame:
     """(packet_id, score) of several ranked lists (packet_id, score): sum of 1 / (k + rank); ties keep the earlier list's order.
 
     With ``by`` each value of that column is a query of its own, ranked and fused apart in its own window partition. Without it
-    the lists are top-k results, so that one window over each is bounded by k.
+    the lists are top-k results, so that one window over each is bounded by k; lists of any length (not ``bounded``) are
+    sorted in ranges and numbered with offsets.
     """
     keys = [by] if by else []
     parts = []
     for n, r in enumerate(ranked):
+        if not bounded and not by:
+            parts.append(places(r.select("packet_id", "score").orderBy(F.col("score").desc(), "packet_id")).select("packet_id", "r", F.lit(n).alias("list")))
+            continue
         place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("score").desc(), "packet_id"))
         parts.append(r.select(*keys, "packet_id", place.alias("r"), F.lit(n).alias("list")))
     out = parts[0]

@@ -79,9 +79,13 @@ def hit_lines(hits: DataFrame, fmt: str) -> DataFrame:
     return hits.select(F.concat_ws("\t", "packet_id", F.format_string("%.6f", "score"), F.regexp_replace(F.coalesce("snippet", F.lit("")), r"[\t\r\n]", " ")).alias("line"))
 
 
-def graph_document(ws: Workspace, g: Subgraph, fmt: str = "raw") -> dict:
-    """Nodes and edges as one document, plain or for graph viewers that expect elements."""
-    nodes = [{"id": r.packet_id} for r in g.nodes.orderBy("packet_id").collect()]
+def graph_document(ws: Workspace, g: Subgraph, fmt: str = "raw", *, ids_only: bool = False) -> dict:
+    """Nodes, with their frontmatter unless ``ids_only``, and edges as one document, plain or for graph viewers that expect elements."""
+    if ids_only:
+        nodes = [{"id": r.packet_id} for r in g.nodes.orderBy("packet_id").collect()]
+    else:
+        own = ws.packets.join(g.nodes.select("packet_id").distinct(), "packet_id", "left_semi").orderBy("packet_id")
+        nodes = [json.loads(r.line) for r in packet_lines(ws, own, "json").collect()]
     edges = [r.asDict() for r in g.edges.orderBy("source", "target", "field").collect()]
     if fmt == "raw":
         return {"nodes": nodes, "edges": edges}

@@ -143,7 +143,7 @@ def test_command_line(spark, folder):
     assert run(spark, "cypher", folder, "MATCH (a) RETURN count(a)", "--format", "json") == (0, '{"count": 4}\n')
     assert '"source": "tasks/b.md"' in run(spark, "subgraph", folder, "*", "--follow", "blocked_by", "--resolver", "uuid")[1]
     assert "packets: 4" in run(spark, "describe", folder)[1]
-    assert run(spark, "search", "body", "--workspace", folder) == (0, "tasks/a b.md\t1.000000\t\n")
+    assert run(spark, "search", "body", "--workspace", folder, "--format", "rows") == (0, "tasks/a b.md\t1.000000\t\n")
     assert run(spark, "list-backends")[1].startswith("grep\tscan\n") and run(spark, "version")[0] == 0
     assert run(spark, "set", "status=done", os.path.join(folder, "tasks/a b.md"), "--workspace", folder, "--dry-run")[0] == 0
     assert run(spark, "set", "rank=7", "-", "--workspace", folder, "--yes", stdin="tasks/b.md\n") == (0, "1 changed, 0 skipped (error), 0 no-op\n")

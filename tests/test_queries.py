@@ -54,30 +54,29 @@ def test_registered_orders_place_every_row(spark, tmp_path):
     assert got == {str(i): 120 - i for i in range(120)}
 
 
-def test_groups(project):
-    tasks = Query(project).where(type="task")
-    assert tasks.group_by("status").as_dict(n=Count(), p=Sum("priority")) == {"active": {"n": 3, "p": 10}, "done": {"n": 1, "p": 1}}
-    assert tasks.group_by("in_sprint").as_dict(lo=Min("due_date"), hi=Max("due_date"))["sprint-3"] == {"lo": "2026-04-10", "hi": "2026-04-20"}
-    assert Query(project).group_by("tags").as_dict(n=Count()) == {}
-    assert Query(project).group_by("type").as_dict(s=Sum("uuid"), a=Avg("uuid"), c=Count("blocked_by"))["task"] == {"s": 0, "c": 2}
-    assert {r["key"]: r["value"] for r in Query(project).group_by("status").count().collect()} == {"active": 4, "done": 1}
+def test_groups(yard):
+    boats = Query(yard).where(kind="boat")
+    assert boats.group_by("moored").as_dict(n=Count(), b=Sum("built")) == {"north": {"n": 1, "b": 1962}, "south": {"n": 2, "b": 3889}}
+    assert boats.group_by("moored").as_dict(lo=Min("checked"), hi=Max("checked"))["south"] == {"lo": "2025-06-09", "hi": "2025-06-09"}
+    assert Query(yard).group_by("marks").as_dict(n=Count()) == {}
+    assert Query(yard).group_by("kind").as_dict(s=Sum("key"), a=Avg("key"), c=Count("needs"))["boat"] == {"s": 0, "c": 2}
+    assert {r["key"]: r["value"] for r in Query(yard).group_by("moored").count().collect()} == {"north": 1, "south": 2}
     # The first value in order of ids, a text, says what is compared.
-    assert Query(project).group_by("status").as_dict(m=Min("priority"))["active"] == {"m": "high"}
+    assert Query(yard).group_by("kind").as_dict(m=Min("crew"))["boat"] == {"m": "many"}
 
 
-def test_profile(project):
-    r = report(project)
+def test_profile(yard):
+    r = report(yard)
     assert (r["packet_count"], r["files_without_frontmatter"]) == (6, 1)
-    p = {f["name"]: f for f in r["fields"]}["priority"]
-    assert p["types"] == {"int": 4, "str": 1} and (p["numeric_min"], p["numeric_max"], p["numeric_avg"]) == (1, 5, 2.75)
-    assert [f["name"] for f in r["fields"]][:2] == ["priority", "status"]
-    assert "priority" in report_text(r) and '"present_in": 5' in report_json(r)
+    p = {f["name"]: f for f in r["fields"]}["crew"]
+    assert p["types"] == {"int": 2, "str": 1} and (p["numeric_min"], p["numeric_max"], p["numeric_avg"]) == (2, 4, 3)
+    assert [f["name"] for f in r["fields"]][:2] == ["key", "kind"]
+    assert "crew" in report_text(r) and '"present_in": 5' in report_json(r)
 
 
-def test_follow(project, ring):
-    start = Query(project).where(uuid="task-1")
-    assert start.follow("blocked_by", direction="reverse").ids() == ["tasks/task-3.md", "tasks/task-4.md"]
-    assert Query(project).where(uuid="task-4").follow("blocked_by", include_origin=True).ids() == ["tasks/task-1.md", "tasks/task-2.md", "tasks/task-4.md"]
+def test_follow(yard, ring):
+    assert Query(yard).where(key="tar").follow("needs", direction="reverse").ids() == ["boats/heron.md", "stores/rope.md"]
+    assert Query(yard).where(key="heron").follow("needs", include_origin=True).ids() == ["boats/heron.md", "stores/rope.md", "stores/tar.md"]
     a = Query(ring).where(uuid="a")
     assert a.follow("next", depth="*").ids() == ["b", "c"]
     assert a.follow("next", depth=0).ids() == [] and a.follow("next", depth=0, include_origin=True).ids() == ["a"]
@@ -106,39 +105,42 @@ def test_subgraph(ring):
     back = graph.subgraph(ring, Query(ring).where(uuid="b").frame(), ["next"], depth=1, direction="reverse")
     assert sorted((r.source, r.target) for r in back.edges.collect()) == [("a", "b"), ("e", "b")]
     doc = sinks.graph_document(ring, back, "cytoscape")
-    assert doc["elements"]["edges"][0]["data"]["id"] == "a__next__b" and doc["elements"]["nodes"][0] == {"data": {"id": "a"}}
+    assert doc["elements"]["edges"][0]["data"]["id"] == "a__next__b" and doc["elements"]["nodes"][0] == {"data": {"id": "a", "frontmatter": {"uuid": "a", "next": "b"}}}
+    assert sinks.graph_document(ring, back, "raw", ids_only=True)["nodes"] == [{"id": "a"}, {"id": "b"}, {"id": "e"}]
     with pytest.raises(QueryError):
         graph.subgraph(ring, ring.packets, [])
 
 
-def test_hint(spark, project):
+def test_hint(spark, yard):
     ws = workspace(spark, {"a": ({"to": "zzz"}, ""), "b": ({}, "")}, default_resolver=graph.FieldResolver("uuid"))
     assert "1 packet" in graph.mismatch_hint(ws, "to")
-    assert graph.mismatch_hint(project, "blocked_by") is None and graph.mismatch_hint(ws, "other") is None
+    assert graph.mismatch_hint(yard, "needs") is None and graph.mismatch_hint(ws, "other") is None
 
 
-def test_patterns(project, ring):
+def test_patterns(yard, ring):
     one = lambda ws, t: [tuple(r) for r in PatternQuery(ws, t).result().collect()]
-    assert one(project, "MATCH (a)-[:blocked_by]->(b) RETURN a, b") == [("tasks/task-3.md", "tasks/task-1.md"), ("tasks/task-4.md", "tasks/task-1.md"), ("tasks/task-4.md", "tasks/task-2.md")]
-    assert one(project, 'MATCH (a:Task)-[:blocked_by]->(b) WHERE b.status = "done" RETURN a') == [("tasks/task-4.md",)]
-    assert one(project, "MATCH (a)-[:blocked_by]->(b) RETURN b ORDER BY a.priority DESC, b DESC") == [("tasks/task-1.md",), ("tasks/task-2.md",)]
+    assert one(yard, "MATCH (a)-[:needs]->(b) RETURN a, b") == [("boats/ark.md", "stores/rope.md"), ("boats/heron.md", "stores/rope.md"), ("boats/heron.md", "stores/tar.md"), ("stores/rope.md", "stores/tar.md")]
+    assert one(yard, 'MATCH (a:Boat)-[:needs]->(b) WHERE b.amount < 3 AND a.kind = "boat" RETURN a') == [("boats/heron.md",)]
+    assert one(yard, 'MATCH (a)-[:needs]->(b) WHERE a.kind = "boat" RETURN b ORDER BY a.built DESC, b DESC') == [("stores/tar.md",), ("stores/rope.md",)]
     assert one(ring, "MATCH (a)-[:next*]->(a) RETURN a") == [("a",), ("b",), ("c",), ("d",)]
+    assert one(ring, 'MATCH (a)-[:next*]->(a) WHERE a.uuid = "b" RETURN a') == [("b",)]
     assert one(ring, "MATCH (a)-[:next]->(b)-[:next]->(c) RETURN count(a)") == [(5,)]
     assert one(ring, 'MATCH (a)-[:next*2..3]->(b) WHERE a.uuid = "a" RETURN b') == [("a",), ("c",)]
+    assert one(ring, 'MATCH (a)-[:next*2..3]->(b) WHERE a.uuid = "a" OR b.uuid = "a" RETURN a, b') == [("a", "a"), ("a", "c"), ("b", "a"), ("e", "a")]
     assert one(ring, "MATCH (a)-[:next*..0]->(b) RETURN a") == []
     assert Query(ring).pattern("MATCH (a)-[:next]->(a) RETURN a").ids() == ["d"]
-    values = [sinks.native(r[0].asDict()) for r in PatternQuery(project, "MATCH (a) RETURN a.priority").result().collect() if r[0]]
-    assert values == [1, 2, 3, 5, "high"]
+    values = [sinks.native(r[0].asDict()) for r in PatternQuery(yard, "MATCH (a) RETURN a.crew").result().collect() if r[0]]
+    assert values == [2, 4, "many"]
     with pytest.raises(PatternError):
         Query(ring).pattern("MATCH (a) RETURN a.uuid")
-    assert list(sinks.pattern_lines(PatternQuery(project, 'MATCH (a) WHERE a.uuid = "task-1" RETURN a, a.due_date, a.nope').result(), "rows", scalar=False)) == ["tasks/task-1.md\t2026-04-10\t"]
+    assert list(sinks.pattern_lines(PatternQuery(yard, 'MATCH (a) WHERE a.key = "heron" RETURN a, a.checked, a.nope').result(), "rows", scalar=False)) == ["boats/heron.md\t2025-03-01\t"]
 
 
-def test_packet_lines(project):
-    lines = [r.line for r in sinks.packet_lines(project, Query(project).where(uuid="task-3").df(), "json").collect()]
-    assert lines == ['{"id": "tasks/task-3.md", "frontmatter": {"uuid": "task-3", "type": "task", "status": "active", "priority": 5, "in_sprint": "sprint-4", "due_date": "2026-05-01", "blocked_by": "task-1", "tags": ["backend","urgent"]}}']
+def test_packet_lines(yard):
+    lines = [r.line for r in sinks.packet_lines(yard, Query(yard).where(key="heron").df(), "json").collect()]
+    assert lines == ['{"id": "boats/heron.md", "frontmatter": {"key": "heron", "kind": "boat", "built": 1962, "crew": 4, "moored": "north", "checked": "2025-03-01", "needs": ["rope","tar"], "marks": ["red","old"]}}']
 
 
-def test_lookups(project):
-    assert "tasks/task-1.md" in project and "x" not in project and len(project) == 6
-    assert project.get("tasks/task-2.md").body == "Second" and next(iter(project)).packet_id == "epics/epic-1.md"
+def test_lookups(yard):
+    assert "boats/heron.md" in yard and "x" not in yard and len(yard) == 6
+    assert yard.get("boats/otter.md").body == "Fast." and next(iter(yard)).packet_id == "boats/ark.md"

@@ -10,7 +10,7 @@ from loamdex.errors import BackendKindError, BackendNotFound, BackendUnavailable
 from loamdex.plans.query import Query
 from loamdex.search import backends, config, rank, registry
 
-DOCS = {"a.md": ({"title": "Widgets", "tags": ["Blue"]}, "All about café widgets and gears."), "b.md": ({"title": "Sprockets", "owner": "Ann"}, "Sprockets turn gears, gears, gears."), "c.md": ({}, "Nothing else."), "d.md": ({"title": " "}, "")}
+DOCS = {"a.md": ({"title": "Candles", "tags": ["Blue"]}, "All about café candles and wicks."), "b.md": ({"title": "Lanterns", "owner": "Ann"}, "Lanterns turn wicks, wicks, wicks."), "c.md": ({}, "Nothing else."), "d.md": ({"title": " "}, "")}
 
 
 @pytest.fixture(scope="module")
@@ -23,14 +23,14 @@ def ids(hits):
 
 
 def test_grep(ws):
-    assert ids(registry.search(ws, "GEARS")) == ["a.md", "b.md"] and ids(registry.search(ws, "GEARS", options={"case_sensitive": True})) == []
+    assert ids(registry.search(ws, "WICKS")) == ["a.md", "b.md"] and ids(registry.search(ws, "WICKS", options={"case_sensitive": True})) == []
     assert ids(registry.search(ws, "ann")) == ["b.md"] and ids(registry.search(ws, "blue")) == ["a.md"]
-    assert ids(registry.search(ws, r"gears[.,]", options={"regex": True}, k=1)) == ["a.md"]
-    assert ids(registry.search(ws, "")) == [] and ids(registry.search(ws, "gears", k=0)) == []
+    assert ids(registry.search(ws, r"wicks[.,]", options={"regex": True}, k=1)) == ["a.md"]
+    assert ids(registry.search(ws, "")) == [] and ids(registry.search(ws, "wicks", k=0)) == []
     for bad in ({"nope": 1}, {"regex": True}):
         with pytest.raises(ValueError):
             registry.search(ws, "(", options=bad)
-    assert Query(ws).search("gears").where(title__startswith="W").ids() == ["a.md"]
+    assert Query(ws).search("wicks").where(title__startswith="C").ids() == ["a.md"]
 
 
 def test_registry(ws):
@@ -57,10 +57,10 @@ def test_registry(ws):
 
 
 def test_rrf(spark):
-    dense = spark.createDataFrame([("a", 3.0), ("b", 2.0), ("c", 1.0)], "packet_id string, score double")
-    sparse = spark.createDataFrame([("c", 3.0), ("b", 2.0), ("d", 1.0)], "packet_id string, score double")
-    got = [(r.packet_id, r.score) for r in rank.ranked(rank.rrf(dense, sparse), None).collect()]
-    assert got == [("c", pytest.approx(1 / 63 + 1 / 61)), ("b", pytest.approx(2 / 62)), ("a", pytest.approx(1 / 61)), ("d", pytest.approx(1 / 63))]
+    one = spark.createDataFrame([("p", 9.0), ("q", 8.0), ("r", 7.0), ("s", 6.0)], "packet_id string, score double")
+    two = spark.createDataFrame([("s", 0.5), ("q", 0.4)], "packet_id string, score double")
+    got = [(r.packet_id, r.score) for r in rank.ranked(rank.rrf(one, two), None).collect()]
+    assert got == [("q", pytest.approx(2 / 62)), ("s", pytest.approx(1 / 64 + 1 / 61)), ("p", pytest.approx(1 / 61)), ("r", pytest.approx(1 / 63))]
 
 
 def test_all_queries_and_backends_are_fused(spark, tmp_path):
@@ -113,19 +113,19 @@ def test_hybrid_index(ws, tmp_path):
     at = str(tmp_path / "index")
     s = registry.build(ws, ws.packets, index="hybrid", location=at)
     assert (s.packets_indexed, s.packets_skipped, s.packets_removed) == (4, 0, 0)
-    assert ids(registry.search(ws, "gears", index="hybrid", location=at, options={"sparse_only": True})) == ["b.md", "a.md"]
-    assert len(ids(registry.search(ws, "gears", index="hybrid", location=at))) == 4
-    assert len(ids(registry.search(ws, "gears", index="hybrid", location=at, k=2, options={"dense_only": True}))) == 2
+    assert ids(registry.search(ws, "wicks", index="hybrid", location=at, options={"sparse_only": True})) == ["b.md", "a.md"]
+    assert len(ids(registry.search(ws, "wicks", index="hybrid", location=at))) == 4
+    assert len(ids(registry.search(ws, "wicks", index="hybrid", location=at, k=2, options={"dense_only": True}))) == 2
     assert ids(registry.search(ws, " ", index="hybrid", location=at)) == []
     s = registry.build(ws, ws.packets.filter("packet_id != 'c.md'"), index="hybrid", location=at)
     assert (s.packets_indexed, s.packets_skipped, s.packets_removed) == (0, 3, 1)
     config.RERANKERS["by_length"] = lambda q, docs: [len(d) for d in docs]
-    assert ids(registry.search(ws, "gears", index="hybrid", location=at, options={"reranker": "by_length", "sparse_only": True, "reranker_top_n": 1})) == ["b.md"]
-    assert ids(registry.search(ws, "gears", index="hybrid", location=at, options={"reranker": "gone", "sparse_only": True})) == ["b.md", "a.md"]
+    assert ids(registry.search(ws, "wicks", index="hybrid", location=at, options={"reranker": "by_length", "sparse_only": True, "reranker_top_n": 1})) == ["b.md"]
+    assert ids(registry.search(ws, "wicks", index="hybrid", location=at, options={"reranker": "gone", "sparse_only": True})) == ["b.md", "a.md"]
     with pytest.raises(BackendUnavailable):
-        registry.search(ws, "gears", index="hybrid", location=at, options={"reranker": "gone", "rerank_required": True})
+        registry.search(ws, "wicks", index="hybrid", location=at, options={"reranker": "gone", "rerank_required": True})
     with pytest.raises(FileNotFoundError):
-        registry.search(ws, "gears", index="hybrid", location=at + "x")
+        registry.search(ws, "wicks", index="hybrid", location=at + "x")
     config.EMBEDDERS["other"] = config.hash_embedder
     with pytest.raises(BackendUnavailable):
         registry.build(ws, ws.packets, index="hybrid", location=at, options={"model": "other"})
@@ -133,7 +133,7 @@ def test_hybrid_index(ws, tmp_path):
     meta = json.loads((tmp_path / "index" / "current.json").read_text())
     (tmp_path / "index" / "current.json").write_text(json.dumps(meta | {"format": 9}))
     with pytest.raises(IndexVersionError):
-        registry.search(ws, "gears", index="hybrid", location=at, options={"sparse_only": True})
+        registry.search(ws, "wicks", index="hybrid", location=at, options={"sparse_only": True})
     assert backends.backend("hybrid").info(at).metadata["format"] == 9 and backends.backend("hybrid").info("/nowhere").metadata == {}
 
 
