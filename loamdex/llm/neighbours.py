@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 K, DIM = 5, 64
-DEGREE, EF_BUILD, EF_SEARCH = 16, 32, 32
+DEGREE, EF_BUILD, EF_SEARCH = 16, 32, 24
 SHARD_ROWS, CELL_ROWS, SAMPLE_ROWS, PROBES, MARGIN = 12_000, 6_000, 20_000, 2, 0.1
 # Centroids fitted at once, sample rows for each below the first level, rounds of division.
 _FAN, _EACH, _ROUNDS = 128, 100, 6
@@ -243,10 +243,27 @@ def fit_centroids(x: np.ndarray, k: int, rounds: int = 12, seed: int = 11) -> np
 
 
 def _usable(df: DataFrame, vec_id: str, embedding: str, dim: int) -> DataFrame:
-    e = F.col("e")
-    x = df.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<float>").alias("e"))
-    x = x.filter(F.col("id").isNotNull() & (F.size(e) == dim) & F.forall(e, lambda a: a.isNotNull() & ~F.isnan(a) & (F.abs(a) < F.lit(3e38))) & F.exists(e, lambda a: a != 0))
-    return x.groupBy("id").agg(F.min("e").alias("e"))
+    """(id, e, d, f) of the vectors that take part; ``d`` and ``f`` are two hashes of their direction to 6 decimals."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    factors = np.random.default_rng(23).integers(0, 1 << 63, size=(dim, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def read(batches):
+        for batch in batches:
+            ok = pc.and_(pc.is_valid(batch.column(0)), pc.fill_null(pc.equal(pc.list_value_length(batch.column(1)), dim), False))
+            batch = batch.filter(ok)
+            flat = batch.column(1).flatten()
+            x = pc.fill_null(flat, float("nan")).to_numpy(zero_copy_only=False).reshape(-1, dim)
+            good = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+            x = x[good]
+            turned = np.rint(unit(x.ravel(), dim) * 1e6).astype(np.int64).astype(np.uint64)
+            h = np.stack([(turned * factors[:, k]).sum(axis=1, dtype=np.uint64).view(np.int64) for k in (0, 1)]) if len(x) else np.zeros((2, 0), np.int64)
+            e = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * dim), pa.array(x.ravel(), pa.float32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), e, pa.array(h[0]), pa.array(h[1])], names=["id", "e", "d", "f"])
+
+    x = df.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<float>").alias("e")).mapInArrow(read, "id long, e array<float>, d long, f long")
+    return x.groupBy("id").agg(F.min(F.struct("e", "d", "f")).alias("x")).select("id", "x.*")
 
 
 def _rows(table) -> np.ndarray:
@@ -371,9 +388,8 @@ def similar(
 ) -> DataFrame:
     """One row (vec_id, other_id, similarity, place) for each of the ``k`` vectors most similar to a vector."""
     best = Window.partitionBy("vec_id").orderBy(F.col("similarity").desc(), "other_id")
-    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda t, a: t + a.cast("double") * a.cast("double")))
-    usable = _usable(vectors, vec_id, embedding, dim).withColumn("d", F.transform("e", lambda a: F.round(a.cast("double") / norm, 6) + 0.0)).checkpoint()
-    firsts = usable.withColumn("n", F.row_number().over(Window.partitionBy("d").orderBy("id"))).filter(F.col("n") <= k + 1)  # pruned before the shuffle
+    usable = _usable(vectors, vec_id, embedding, dim).checkpoint()
+    firsts = usable.withColumn("n", F.row_number().over(Window.partitionBy("d", "f").orderBy("id"))).filter(F.col("n") <= k + 1)  # pruned before the shuffle
     kept = firsts.checkpoint()
     v, n, total = kept.select("id", "e"), kept.count(), usable.count()
     leaves = fit_cells(v, n, dim=dim, shard_rows=shard_rows, cell_rows=cell_rows, sample_rows=sample_rows)
@@ -390,8 +406,8 @@ def similar(
         return near
     # The others of a crowded direction: the neighbours of its first vector, and that.
     near = near.checkpoint()
-    crowd = kept.filter(F.col("n") == k + 1).select("d").join(kept.filter("n = 1").select("d", F.col("id").alias("first")), "d")
-    rest = usable.join(crowd, "d").join(kept.select("id"), "id", "left_anti").select(F.col("id").alias("vec_id"), "first")
+    crowd = kept.filter(F.col("n") == k + 1).select("d", "f").join(kept.filter("n = 1").select("d", "f", F.col("id").alias("first")), ["d", "f"])
+    rest = usable.join(crowd, ["d", "f"]).join(kept.select("id"), "id", "left_anti").select(F.col("id").alias("vec_id"), "first")
     heads = near.join(crowd.select(F.col("first").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("first"), "other_id", "similarity")
     heads = heads.unionByName(crowd.select("first", F.col("first").alias("other_id"), F.lit(1.0).alias("similarity")))
     more = heads.groupBy("first").agg(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "other_id"))).alias("x"))
