@@ -91,15 +91,11 @@ def filter_matches(spark, sf):
     return _ids(compile_query('p_brand MATCHES "#[1-3]+$"', _ws(spark, sf, "part", "p_partkey")).frame())
 
 
-@query(
-    """select packet_id, case when s is not null then 1 else 0 end there, case when s is not null and s != '' then 1 else 0 end filled
-    from (select doc_id::varchar packet_id, text s from documents) where s is null or s = '' or length(s) > 4000"""
-)
+@query("select doc_id::varchar packet_id, (text is not null)::int there, (text is not null and text != '')::int filled from documents")
 def filter_exists_empty(spark, sf):
     ws = _ws(spark, sf, "documents", "doc_id")
-    df = ws.packets.filter(F.col("text").isNull() | (F.col("text") == "") | (F.length("text") > 4000))
     f = ws.field("text")
-    return df.select("packet_id", f.predicate("exists", True, False).cast("int").alias("there"), F.coalesce(f.predicate("not_empty", True, False), F.lit(False)).cast("int").alias("filled"))
+    return ws.packets.select("packet_id", f.predicate("exists", True, False).cast("int").alias("there"), F.coalesce(f.predicate("not_empty", True, False), F.lit(False)).cast("int").alias("filled"))
 
 
 @query("select event_id::varchar packet_id from events where event_type in ('click', 'view') and value > 50")
@@ -253,6 +249,31 @@ def describe_top_values(spark, sf):
     return p.select("field", (F.col("r") + 1).cast("long").alias("r"), F.col("v.value").alias("value"), F.col("v.count").alias("n"))
 
 
+@query(
+    """select 'o_orderdate' field, count(*) present_in, strftime(min(o_orderdate), '%Y-%m-%d') first, strftime(max(o_orderdate), '%Y-%m-%d') last, 'datetime' kind from orders
+    union all select 'o_orderstatus', count(*), null, null, 'str' from orders union all select 'o_totalprice', count(*), null, null, 'float' from orders"""
+)
+def describe_types(spark, sf):
+    """Types and date ranges of a profile."""
+    ws = Workspace.of(table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus", "o_totalprice"), id="o_orderkey")
+    p = profile(ws).filter("field != 'o_orderkey'").select("field", "present_in", F.substring("date_min", 1, 10).alias("first"), F.substring("date_max", 1, 10).alias("last"), F.explode("types").alias("kind", "n"))
+    return p.filter("n = present_in").select("field", "present_in", "first", "last", "kind")
+
+
+@query(
+    """select json_extract_string(frontmatter, '$.type') "key", min(json_extract(frontmatter, '$.priority')::double) lo, max(json_extract(frontmatter, '$.priority')::double) hi
+    from (select distinct packet_id, frontmatter from packets where json_valid(frontmatter))
+    where json_type(json_extract(frontmatter, '$.type')) = 'VARCHAR' and json_type(json_extract(frontmatter, '$.priority')) in ('UBIGINT', 'BIGINT', 'DOUBLE') group by 1"""
+)
+def group_min_max_dynamic(spark, sf):
+    """Least and greatest numbers of a field of mixed type, its other values filtered out by type."""
+    from loamdex.expr import Pred
+
+    q = Query(_dynamic(spark, sf)).where_expr(Pred("priority", "type", "int") | Pred("priority", "type", "float"))
+    out = q.group_by("type").aggregate(lo=Min("priority"), hi=Max("priority"))
+    return out.select("key", *[F.get_json_object(F.concat(F.lit('{"s":'), F.col(c)["j"], F.lit("}")), "$.s").cast("double").alias(c) if dict(out.dtypes)[c].startswith("struct") else F.col(c).cast("double").alias(c) for c in ("lo", "hi")])
+
+
 # ------------------------------------------------------------------ references, traversal, patterns
 
 
@@ -338,11 +359,81 @@ def pattern_count(spark, sf):
     return PatternQuery(_places(spark, sf), "MATCH (a)-[:within]->(b)-[:within]->(c) RETURN count(a)").count()
 
 
-@query("select o_orderkey::varchar packet_id from orders where o_custkey in (select c_custkey from customer where c_mktsegment = 'AUTOMOBILE')")
+@query("select c_custkey::varchar packet_id from customer where c_acctbal > 0 and c_custkey in (select o_custkey from orders where o_orderstatus = 'P')")
 def id_set_filter(spark, sf):
-    c = Query(_ws(spark, sf, "customer", "c_custkey")).where(c_mktsegment="AUTOMOBILE").frame()
-    o = _ws(spark, sf, "orders", "o_orderkey")
-    return _ids(o.packets.join(c.select(F.col("packet_id").cast("long").alias("o_custkey")), "o_custkey", "left_semi"))
+    """The customers a query over orders names, as an id set."""
+    o = Query(_ws(spark, sf, "orders", "o_orderkey")).where(o_orderstatus="P").frame()
+    return _ids(Query(_ws(spark, sf, "customer", "c_custkey")).in_ids(o.select(F.col("o_custkey").cast("string").alias("packet_id"))).where(c_acctbal__gt=0).frame())
+
+
+@query("select p_partkey::varchar packet_id from part where p_partkey in (7, 11, 30)")
+def id_list_filter(spark, sf):
+    return _ids(Query(_ws(spark, sf, "part", "p_partkey")).in_ids(["11", "7", "30", "nothing", "7"]).frame())
+
+
+@query("""select 'n' || n_nationkey packet_id, row_number() over (order by max(c_acctbal) desc, 'n' || n_nationkey) r from customer join nation on n_nationkey = c_nationkey group by n_nationkey""")
+def pattern_order_by(spark, sf):
+    """Each nation once, in the order of its best customer."""
+    p = PatternQuery(_places(spark, sf), 'MATCH (a)-[:within]->(b) WHERE a.kind = "customer" RETURN b ORDER BY a.balance DESC, b')
+    return places(p.result().withColumnRenamed("b", "packet_id"))
+
+
+@query(
+    """with recursive e as (select p_partkey s, p_partkey // 2 t from part where p_partkey // 2 in (select p_partkey from part)),
+    w(s, t) as (select s, t from e where s in (select p_partkey from part where p_size > 45) union select w.s, e.t from w join e on e.s = w.t)
+    select s::varchar a, t::varchar b from w where t in (select p_partkey from part where p_size < 10)"""
+)
+def pattern_bound_paths(spark, sf):
+    """Paths of any length between packets that conditions bind at both ends."""
+    return PatternQuery(_rings(spark, sf), "MATCH (a)-[:half*]->(b) WHERE a.p_size > 45 AND b.p_size < 10 RETURN a, b").result()
+
+
+@query(
+    """with recursive e as (select p_partkey s, p_partkey // 2 t from part where p_partkey // 2 in (select p_partkey from part)),
+    w(s, t) as (select s, t from e where t in (select p_partkey from part where p_size = 1) union select e.s, w.t from w join e on e.t = w.s)
+    select s::varchar a, t::varchar b from w"""
+)
+def pattern_bound_ends(spark, sf):
+    """Paths of any length into packets that a condition binds, walked from their ends."""
+    return PatternQuery(_rings(spark, sf), "MATCH (a)-[:half*]->(b) WHERE b.p_size = 1 RETURN a, b").result()
+
+
+@query(
+    """select packet_id from (select distinct packet_id, json_extract(frontmatter, '$.tags') x from packets where json_valid(frontmatter))
+    where case json_type(x) when 'ARRAY' then list_contains(json_extract_string(x, '$[*]'), 'urgent') when 'VARCHAR' then contains(json_extract_string(x, '$'), 'urgent') else false end"""
+)
+def filter_list_member(spark, sf):
+    return _ids(compile_query('tags CONTAINS "urgent"', _dynamic(spark, sf)).frame())
+
+
+def _files(spark, sf) -> Workspace:
+    """Regions, nations and customers as documents in folders, with relative paths up and slugs or file stems as names."""
+    ensure_checkpoint(spark)
+    name = lambda folder, c: F.concat(F.lit(folder), F.col(c).cast("string"), F.lit(".md"))
+    none = F.lit(None).cast("string")
+    r = table(spark, sf, "region").select(name("regions/", "r_regionkey").alias("id"), none.alias("up"), F.col("r_name").alias("slug"), none.alias("of"))
+    n = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    n = n.select(name("nations/n", "n_nationkey").alias("id"), F.concat(F.lit("../regions/./"), "n_regionkey", F.lit(".md")).alias("up"), none.alias("slug"), F.col("r_name").alias("of"))
+    c = table(spark, sf, "customer").select(name("customers/c", "c_custkey").alias("id"), F.concat(F.when(F.col("c_acctbal") < 0, "../../nations/n").otherwise("../nations/n"), F.col("c_nationkey").cast("string"), F.lit(".md")).alias("up"), none.alias("slug"), F.concat(F.lit("n"), "c_nationkey").alias("of"))
+    return Workspace.of(r.unionByName(n).unionByName(c), id="id")
+
+
+@query(
+    """select 'nations/n' || n_nationkey || '.md' source, 'regions/' || n_regionkey || '.md' target from nation join region on r_regionkey = n_regionkey
+    union all select 'customers/c' || c_custkey || '.md', 'nations/n' || c_nationkey || '.md' from customer join nation on n_nationkey = c_nationkey where c_acctbal >= 0"""
+)
+def resolve_paths(spark, sf):
+    """References as relative paths; those that lead out of the root resolve to nothing."""
+    return graph.PathResolver().edges(_files(spark, sf), "up").select("source", "target")
+
+
+@query(
+    """select 'nations/n' || n_nationkey || '.md' source, 'regions/' || r_regionkey || '.md' target from nation join region on r_regionkey = n_regionkey
+    union all select 'customers/c' || c_custkey || '.md', 'nations/n' || c_nationkey || '.md' from customer join nation on n_nationkey = c_nationkey"""
+)
+def resolve_slugs(spark, sf):
+    """References as slugs, or as file stems where no slug fits."""
+    return graph.SlugResolver().edges(_files(spark, sf), "of").select("source", "target")
 
 
 @query("select p_partkey::varchar packet_id from part where p_size > 45 and (select count(*) from part q where q.p_partkey // 10 = part.p_partkey // 10) = 10")
@@ -370,18 +461,18 @@ def search_then_filter(spark, sf):
     return _ids(Query(ws).search(r"c[aou]nal of|the ferr(y|ies)\s", options={"regex": True, "case_sensitive": True}).where(lang="en").frame())
 
 
-_WORDS = "list_filter(regexp_split_to_array(lower(coalesce(content, '')), '[^a-z0-9_]+'), lambda x: x != '')"
+_WORDS = "list_filter(regexp_split_to_array(strip_accents(lower(coalesce(content, ''))), '[^\\p{L}\\p{N}_]+'), lambda x: x != '')"
 
 
 @query(
-    f"""with d as (select packet_id, {_WORDS} w from packets_fts where regexp_full_match(coalesce(content, ''), '[\\x00-\\x7f]*')),
+    f"""with d as (select packet_id, {_WORDS} w from (select packet_id, max(content) content from packets_fts group by 1)),
     s as (select count(*) n, avg(len(w)) mean from d), p as (select packet_id, len(w) l, unnest(w) t from d),
     q as (select packet_id, t, any_value(l) l, count(*) tf from p where t in ('granite', 'harbour', 'ledger') group by 1, 2),
     f as (select t, count(*) df from q group by 1)
     select packet_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / mean))), 6) score from q join f using (t), s group by 1"""
 )
 def search_bm25(spark, sf):
-    d = table(spark, sf, "packets_fts").filter(F.coalesce("content", F.lit("")).rlike(r"^[\x00-\x7f]*$")).groupBy("packet_id").agg(F.first("content").alias("text"))
+    d = table(spark, sf, "packets_fts").groupBy("packet_id").agg(F.max("content").alias("text"))
     d = d.withColumn("text", F.coalesce("text", F.lit("")))
     s = rank.corpus_stats(d).first()
     return rank.bm25(rank.postings(d), ["granite", "harbour", "ledger"], s.n, s.mean).select("packet_id", F.round("score", 6).alias("score"))
