@@ -81,5 +81,13 @@ _CLOSENESS = """
     c as (select query_id, packet_id, round(sqrt(ss) / (sqrt(ss) + sqrt(greatest(0, far - 2 * sb + ss))), 9) closeness from s join i using (query_id))"""
 ORACLES: dict[str, str] = {
     "p3_found": f"{_CLOSENESS} select query_id, packet_id from c qualify row_number() over (partition by query_id order by closeness desc, packet_id) <= 3",
+    # Brute force over all pairs, as the tables of the comparison are small.
+    "p4_found": """
+        with v as (
+            select vec_id, min(embedding) e from vectors
+            where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x != 0)) > 0 group by 1),
+        s as (select a.vec_id a, b.vec_id b, round(list_cosine_similarity(a.e::double[], b.e::double[]), 10) s from v a join v b on a.vec_id != b.vec_id),
+        n as (select a, b from s qualify row_number() over (partition by a order by s desc, b) <= 5)
+        select distinct least(a, b) vec_a, greatest(a, b) vec_b from n""",
     "p3_ranking": f"{_CLOSENESS} select query_id, packet_id, closeness from c",
 }
