@@ -160,3 +160,22 @@ def test_config(tmp_path):
     for options, kind in (({"nope": 1}, "build"), ({"fetch_k": 1}, "build"), ({"fetch_k": "x"}, "query"), ({"dense_only": "maybe"}, "query"), ({"dense_only": True, "sparse_only": 1}, "query")):
         with pytest.raises(config.ConfigError):
             config.resolve(options, kind, environ={})
+
+
+def test_own_backends_keep_the_contract(spark, tmp_path):
+    from loamdex.search import conformance
+
+    conformance.check_scan(backends.backend("grep"), spark)
+    conformance.check_index(backends.backend("hybrid"), spark, str(tmp_path / "index"))
+
+    class Careless:
+        name = "careless"
+
+        def query(self, text, ws, *, k=10, options=None):
+            return ws.packets.selectExpr("packet_id", "1.0D score", "cast(null as string) snippet")
+
+        def info(self, location=None):
+            return backends.BackendInfo("careless", "1", "scan")
+
+    with pytest.raises(AssertionError):
+        conformance.check_scan(Careless(), spark)
