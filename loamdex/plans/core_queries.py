@@ -69,6 +69,42 @@ ORACLES = {
         select node, min(pos), case when bool_or(pos = node) then -1 else -2 end from ring group by node""",
     "p1_descendants": f"""{_LINKS}
         select w.pos node, w.node descendant, w.d distance from w anti join looped using (node) where w.d > 0""",
+    "p2_found": r"""
+        with p as (select distinct workspace w, scan_no s, packet_id, frontmatter f from packets where workspace is not null and scan_no is not null),
+        scans as (select w, s was, lead(s) over (partition by w order by s) now from (select distinct w, s from p) qualify now is not null),
+        kv as (select w, s, f, unnest(json_keys(f)) k from (select * from p where json_valid(f)) where json_type(f) = 'OBJECT'),
+        v as (select row_number() over () id, w, s, k, json_extract(f, '$."' || k || '"') x from kv),
+        t as (
+            select *, json_type(x) jt, case json_type(x) when 'NULL' then 'null' when 'BOOLEAN' then 'bool' when 'DOUBLE' then 'float' when 'ARRAY' then 'list' when 'OBJECT' then 'map'
+                when 'VARCHAR' then case when regexp_full_match(json_extract_string(x, '$'), '\d{4}-\d\d-\d\d') then 'date'
+                    when regexp_full_match(json_extract_string(x, '$'), '\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d') then 'datetime' else 'str' end else 'int' end kind from v),
+        e as (
+            select id, w, s, k, json_type(x) jt, json_extract_string(x, '$') v, x from t where jt not in ('ARRAY', 'NULL') union all
+            select id, w, s, k, json_type(y), json_extract_string(y, '$'), y from (select id, w, s, k, unnest(json_extract(x, '$[*]')) y from t where jt = 'ARRAY')),
+        parts as (
+            select w, s, k, part, count(distinct id) n from (
+                select id, w, s, k, unnest(case when jt = 'NULL' then [] when jt = 'BOOLEAN' then ['b'] when jt = 'OBJECT' then list_transform(json_keys(x), lambda a: 'k' || a)
+                    when jt = 'VARCHAR' then case when regexp_full_match(v, '\d{4}-\d\d-\d\d(T\d\d:\d\d:\d\d)?') then ['d' || v[:4]]
+                        else list_transform(regexp_split_to_array(regexp_replace(lower(v), '\d+', '9', 'g'), '[,;]'), lambda a: trim(a)) end
+                    else ['n' || case when v::double = 0 then '' else floor(log2(abs(v::double)) / 2)::int::varchar end] end) part from e) group by all),
+        share as (select *, n / sum(n) over (partition by w, s, k) part_share from parts),
+        fields as (select w, s, k, arg_min(kind, (-n, kind)) filter (kind != 'null') kind from (select w, s, k, kind, count(*) n from t group by all) group by all),
+        b as (select f.w, now, k, was, kind from fields f join scans c on f.w = c.w and s = was),
+        a as (select f.w, now, k, kind from fields f join scans c on f.w = c.w and s = now),
+        ended as (select * from b anti join a using (w, now, k)),
+        begun as (select * from a anti join b using (w, now, k)),
+        alike as (
+            select o.w, o.now, o.k old, g.k new, round(sum(least(x.part_share, y.part_share)), 9) alike
+            from ended o join begun g on o.w = g.w and o.now = g.now and o.kind = g.kind
+            join share x on x.w = o.w and x.s = o.was and x.k = o.k join share y on y.w = g.w and y.s = g.now and y.k = g.k and y.part = x.part group by all having alike >= 0.2),
+        sorted as (select w, now, list({'old': old, 'new': new} order by alike desc, old, new) pairs from alike group by all),
+        named as (
+            select w, now, x.old, x.new from (
+                select w, now, unnest(list_reduce(pairs, lambda acc, x: case when len(list_filter(acc, lambda z: z.old = x[1].old or z.new = x[1].new)) > 0 then acc else list_concat(acc, x) end)) x
+                from (select w, now, list_transform(pairs, lambda r: [r]) pairs from sorted)))
+        select w workspace, now scan_no, k field, 'retyped' change_kind, a.kind became from a join b using (w, now, k) where a.kind != b.kind
+        union all select o.w, o.now, o.k, case when n.new is null then 'removed' else 'renamed' end, coalesce(n.new, '') from ended o left join named n on n.w = o.w and n.now = o.now and n.old = o.k
+        union all select g.w, g.now, g.k, 'added', '' from begun g anti join (select w, now, new k from named) n using (w, now, k)""",
     "p6_found": """
         with s as (
             select packet_id, lower(content_hash) h from packet_index semi join (select run_id from index_runs where run_status = 'ok') using (run_id)

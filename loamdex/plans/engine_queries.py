@@ -542,7 +542,10 @@ def index_diff(spark, sf):
 # ------------------------------------------------------------------ edits
 
 
-@query()
+_HEAD = "'---' || chr(10) || 'kind: {0} # kept' || chr(10) || 'flag: {1}' || chr(10) || '{2}: ' || packet_id || chr(10) || '{3}---' || chr(10) || coalesce(body, '')"
+
+
+@query(f"select distinct packet_id, {_HEAD.format('note', 'true', 'path', '')} \"before\", {_HEAD.format('task', 'false', 'file', 'rank: 3@').replace('@', chr(39) + ' || chr(10) || ' + chr(39))} \"after\", null::varchar error from packets")
 def edit_preview(spark, sf):
     """Heads of all packets as YAML documents, two fields set, one toggled and one renamed: whole text before and after, and the error where that can't be."""
     from loamdex.operators import edits
