@@ -29,6 +29,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loamdex.session import checkpointed
+
 MIN_WORDS = 15
 # Words of a text that min_words words of an item spread over at most, added ones among them; and with what ends the run.
 WINDOW, PASSAGE = 24, 32
@@ -292,10 +294,10 @@ def item_words(items: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.string()))], names=["item_id", "at", "words"])
 
     s = items.groupBy("item_id").agg(F.max("text").alias("text")).mapInArrow(split, "item_id long, at int, words array<string>")
-    s = s.withColumn("h", F.struct(F.xxhash64("words"), F.hash("words"), F.size("words"))).checkpoint()
+    s = checkpointed(s.withColumn("h", F.struct(F.xxhash64("words"), F.hash("words"), F.size("words"))))
     shared = s.select("item_id", "h").distinct().groupBy("h").count().filter(F.col("count") >= SHARED_SENTENCE).select("h")
     own = s.join(shared, "h", "left_anti").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("at", "words"))).alias("x"))
-    return own.select("item_id", F.flatten("x.words").alias("words")).filter(F.size("words") >= min_words).checkpoint()
+    return checkpointed(own.select("item_id", F.flatten("x.words").alias("words")).filter(F.size("words") >= min_words))
 
 
 def leaked(

@@ -27,6 +27,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamdex.session import checkpointed
+
 K, DIM = 5, 64
 DEGREE, EF_BUILD, EF_SEARCH = 16, 32, 24
 SHARD_ROWS, CELL_ROWS, SAMPLE_ROWS, PROBES, MARGIN = 12_000, 6_000, 20_000, 2, 0.1
@@ -388,9 +390,9 @@ def similar(
 ) -> DataFrame:
     """One row (vec_id, other_id, similarity, place) for each of the ``k`` vectors most similar to a vector."""
     best = Window.partitionBy("vec_id").orderBy(F.col("similarity").desc(), "other_id")
-    usable = _usable(vectors, vec_id, embedding, dim).checkpoint()
+    usable = checkpointed(_usable(vectors, vec_id, embedding, dim))
     firsts = usable.withColumn("n", F.row_number().over(Window.partitionBy("d", "f").orderBy("id"))).filter(F.col("n") <= k + 1)  # pruned before the shuffle
-    kept = firsts.checkpoint()
+    kept = checkpointed(firsts)
     v, n, total = kept.select("id", "e"), kept.count(), usable.count()
     leaves = fit_cells(v, n, dim=dim, shard_rows=shard_rows, cell_rows=cell_rows, sample_rows=sample_rows)
     routed = v.mapInArrow(_router(leaves, v.sparkSession, min(len(leaves), probes + 1), margin, dim), _ROUTED)
@@ -405,7 +407,7 @@ def similar(
     if total == n:
         return near
     # The others of a crowded direction: the neighbours of its first vector, and that.
-    near = near.checkpoint()
+    near = checkpointed(near)
     crowd = kept.filter(F.col("n") == k + 1).select("d", "f").join(kept.filter("n = 1").select("d", "f", F.col("id").alias("first")), ["d", "f"])
     rest = usable.join(crowd, ["d", "f"]).join(kept.select("id"), "id", "left_anti").select(F.col("id").alias("vec_id"), "first")
     heads = near.join(crowd.select(F.col("first").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("first"), "other_id", "similarity")
