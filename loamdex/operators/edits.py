@@ -172,6 +172,13 @@ class ApplyReport:
     aborted: bool = False
 
 
+def _replace(path: str, text: str) -> None:
+    part = f"{path}.part"
+    with open(part, "w", encoding="utf-8", newline="") as f:
+        f.write(text)
+    os.replace(part, path)
+
+
 class EditPlan:
     """Operations on some files, planned against what is on disk when first asked."""
 
@@ -182,22 +189,45 @@ class EditPlan:
             raise EditError(f"no such packet: {', '.join(missing[:5])}")
         self._paths = known
         self._changes: list[FileChange] | None = None
+        self._done: tuple[int, int, int] | None = None  # changed, failed and untouched files of an edit that was written at once
 
     def then(self, op: EditOp) -> EditPlan:
         return EditPlan(self.ws, self.targets, (*self.ops, op))
 
     def compile(self) -> list[FileChange]:
+        """Every file before and after, read and edited on the executors; a preview needs the texts here."""
         if self._changes is None:
-            self._changes = [self._change(t, self._paths[t]) for t in self.targets]
+            rows = {r.packet_id: r for r in self._run(write=False).collect()} if self.targets else {}
+            self._changes = [FileChange(t, self._paths[t], rows[t].before, rows[t].after, rows[t].error) for t in self.targets]
         return self._changes
 
-    def _change(self, pid: str, path: str) -> FileChange:
-        try:
-            with open(path, encoding="utf-8", newline="") as f:
-                before = f.read()
-            return FileChange(pid, path, before, edit_text(before, self.ops))
-        except (EditError, ParseError, OSError, UnicodeDecodeError) as e:
-            return FileChange(pid, path, None, None, str(e))
+    def _run(self, *, write: bool) -> DataFrame:
+        """(packet_id, before, after, changed, error) of the targets; with ``write`` the texts stay out and changed files are replaced where they are read."""
+        import pyarrow as pa
+
+        ops, names = self.ops, ["packet_id", "before", "after", "changed", "error"]
+        kinds = [pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string()]
+
+        def one(pid: str, path: str) -> tuple:
+            try:
+                with open(path, encoding="utf-8", newline="") as f:
+                    before = f.read()
+                after = edit_text(before, ops)
+                if not write:
+                    return pid, before, after, before != after, None
+                if before != after:
+                    _replace(path, after)
+                return pid, None, None, before != after, None
+            except (EditError, ParseError, OSError, UnicodeDecodeError) as e:
+                return pid, None, None, False, str(e)
+
+        def run(batches):
+            for batch in batches:
+                rows = [one(*r) for r in zip(*(c.to_pylist() for c in batch.columns))]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+
+        files = self.ws.spark.createDataFrame([(t, self._paths[t]) for t in self.targets], "packet_id string, path string")
+        return files.mapInArrow(run, "packet_id string, before string, after string, changed boolean, error string")
 
     def preview_diff(self) -> str:
         out = []
@@ -207,8 +237,11 @@ class EditPlan:
         return "".join(x if x.endswith("\n") else x + "\n\\ No newline at end of file\n" for x in out)
 
     def summary(self) -> str:
-        c = self.compile()
-        return f"{sum(x.changed for x in c)} changed, {sum(x.error is not None for x in c)} skipped (error), {sum(x.error is None and not x.changed for x in c)} no-op"
+        n = self._done
+        if n is None:
+            c = self.compile()
+            n = sum(x.changed for x in c), sum(x.error is not None for x in c), sum(x.error is None and not x.changed for x in c)
+        return f"{n[0]} changed, {n[1]} skipped (error), {n[2]} no-op"
 
     def preview(self) -> str:
         errors = "".join(f"error: {c.packet_id}: {c.error}\n" for c in self.compile() if c.error)
@@ -217,7 +250,16 @@ class EditPlan:
     dry_run = preview
 
     def apply(self, *, confirm: bool = True, confirm_fn: Callable[[str], bool] | None = None) -> ApplyReport:
-        """Write what changes, each file by an atomic replace; with ``confirm`` only if ``confirm_fn`` agrees."""
+        """Write what changes, each file by an atomic replace; with ``confirm`` only if ``confirm_fn`` agrees.
+
+        What was planned before is written as planned; without a plan and without ``confirm`` the executors edit and write the files.
+        """
+        if not confirm and self._changes is None and self.targets:
+            rows = self._run(write=True).select("packet_id", "changed", "error").collect()
+            written, errors = tuple(sorted(r.packet_id for r in rows if r.changed)), tuple((r.packet_id, r.error) for r in rows if r.error is not None)
+            self._done = len(written), len(errors), len(rows) - len(written) - len(errors)
+            self.ws._edges.clear()
+            return ApplyReport(written, errors)
         changes = self.compile()
         errors = [(c.packet_id, c.error) for c in changes if c.error]
         todo = [c for c in changes if c.changed]
@@ -225,11 +267,8 @@ class EditPlan:
             return ApplyReport((), tuple(errors), True)
         written = []
         for c in todo:
-            part = f"{c.abspath}.part"
             try:
-                with open(part, "w", encoding="utf-8", newline="") as f:
-                    f.write(c.after)
-                os.replace(part, c.abspath)
+                _replace(c.abspath, c.after)
                 written.append(c.packet_id)
             except OSError as e:
                 errors.append((c.packet_id, str(e)))

@@ -43,7 +43,9 @@ def orphans(references: DataFrame, parents: DataFrame) -> DataFrame:
     refs = references.filter("ref_key is not null and ref_key != ''")
     joined = refs.hint("merge").join(parents.withColumn("_there", F.lit(True)), "ref_key", "left")
     kind = F.when(F.col("_there").isNull(), "missing").when(F.col("closed") <= F.col("at"), "deleted").when(F.col("opened") > F.col("at"), "late")
-    return joined.withColumn("kind", kind).filter("kind is not null").select("src_table", "row_key", "field", "ref_key", "kind", F.date_format("at", "yyyy-MM").alias("month_key")).distinct()
+    found = joined.withColumn("kind", kind).filter("kind is not null").select("src_table", "row_key", "field", "ref_key", "kind", F.date_format("at", "yyyy-MM").alias("month_key"))
+    # An exchange of its own: a distinct that relied on the join's partitioning would keep the join from splitting a hot key.
+    return found.repartition("row_key", "field", "ref_key").distinct()
 
 
 def frontmatter_references(packets: DataFrame, fields: list[str], *, key: str = "packet_id", frontmatter: str = "frontmatter", at: str = "modified_at") -> DataFrame:

@@ -110,6 +110,10 @@ def test_plan_and_apply(spark, folder):
     r = plan.apply(confirm=False)
     assert r.written == ("tasks/b.md",) and len(r.errors) == 1
     assert open(os.path.join(folder, "tasks/b.md"), newline="").read() == FILES["tasks/b.md"].replace("true", "false")
+    at_once = edits.plan_set(ws, ["tasks/b.md", "tasks/a b.md"], rank=2)  # no preview: edited and written where the files are read
+    r = at_once.apply(confirm=False)
+    assert r.written == ("tasks/a b.md", "tasks/b.md") and at_once.summary() == "2 changed, 0 skipped (error), 0 no-op"
+    assert "rank: 2" in open(os.path.join(folder, "tasks/b.md"), newline="").read() and not [f for f in os.listdir(os.path.join(folder, "tasks")) if f.endswith(".part")]
     with pytest.raises(EditError):
         edits.plan_set(ws, ["zzz.md"], a=1)
 
