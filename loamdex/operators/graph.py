@@ -101,6 +101,11 @@ def oriented(edges: DataFrame, direction: str) -> DataFrame:
     return edges.select(F.col(here).alias("here"), F.col(there).alias("there")).distinct()
 
 
+def _merged(seen: DataFrame, hops: int) -> DataFrame:
+    """What has been seen, written as one every few hops, so that it isn't a union of ever more pieces."""
+    return checkpointed(seen) if hops % 8 == 0 else seen
+
+
 def reach(steps: DataFrame, seeds: DataFrame, limit: int | None) -> list[DataFrame]:
     """Layers of a breadth-first search from ``seeds`` (packet_id): the seeds, then what each hop finds first."""
     layers = [checkpointed(seeds.select("packet_id").distinct())]
@@ -108,7 +113,7 @@ def reach(steps: DataFrame, seeds: DataFrame, limit: int | None) -> list[DataFra
     while (limit is None or len(layers) <= limit) and not layers[-1].isEmpty():
         found = layers[-1].join(steps, layers[-1]["packet_id"] == steps["here"]).select(F.col("there").alias("packet_id")).distinct().join(seen, "packet_id", "left_anti")
         layers.append(checkpointed(found))
-        seen = seen.unionByName(layers[-1])
+        seen = _merged(seen.unionByName(layers[-1]), len(layers))
     return layers
 
 
@@ -198,7 +203,7 @@ def reachable(steps: DataFrame, low: int, high: int | None, sources: DataFrame |
     while (high is None or len(layers) < high) and not layers[-1].isEmpty():
         grown = layers[-1].join(steps, F.col("target") == F.col("here")).select("source", F.col("there").alias("target")).filter("source != target").distinct()
         layers.append(checkpointed(grown.join(seen, ["source", "target"], "left_anti")))
-        seen = seen.unionByName(layers[-1])
+        seen = _merged(seen.unionByName(layers[-1]), len(layers))
     far = union_all([f.withColumn("d", F.lit(k + 1)) for k, f in enumerate(layers)])
     back = far.join(steps, (F.col("target") == F.col("here")) & (F.col("source") == F.col("there"))).select("source", F.col("source").alias("target"), (F.col("d") + 1).alias("d"))
     within = (F.col("d") >= low) & (F.lit(True) if high is None else F.col("d") <= high)
